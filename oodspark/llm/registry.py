@@ -1,7 +1,7 @@
 """Names, callables and comparison SQL of the corpus operators."""
 
-from . import bpe, mixing, quality, warc
+from . import bpe, language, mixing, quality, toxicity, warc
 
-MODULES = (bpe, mixing, quality, warc)
+MODULES = (bpe, language, mixing, quality, toxicity, warc)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,14 @@ def words(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of documents that no model may learn from."""
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2, F.lit(False))
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more, and let Spark release the shuffle files of ended jobs."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for path in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    jvm.System.gc()

@@ -86,8 +86,8 @@ def anchor_rows(docs: DataFrame, items, window: int, k: int, keep_first: bool) -
     """A row for each context of each text of keyed(docs); items(text) gives a text's sequence.
 
     Contexts that a batch of rows holds more than once are combined before any shuffle: one of them, with their number
-    n, stands for all, and the others come out as gone, that is repeated as a whole (if keep_first, the one that stands
-    is the first in order of id and place, and only the others are gone).
+    n, stands for all, and the others come out as gone, that is repeated as a whole.  The one that stands is the first in
+    order of id, key and place; with keep_first, one place in rows that are equal in id and text counts as one.
     """
 
     def run(batches):
@@ -102,9 +102,11 @@ def anchor_rows(docs: DataFrame, items, window: int, k: int, keep_first: bool) -
                 continue
             cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
             f = pd.DataFrame(dict(zip(["id", "key", "seed", "ctx", "at", "first", "last"], cols, strict=True)))
-            order = np.lexsort((cols[4], cols[0], cols[3], cols[2]))
+            order = np.lexsort((cols[4], cols[1], cols[0], cols[3], cols[2]))
             f = f.iloc[order]
-            s, c = cols[2][order], cols[3][order]
+            if keep_first:  # rows that repeat each other are one document
+                f = f.drop_duplicates(["seed", "ctx", "id", "key", "at"])
+            s, c = f["seed"].to_numpy(), f["ctx"].to_numpy()
             new = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
             count = np.diff(np.append(np.flatnonzero(new), len(f)))
             f["n"], f["gone"] = 1, ~new

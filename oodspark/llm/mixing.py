@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import GAP, WORD, stored
+from ._shared import GAP, WORD, stored, words
 
 #: Cyclic weights of the sources in code point order, null last.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -50,7 +50,7 @@ def targets(sized: DataFrame, share: float = 1.0, weights: tuple = WEIGHTS, most
     left = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     per = per.withColumn("level", rest / left)
     fits = F.col("level") * F.col("weight") <= F.col("cap")
-    per = per.withColumn("level", F.min(F.when(fits, F.col("level"))).over(whole))
+    per = per.withColumn("level", F.max(F.when(fits, F.col("level"))).over(whole))  # the first that fits
     return per.select("source", "source_size", "n_docs", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
@@ -60,45 +60,42 @@ def mixed(sized: DataFrame, **how) -> DataFrame:
     Rows that repeat an id lie next to each other, the shorter first; rows equal in id and size are interchangeable.
     Reruns, other partitionings and other range sizes give the same mix.  An empty table gives an empty mix.
     """
-    per = targets(sized, **how).withColumn("s", F.struct("source"))
+    ranges = max(1, -(-sized.count() // RANGE_ROWS))
     part = F.conv(F.substring("key", 1, KEY_BITS // 4), 16, 10).cast("double") / float(2**KEY_BITS)
-    # a table of one row for each source; "s" is never null, so that the null source meets itself
-    rows = sized.withColumn("s", F.struct("source")).join(per.drop("source"), "s")
-    rows = rows.withColumn("range", F.floor(part * F.ceil(F.col("n_docs") / RANGE_ROWS)))
+    # "s" is never null, so that the null source meets itself
+    rows = sized.withColumn("s", F.struct("source")).withColumn("range", F.floor(part * ranges))
+    per = targets(sized, **how).withColumn("s", F.struct("source")).drop("source", "n_docs")
     sums = rows.groupBy("s", "range").agg(F.sum("size").alias("range_size"))
     ahead = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("s", "range", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("range_start"))
+    sums = sums.withColumn("range_start", F.coalesce(F.sum("range_size").over(ahead), F.lit(0))).drop("range_size").join(per, "s")
     inside = Window.partitionBy("s", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["s", "range"])
     rows = rows.withColumn("start", F.col("start") + F.col("range_start")).withColumn("budget", F.round("target").cast("long"))
     rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
     rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("start")
     rows = rows.withColumn("taken", F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest)))
-    return rows.drop("s", "range", "range_start", "start", "budget", "n_docs", "key")
+    return rows.drop("s", "range", "range_start", "start", "budget", "key")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: rows of docs, once for each epoch they are taken in; a row cut by the budget keeps its first words.
+    """The mix itself: rows of docs, once for each epoch they are taken in, with n_chars to match.
 
-    Rows without words take no part in the budget; they are kept once.
+    A row that the budget cuts keeps its first words, joined by one space.  Rows without words take no part in the
+    budget; they are kept once.
     """
-    columns = docs.columns
-    held = docs.select(*columns, F.struct(*columns).alias("_all")) if "_all" not in columns else docs
-    rows = mixed(sizes(held.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", "source").alias("_row")), "_row"), **how)
-    rows = rows.groupBy("_row", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("times"))
-    # rows equal in id, text and source share their words evenly, the remainder going to the copy that comes first
-    both = docs.withColumn("_row", F.xxhash64("doc_id", "text", "source")).join(rows, "_row")
-    copy = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
-    both = both.withColumn("_copy", F.when(F.col("times") == 1, F.lit(1)).otherwise(copy))
-    own = F.expr("taken div times") + F.when(F.col("_copy") <= F.col("taken") % F.col("times"), 1).otherwise(0)
-    both = both.withColumn("_own", own)
-    whole = F.expr("CASE WHEN size = 0 THEN 1 ELSE _own div size END")
-    part = F.expr("CASE WHEN size = 0 THEN 0 ELSE _own % size END")
-    texts = F.array_repeat(F.lit(0).cast("long"), whole.cast("int"))
-    both = both.withColumn("_cut", F.explode(F.when(part > 0, F.concat(texts, F.array(part.cast("long")))).otherwise(texts)))
-    first = F.expr(r"regexp_extract(text, concat('^(?s)[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){', cast(_cut as string), '}'), 0)")
-    both = both.withColumn("text", F.when(F.col("_cut") > 0, first).otherwise(F.col("text")))
-    return both.select(*columns)
+    row = F.xxhash64("doc_id", "text", "source").alias("_row")
+    sized = stored(sizes(docs.select("doc_id", "source", "text", row), "_row"), "mix")
+    rows = mixed(sized, **how).groupBy("_row").agg(F.first("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_times"))
+    # rows equal in id, text and source share their words evenly, the remainder going to the first of them
+    both = docs.select(row, F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text")).join(rows, "_row")
+    both = both.withColumn("_copy", F.row_number().over(Window.partitionBy("_row").orderBy("_size")))
+    both = both.withColumn("_own", F.expr("_taken div _times + CASE WHEN _copy <= _taken % _times THEN 1 ELSE 0 END"))
+    whole = F.expr("array_repeat(0L, CAST(CASE WHEN _size = 0 THEN 1 ELSE _own div _size END AS INT))")
+    part = F.expr("CASE WHEN _size > 0 AND _own % _size > 0 THEN array(_own % _size) ELSE array() END").cast("array<long>")
+    both = both.withColumn("_cut", F.explode(F.concat(whole, part)))
+    first = F.array_join(F.slice(words(F.col("_text")), F.lit(1), F.col("_cut").cast("int")), " ")
+    both = both.withColumn("_text", F.when(F.col("_cut") > 0, first).otherwise(F.col("_text")))
+    return both.select(*[F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"_doc.{c}").alias(c) for c in docs.columns])
 
 
 def op4_mix_sources(spark, sf_dir):
@@ -112,7 +109,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, [1.0, 2.0, 3.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
 r AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w
   WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap, weight * coalesce(min(CASE WHEN level * weight <= cap THEN level END) OVER (), 'inf'::DOUBLE)) AS target FROM r),
+t AS (SELECT source, source_size, least(cap, weight * coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER (), 'inf'::DOUBLE)) AS target FROM r),
 p AS (SELECT d.*, source_size, target, round(target)::BIGINT AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (CASE WHEN source_size > 0 THEN (budget // source_size) * size + least(size, greatest(0, budget % source_size - start)) ELSE 0 END)::BIGINT AS taken FROM p"""

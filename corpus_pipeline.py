@@ -1,11 +1,56 @@
-"""Corpus pipeline: quality rules, near-duplicate join, substring dedup, mixing, encoding."""
+"""Corpus pipeline: quality rules, near-duplicate join, suffix-array dedup, mixing, encoding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  The first four return the columns
+of documents; the last returns the token ids.
+"""
+
+from __future__ import annotations
+
+from oodspark.llm._shared import stored
+from oodspark.llm.bpe import encoded
+from oodspark.llm.jaccard import one_of_each
+from oodspark.llm.mixing import mix
+from oodspark.llm.quality import keep_good
+from oodspark.llm.suffixes import shortened
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the weakly supervised rules reject go."""
+    return keep_good(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of five-word Jaccard similarity of 0.8 or more stays, that of the smallest id."""
+    return one_of_each(docs, gram=5, similar=80, of=100)
+
+
+def repeated_bytes(spark, docs, sf_dir):
+    """Strings of 100 bytes or more that also start earlier are cut from the texts."""
+    return shortened(docs)
+
+
+def mixture(spark, docs, sf_dir):
+    """Documents are repeated or left out so that each source has its target number of words."""
+    return mix(docs)
+
+
+def tokens(spark, docs, sf_dir):
+    """doc_id, n_tokens and ids of each text of the mix."""
+    import public_tokenizers
+
+    return encoded(docs, public_tokenizers.path("word_bpe_49k.json"), output="ids")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_bytes", repeated_bytes), ("mixture", mixture), ("tokens", tokens)]
+#: Suffix arrays and merges are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The result of the last stage, from all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs, f"pipeline-{name}")
     return docs

@@ -19,6 +19,7 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,26 +190,28 @@ def tokenizer(path: str) -> Tokenizer:
         return Tokenizer(json.load(f))
 
 
-def encoded(docs: DataFrame, path: str, digests: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text; with digests=False instead ids and decoded.
+def encoded(docs: DataFrame, path: str, output: str = "digests") -> DataFrame:
+    """doc_id, n_tokens and, by output, the digests ids_sha256 and decoded_sha256, or ids, or ids and decoded, of every whole text.
 
     Null and empty texts have no tokens.  Repeated rows give repeated rows, an empty table an empty result; other
     columns of docs play no part.  No row moves between tasks.  The vocabulary file is read on the driver and sent to
     the executors, each of which compiles the automaton once: its size is that of the vocabulary, not of the corpus.
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())
-    kinds = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    kinds = "n_tokens long, " + {"digests": "ids_sha256 string, decoded_sha256 string", "ids": "ids array<int>", "both": "ids array<int>, decoded string"}[output]
 
     def run(batches):
         tok = compiled(spec)
         for b in batches:
             both = [tok.both(t) for t in b["text"]]
             out = pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(i) // 4 for i, _ in both]})
-            if digests:
+            if output == "digests":
                 out["ids_sha256"] = [hashlib.sha256(i).hexdigest() for i, _ in both]
                 out["decoded_sha256"] = [hashlib.sha256(d.encode("utf-8")).hexdigest() for _, d in both]
             else:
-                out["ids"], out["decoded"] = [array("I", i).tolist() for i, _ in both], [d for _, d in both]
+                out["ids"] = [np.frombuffer(i, dtype="<i4") for i, _ in both]
+                if output == "both":
+                    out["decoded"] = [d for _, d in both]
             yield out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))

@@ -95,26 +95,34 @@ def fitted(voted: DataFrame) -> DataFrame:
     return row.select(F.expr(f"aggregate(sequence(1, {ITERATIONS}), array({start}), (p, i) -> {step})").alias("accuracy"))
 
 
-def judged(features: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
+def voted(features: DataFrame) -> DataFrame:
+    return features.withColumn("votes", F.expr(votes())).withColumn("base_failed", F.expr(BASE_FAILED))
+
+
+def judged(features: DataFrame, fit: DataFrame | None = None, keep_at: float = KEEP_AT) -> DataFrame:
     """features (of signals()) with posterior, base_failed and kept.
 
     A document under 20 words, or with over 30 % of its words in repeated windows, fails the base test and is never
-    kept; any other is kept when its posterior reaches keep_at.  Repeated rows count once each; an empty table gives
-    an empty result.
+    kept, and takes no part in the fit: its fate is settled, and it would teach the fit only what the base test
+    already knows.  Any other is kept when its posterior reaches keep_at.  Repeated rows count once each; an empty
+    table gives an empty result.  fit is a row of fitted(), by default that of the features.
     """
-    voted = features.withColumn("votes", F.expr(votes())).withColumn("base_failed", F.expr(BASE_FAILED))
-    out = voted.crossJoin(F.broadcast(fitted(voted.filter("NOT base_failed"))))  # one row
+    rows = voted(features)
+    out = rows.crossJoin(F.broadcast(fitted(rows.filter("NOT base_failed")) if fit is None else fit))  # one row
     out = out.withColumn("posterior", F.expr(f"1 / (1 + exp(-{LOGIT.format(votes='votes', p='accuracy')}))"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at)).drop("votes", "accuracy")
 
 
 def keep_good(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
-    """Rows of docs that the rules keep, with their columns unchanged."""
-    held = stored(docs, "quality-docs") if "_row" in docs.columns else docs
-    row = F.xxhash64("doc_id", "text")  # equal rows have equal verdicts, so rows need no identifier of their own
-    verdicts = judged(stored(signals(held.withColumn("_row", row), "_row"), "quality"), keep_at)
-    good = verdicts.filter("kept").select("_row").distinct()
-    return held.withColumn("_row", row).join(good, "_row", "left_semi").select(*docs.columns)
+    """Rows of docs that the rules keep, with their columns unchanged.
+
+    The texts are read twice, for the fit and for the verdicts, and never moved.
+    """
+    fit = stored(fitted(voted(stored(signals(docs), "quality")).filter("NOT base_failed")), "quality-fit")
+    rows = signals(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), "_doc")
+    # a generator, through which the filter can't be pushed: it would repeat every expression that it uses
+    rows = rows.select("_doc", F.inline(F.array(F.struct(*[c for c in rows.columns if c != "_doc"]))))
+    return judged(rows, fit, keep_at).filter("kept").select("_doc.*")
 
 
 def op10_quality_rules(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Names, callables and comparison SQL of the corpus operators."""
 
-from . import bpe, language, mixing, neighbours, quality, substrings, suffixes, toxicity, warc
+from . import bpe, jaccard, language, mixing, neighbours, quality, substrings, suffixes, toxicity, warc
 
-MODULES = (bpe, language, mixing, neighbours, quality, substrings, suffixes, toxicity, warc)
+MODULES = (bpe, jaccard, language, mixing, neighbours, quality, substrings, suffixes, toxicity, warc)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._anchors import Hasher, anchor_rows, covered, keyed, mixed, with_spans
+from ._anchors import Hasher, anchor_rows, covered, keyed, mixed, text_key, with_spans
 from ._shared import dropped, stored
 
 WINDOW, SEED = 100, 24
@@ -207,19 +207,36 @@ def without_earlier(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     An empty table gives an empty result; other columns play no part.
     """
     rows = keyed(docs)
+    return with_spans(rows, earlier(rows, window)).withColumn("_cut", cutter(window)("text", "spans")).select("id", "key", "_cut.*")
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, key, text, spans in zip(b["id"], b["key"], b["text"], b["spans"], strict=True):
-                raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
-                gone = covered(len(raw), spans, window)
-                runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((i, key, len(raw), int(gone.sum()), runs, raw[~gone].tobytes()))
-            yield pd.DataFrame(out, columns=["id", "key", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    found = with_spans(rows, earlier(rows, window)).select("id", "key", "text", "spans")
-    return found.mapInPandas(run, "id long, key long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+def cutter(window: int, kept: str = "binary"):
+    """What a text loses, and its kept bytes, or with kept="string" its kept whole characters."""
+
+    @F.pandas_udf(f"n_bytes long, n_removed long, n_spans long, kept {kept}")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, s in zip(text, spans, strict=True):
+            raw = np.frombuffer(t.encode("utf-8", "replace"), dtype=np.uint8)
+            gone = covered(len(raw), s, window)
+            runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+            out.append((len(raw), int(gone.sum()), runs, raw[~gone].tobytes() if kept == "binary" else raw[~gone].tobytes().decode("utf-8", "ignore")))
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+
+    return cut
+
+
+def shortened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with what stands earlier removed from text, and n_chars to match; other columns unchanged.
+
+    Of a character that a removed run cuts in two, nothing stays.  No row goes.
+    """
+    rows = keyed(docs)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    cut = with_spans(whole, earlier(rows, window)).withColumn("_kept", cutter(window, "string")("text", "spans")["kept"])
+    cut = cut.withColumn("_text", F.when(F.col("_doc.text").isNotNull(), F.col("_kept")))
+    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"_doc.{c}").alias(c) for c in docs.columns]
+    return cut.select(*columns)
 
 
 def op2_suffix_dedup(spark, sf_dir):

@@ -1 +1 @@
-
+"""Column helpers and NumPy kernels."""

@@ -1,4 +1,8 @@
 """Names, callables and comparison SQL of every registered query."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .oracles import ORACLES
+from .queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1,81 @@
+"""Readers and writers: manifests, images, memory banks, run reports."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+REQUIRED = ("image_path", "label", "split", "source", "ood_type")
+#: Nested report of one run.
+REPORT = """global struct<auroc: double, auprc: double, fpr_at_95_tpr: double>, confusion_matrix struct<tn: long, fp: long, fn: long, tp: long>,
+threshold struct<value: double, source: string, quantile: double>, counts struct<total: long, id: long, ood: long>,
+per_ood_type map<string, struct<auroc: double, auprc: double, fpr_at_95_tpr: double, id_count: long, ood_count: long>>"""
+CONFIG = "project struct<run_name: string>, model struct<name: string, backbone: string, layers: string>"
+#: Names a configuration can have beside a report, in order of precedence; "../" is the folder above.
+CONFIG_NAMES = ("resolved_evaluation_config.json", "resolved_config.json", "../resolved_config.json")
+
+
+class SourceError(ValueError):
+    """A source that can't be read as what it should be."""
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest with a header line, any column order and extra columns, all as text; a file without any line is an error."""
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    if not df.columns:
+        raise SourceError(f"manifest is empty: {path}")
+    return df
+
+
+def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
+    df.write.mode("overwrite").csv(path, header=True, quoteAll=quote_all, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """image_path, height, width, channels (3), pixels (channel by channel, rows, columns; red first) and error of image files.
+
+    Files that can't be decoded stay, with an error.  Grey images get three equal channels.
+    """
+    df = spark.read.format("image").load(path).select("image.*")
+    n = F.col("height") * F.col("width")
+    place = F.transform(F.sequence(F.lit(0), 3 * n - 1), lambda i: (i % n) * F.col("nChannels") + F.when(F.col("nChannels") == 1, 0).otherwise(2 - F.floor(i / n)))
+    hexed = df.withColumn("_hex", F.hex("data"))
+    pixels = F.transform(place, lambda i: F.conv(F.substring(F.col("_hex"), (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("float"))
+    ok = F.col("height") > 0
+    return hexed.select(F.col("origin").alias("image_path"), "height", "width", F.when(ok, 3).alias("channels"), F.when(ok, pixels).alias("pixels"), F.when(~ok, "not a supported image").alias("error"))
+
+
+def read_reports(spark: SparkSession, runs_dir: str) -> DataFrame:
+    """metrics_path, the report columns and config of every metrics.json below runs_dir.
+
+    The first configuration that exists of CONFIG_NAMES is taken as a whole.  Without any report the call fails.
+    """
+    read = lambda name, schema: spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(runs_dir).withColumn("_file", F.col("_metadata.file_path"))
+    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    found = read("metrics.json", REPORT).withColumnRenamed("_file", "metrics_path")
+    if found.isEmpty():
+        raise SourceError(f"no metrics.json below {runs_dir}")
+    found = found.withColumn("_dir", folder(F.col("metrics_path")))
+    for i, name in enumerate(CONFIG_NAMES):
+        config = read(name.split("/")[-1], CONFIG).select(folder(F.col("_file")).alias("_dir" if "/" not in name else "_up"), F.struct("project", "model").alias(f"_c{i}"))
+        found = found.withColumn("_up", folder(F.col("_dir"))).join(config, "_up" if "/" in name else "_dir", "left")
+    return found.withColumn("config", F.coalesce("_c0", "_c1", "_c2")).drop("_dir", "_up", "_c0", "_c1", "_c2")
+
+
+def write_report(report: DataFrame, path: str, by: str | None = None) -> None:
+    w = report.write.mode("overwrite")
+    (w.partitionBy(by) if by else w).json(path)
+
+
+def save_bank(bank: DataFrame, meta: dict, path: str) -> None:
+    """bank_id and embedding, and a one-row table of how the bank was made; an empty bank is an error."""
+    if bank.isEmpty():
+        raise SourceError("there is no memory bank to save")
+    bank.select("bank_id", "embedding").write.mode("overwrite").parquet(f"{path}/bank")
+    schema = "backbone string, layers array<string>, coreset_ratio double, k int, max_patches long, seed int"
+    row = [(meta.get("backbone"), meta.get("layers"), meta.get("coreset_ratio", 0.1), meta.get("k", 1), meta.get("max_patches"), meta.get("seed", 42))]
+    bank.sparkSession.createDataFrame(row, schema).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_bank(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/bank"), spark.read.parquet(f"{path}/meta").first().asDict()

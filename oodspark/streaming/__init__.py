@@ -1 +1,34 @@
+"""The gate as a Structured Streaming job."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from ..operators.gate import gate_counts, gated
+
+
+def file_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length and content of image files as they arrive in a folder."""
+    return spark.readStream.format("binaryFile").load(folder)
+
+
+def gate_stream(files: DataFrame, threshold: Column) -> DataFrame:
+    """gated() of a stream of (filename, length, score); stateless, so rows are only appended."""
+    return gated(files, threshold)
+
+
+def gate_stream_counts(files: DataFrame, threshold: Column) -> DataFrame:
+    """Running counts of the gate: one row, in complete mode; its state is three numbers, so it needs no watermark."""
+    return gate_counts(gated(files, threshold))
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Work through all that is there, to a Parquet table (append) or, for counts, to the table's latest state (complete)."""
+    if mode == "append":
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return
+
+    def latest(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(latest).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()

@@ -4,8 +4,10 @@ Documents are sets of word n-grams.  Equal sets are one class from the start.  T
 count sketch, rare first; two sets over the threshold must share l of the first n - least overlap + l tokens, for every
 l.  Each set chooses its own l: a longer prefix costs more entries in the token lists, but candidates must share more of
 it.  Tokens in few sets give candidate pairs by join; sets that meet in the list of a token in very many sets are put
-together through that list.  Both only decide which sets are looked at together: within these clusters every pair that
-its sizes allow is verified exactly, block by block, and only links enough to connect what is linked leave a block.
+compared list by list, in blocks.  Of either kind only pairs stay whose parity sketches differ in no more bits than the
+threshold lets the sets differ in tokens, which no linked pair fails.  What is left decides which sets are looked at
+together: within these clusters every pair is verified exactly, block by block, and only links enough to connect what
+is linked leave a block.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from .substrings import Words
 GRAM, SIMILAR, OF = 3, 90, 100
 #: Bits of the count sketch: its size doesn't depend on the corpus.
 SKETCH_BITS = 19
-#: Most tokens a pair may be asked to share, and the cost of a verification against that of a list entry.
-LONGEST, VERIFY = 4, 4.0
+#: Most tokens a pair may be asked to share, and the cost of a verification, for each token, against that of a list entry.
+LONGEST, VERIFY = 4, 0.1
 #: A token in more sets has its list taken as a whole.
 WIDE = 24
-#: Sets in a verified block.
-BLOCK = 192
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: Sets in a verified block, and in a block of a list.
+BLOCK, LIST_BLOCK = 512, 4096
+#: Words of 64 bits in a parity sketch: each token flips one bit.
+PARITY = 8
+BITS = [f"p{i}" for i in range(PARITY)]
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -41,7 +45,7 @@ class Grams:
         self.words, self.gram = Words(), gram
 
     def __call__(self, text: str | None) -> np.ndarray:
-        h = self.words((text or "").translate(LOWER))
+        h = self.words((text or "").encode("utf-8", "replace").lower())  # of bytes, that is A-Z only
         if not len(h):
             return h
         width = min(self.gram, len(h))
@@ -57,22 +61,31 @@ def signature(s: np.ndarray) -> int:
     return int((x.sum(dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Which bits an odd number of tokens fall on: two sets differ in at least as many tokens as their sketches in bits."""
+    odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def described(docs: DataFrame, gram: int) -> DataFrame:
-    """id, key, n (size of the set) and sig of each row of keyed(docs); and with null id, a count sketch of the tokens for each task."""
+    """id, key, n (size of the set), sig and parity sketch p0, p1 ... of each row of keyed(docs); and with null id, a count sketch of the tokens for each task."""
 
     def run(batches):
         grams, sketch = Grams(gram), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
-            n, sig = [], []
+            n, sig, odd, slots = [], [], [np.zeros((0, PARITY), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for t in b["text"]:
                 s = grams(t)
                 n.append(len(s))
                 sig.append(signature(s))
-                np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pd.DataFrame({"id": b["id"], "key": b["key"], "n": n, "sig": sig, "sketch": None})
-        yield pd.DataFrame({"id": [None], "key": [0], "n": [0], "sig": [0], "sketch": [np.minimum(sketch, 2**31 - 1).astype("<i4").tobytes()]})
+                odd.append(parity(s)[None])
+                slots.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+            sketch += np.bincount(np.concatenate(slots), minlength=len(sketch))
+            bits = np.concatenate(odd)
+            yield pd.DataFrame({"id": b["id"], "key": b["key"], "n": n, "sig": sig, "sketch": None} | {p: bits[:, i] for i, p in enumerate(BITS)})
+        yield pd.DataFrame({"id": [None], "key": [0], "n": [0], "sig": [0]} | dict.fromkeys(BITS, 0) | {"sketch": [np.minimum(sketch, 2**31 - 1).astype("<i4").tobytes()]})
 
-    return docs.mapInPandas(run, "id long, key long, n int, sig long, sketch binary")
+    return docs.mapInPandas(run, "id long, key long, n int, sig long, sketch binary, " + ", ".join(f"{p} long" for p in BITS))
 
 
 def summed(sketches: DataFrame) -> np.ndarray:
@@ -112,7 +125,7 @@ def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch) -> DataF
                 free = n - -(-similar * n // of)
                 most = min(LONGEST, n - free)
                 near = np.maximum(df[order[: free + most]] - noise, 1.0)
-                costs = [near[: free + l].sum() + VERIFY * np.partition(near[: free + l], free)[free] for l in range(1, most + 1)]
+                costs = [near[: free + l].sum() + VERIFY * n * np.partition(near[: free + l], free)[free] for l in range(1, most + 1)]
                 l = int(np.argmin(costs)) + 1
                 parts.append((s[order[: free + l]].view(np.int64), sig, n, l, np.maximum(np.arange(free + l) - free + 1, 1)))
             if parts:
@@ -123,15 +136,54 @@ def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch) -> DataF
 
 
 def looked_at(lists: DataFrame, similar: int, of: int) -> DataFrame:
-    """a and b: sets to be looked at together.  lists are the prefix rows of tokens in several sets, with df, their number."""
+    """a and b: sets to be looked at together.  lists are the prefix rows of tokens in several sets, with df, their number, and parity sketches."""
     few, many = lists.filter(F.col("df") <= WIDE), lists.filter(F.col("df") > WIDE)
-    x = few.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("level").alias("va"))
-    y = few.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("level").alias("vb"))
+    x = few.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("level").alias("va"), *[F.col(p).alias(f"a{p}") for p in BITS])
+    y = few.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("level").alias("vb"), *[F.col(p).alias(f"b{p}") for p in BITS])
     sizes = (F.col("na") * of >= F.col("nb") * similar) & (F.col("nb") * of >= F.col("na") * similar)
-    pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & sizes & (F.greatest("va", "vb") <= F.least("la", "lb")))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("la", "lb")).alias("asked")).filter("shared >= asked").select("a", "b")
-    first = many.groupBy("token").agg(F.min("sig").alias("a"))
-    return pairs.union(many.join(first, "token").select("a", F.col("sig").alias("b")).filter("a <> b"))
+    apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in BITS), F.lit(0))
+    near = apart * (of + similar) <= (F.col("na") + F.col("nb")) * (of - similar)
+    on = (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & sizes & (F.greatest("va", "vb") <= F.least("la", "lb")) & near
+    pairs = x.join(y, on).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("la", "lb")).alias("asked"))
+    return pairs.filter("shared >= asked").select("a", "b").union(listed(many, similar, of))
+
+
+def listed(many: DataFrame, similar: int, of: int) -> DataFrame:
+    """a and b: pairs enough to connect, list by list, all sets that sizes and parity sketches let be linked.
+
+    Lists are parted into blocks by hash and each pair of blocks compared by itself, so no task holds more than two
+    blocks of a list at once.
+    """
+    blocks = F.ceil(F.col("df") / LIST_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    rows = many.select("token", "sig", "n", *BITS, blocks.alias("blocks")).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", *BITS)
+
+    def near(f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in f.groupby(["token", "i", "j"], sort=False):
+            n, sig, bits = g["n"].to_numpy().astype(np.int64), g["sig"].to_numpy(), g[BITS].to_numpy().view(np.uint64)
+            up = list(range(len(g)))
+            for x in range(len(g) - 1):
+                apart = np.bitwise_count(bits[x + 1 :] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                m = n[x + 1 :]
+                found = np.flatnonzero((apart * (of + similar) <= (n[x] + m) * (of - similar)) & (n[x] * of >= m * similar) & (m * of >= n[x] * similar))
+                for y in found + x + 1:
+                    a, b = root(up, x), root(up, int(y))
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        out.append((sig[x], sig[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    lot = F.pmod(F.xxhash64("token", "i", "j"), F.lit(509)).alias("lot")
+    return rows.groupBy(lot).applyInPandas(near, "a long, b long")
+
+
+def root(up: list[int], i: int) -> int:
+    while up[i] != i:
+        up[i] = i = up[up[i]]
+    return i
 
 
 def cells(named: DataFrame, similar: int, of: int) -> DataFrame:
@@ -159,22 +211,34 @@ def cells(named: DataFrame, similar: int, of: int) -> DataFrame:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets, by products of slices of their incidence matrix."""
+    """Sizes of the intersections of all sets, by whichever is less work: their incidence matrix, or the lists of their common tokens."""
     n = len(sets)
     tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
-    common = np.bincount(at, minlength=len(tokens)) > 1
-    place = np.cumsum(common) - 1
-    keep = common[at]
-    row, col = row[keep], place[at[keep]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    out, width = np.zeros((n, n), dtype=np.float32), max(4096, (1 << 22) // max(n, 1))
-    for start in range(0, int(common.sum()), width):
-        a, b = np.searchsorted(col, (start, start + width))
-        m = np.zeros((n, width), dtype=np.float32)
-        m[row[a:b], col[a:b] - start] = 1
-        out += m @ m.T
+    times = np.bincount(at, minlength=len(tokens))
+    keep = times[at] > 1
+    row, col = row[keep], (np.cumsum(times > 1) - 1)[at[keep]]
+    times = times[times > 1]
+    many = len(times)
+    if n * n * many < 100 * int((times * times).sum()):
+        out, width = np.zeros((n, n), dtype=np.float32), min(max(many, 1), max(1024, (1 << 22) // n))
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for start in range(0, many, width):
+            a, b = np.searchsorted(col, (start, start + width))
+            m = np.zeros((n, width), dtype=np.float32)
+            m[row[a:b], col[a:b] - start] = 1
+            out += m @ m.T
+        return np.rint(out).astype(np.int64)
+    by_token = row[np.argsort(col, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(times)[:-1]])
+    ends = np.cumsum(np.bincount(row, minlength=n))  # row ascends
+    out = np.empty((n, n), dtype=np.int64)
+    for i in range(n):
+        c = col[ends[i - 1] if i else 0 : ends[i]]
+        each = times[c]
+        place = np.repeat(first[c] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        out[i] = np.bincount(by_token[place], minlength=n)
     return out
 
 
@@ -193,17 +257,11 @@ def verified(members: DataFrame, gram: int, similar: int, of: int, lots: int) ->
                     made[s] = grams(t)
                 sets.append(made[s])
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            both = np.rint(overlaps(sets)).astype(np.int64)
+            both = overlaps(sets)
             linked = of * both >= similar * (n[:, None] + n[None, :] - both)
             up = list(range(len(sets)))
-
-            def root(i: int) -> int:
-                while up[i] != i:
-                    up[i] = i = up[up[i]]
-                return i
-
             for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-                a, b = root(i), root(j)
+                a, b = root(up, i), root(up, j)
                 if a != b:
                     up[max(a, b)] = min(a, b)
                     out.append((sig[i], sig[j]))
@@ -225,7 +283,7 @@ def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int =
     rows = keyed(docs)
     told = stored(described(rows, gram), "jaccard-sets")
     sketch = spark.sparkContext.broadcast(summed(told.filter("sketch IS NOT NULL").select("sketch")))  # of fixed size
-    told = told.filter("id IS NOT NULL").select("id", "key", "n", "sig")
+    told = told.filter("id IS NOT NULL").drop("sketch")
 
     entries = stored(prefixes(rows, gram, similar, of, sketch), "jaccard-prefixes")
     shared = stored(entries.groupBy("token").agg((F.min("sig") != F.max("sig")).alias("several")).filter("several").select("token"), "jaccard-tokens")
@@ -233,7 +291,8 @@ def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int =
     lists = stored(entries.join(shared, "token").groupBy("token", "sig").agg(*[F.min(c).alias(c) for c in ("n", "l", "level")]), "jaccard-lists")
     dropped(spark, entries, shared)
     counts = lists.groupBy("token").agg(F.count("*").alias("df"))
-    together = looked_at(stored(lists.join(counts, "token"), "jaccard-counted"), similar, of)
+    odd = told.groupBy("sig").agg(*[F.first(p).alias(p) for p in BITS])
+    together = looked_at(stored(lists.join(counts, "token").join(odd, "sig"), "jaccard-counted"), similar, of)
     clusters = components(together, "jaccard-clusters")
 
     named = clusters.join(told.groupBy("sig").agg(F.min("n").alias("n"), F.min(F.struct("id", "key")).alias("one")), F.col("node") == F.col("sig")).select("sig", "n", "one.*", "label")

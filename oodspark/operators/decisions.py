@@ -86,12 +86,12 @@ def decided(scored: DataFrame, threshold: Column) -> DataFrame:
 def operating_points(scored: DataFrame, calibration: DataFrame, quantiles: Sequence[float] = (0.95, 0.99), target: float = 0.95) -> DataFrame:
     """policy, threshold, id_false_reject_rate and ood_detection_rate for each quantile policy and for FPR at the target recall."""
     running = cumulative(score_counts(scored))
-    reach = running.filter(F.col("tp") / F.col("n_pos") >= target).agg(F.max("score").alias("threshold")).select(F.lit(f"fpr_at_{round(target * 100)}_tpr").alias("policy"), "threshold")
+    reach = running.filter(F.try_divide("tp", "n_pos") >= target).agg(F.max("score").alias("threshold")).select(F.lit(f"fpr_at_{round(target * 100)}_tpr").alias("policy"), "threshold")
     policies = reach
     for q in quantiles:
         policies = policies.union(quantile_threshold(calibration.filter("label = 0"), q).select(F.lit(f"val_id_{round(q * 100)}"), "threshold"))
     up = F.col("score") >= F.col("threshold")
-    rate = lambda y: F.count_if((F.col("label") == y) & up) / F.count_if(F.col("label") == y)
+    rate = lambda y: F.try_divide(F.count_if((F.col("label") == y) & up), F.count_if(F.col("label") == y))
     # a row for each policy
     return scored.select("score", "label").crossJoin(F.broadcast(policies)).groupBy("policy", "threshold").agg(rate(0).alias("id_false_reject_rate"), rate(1).alias("ood_detection_rate"))
 

@@ -72,14 +72,14 @@ def cumulative(counts: DataFrame, keys: Sequence[str] = (), cuts: Sequence[float
 
 def roc_curve(running: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, threshold, fpr and tpr from cumulative(): a point for each score, and (0, 0) at an infinite threshold."""
-    points = running.select(*keys, F.col("score").alias("threshold"), (F.col("fp") / F.col("n_neg")).alias("fpr"), (F.col("tp") / F.col("n_pos")).alias("tpr"))
+    points = running.select(*keys, F.col("score").alias("threshold"), F.try_divide("fp", "n_neg").alias("fpr"), F.try_divide("tp", "n_pos").alias("tpr"))
     start = running.select(*keys).distinct() if keys else running.sparkSession.range(1).select()
     return points.union(start.select(*keys, F.lit(float("inf")), F.lit(0.0), F.lit(0.0)))
 
 
 def pr_curve(running: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, threshold, precision and recall from cumulative(); the end point (1, 0) has no threshold."""
-    points = running.select(*keys, F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("n_pos")).alias("recall"))
+    points = running.select(*keys, F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "n_pos").alias("recall"))
     end = running.select(*keys).distinct() if keys else running.sparkSession.range(1).select()
     return points.union(end.select(*keys, F.lit(None).cast("double"), F.lit(1.0), F.lit(0.0)))
 
@@ -87,19 +87,19 @@ def pr_curve(running: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def auroc() -> Column:
     """Pairs won and half the ties, over all pairs.  NULL if a class is missing."""
     pairs = F.max(F.col("n_pos") * F.col("n_neg"))
-    return F.when(pairs > 0, F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + 0.5 * F.col("neg") * F.col("pos")) / pairs)
+    return F.when(pairs > 0, F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + 0.5 * F.col("neg") * F.col("pos")), pairs))
 
 
 def auprc() -> Column:
     """Average precision: precision at each score, weighted by the recall it adds.  NULL if a class is missing."""
-    return F.when(F.max(F.least("n_pos", "n_neg")) > 0, F.sum(F.col("pos") / F.col("n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))))
+    return F.when(F.max(F.least("n_pos", "n_neg")) > 0, F.sum(F.try_divide("pos", "n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))))
 
 
 def fpr_at_recall(target: float = 0.95) -> Column:
     """Least false positive rate among the points of at least that recall.  NULL if a class is missing."""
     if not 0 < target <= 1:
         raise MetricInputError("target recall must be above 0 and at most 1")
-    return F.when(F.max(F.least("n_pos", "n_neg")) > 0, F.min(F.when(F.col("tp") / F.col("n_pos") >= target, F.col("fp") / F.col("n_neg"))))
+    return F.when(F.max(F.least("n_pos", "n_neg")) > 0, F.min(F.when(F.try_divide("tp", "n_pos") >= target, F.try_divide("fp", "n_neg"))))
 
 
 def ranking_metrics(scored: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label", cuts: Sequence[float] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,8 @@ def metrics_report(scored: DataFrame, thresholds: DataFrame, keys: Sequence[str]
 
 def _named(reports: DataFrame, runs_dir: str) -> DataFrame:
     """reports (of sources.read_reports()) with run_name, run_dir, model, backbone, layers and metrics_file."""
-    root = runs_dir.rstrip("/") + "/"
+    root = re.sub("^([a-z0-9+.-]+:)/+", r"\1/", runs_dir.rstrip("/")) + "/"
+    reports = reports.withColumn("metrics_path", F.regexp_replace("metrics_path", "^([a-z0-9+.-]+:)/+", "$1/"))
     rel = lambda c: F.when(c.startswith(root), F.substring(c, F.lit(len(root) + 1), F.length(c))).when(c == root[:-1], ".").otherwise(c)
     folder = F.regexp_replace("metrics_path", "/[^/]*$", "")
     run = F.regexp_replace(folder, "/evaluation$", "")

@@ -27,13 +27,13 @@ GRAM, SIMILAR, OF = 3, 90, 100
 #: Bits of the count sketch: its size doesn't depend on the corpus.
 SKETCH_BITS = 19
 #: Most tokens a pair may be asked to share, and the cost of a verification, for each token, against that of a list entry.
-LONGEST, VERIFY = 4, 0.1
+LONGEST, VERIFY = 6, 0.1
 #: A token in more sets has its list taken as a whole.
 WIDE = 24
 #: Sets in a verified block, and in a block of a list.
 BLOCK, LIST_BLOCK = 512, 4096
 #: Words of 64 bits in a parity sketch: each token flips one bit.
-PARITY = 8
+PARITY = 16
 BITS = [f"p{i}" for i in range(PARITY)]
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -102,10 +102,12 @@ def summed(sketches: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(r["sketch"], dtype="<i8") for r in rows), np.zeros(1 << SKETCH_BITS, dtype=np.int64))
 
 
-def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch) -> DataFrame:
+def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch, rows: int) -> DataFrame:
     """token, sig, n, l (tokens the set asks for) and level (the least l whose prefix has the token) of each prefix token.
 
-    A batch gives the rows of equal sets once.
+    Asking for l tokens costs the entries of the lists read, and a verification for each of the sets that share l tokens
+    by chance: with lists of L entries over all, about rows * (L / rows) ** l / l!.  A batch gives the rows of equal sets
+    once.
     """
 
     def run(batches):
@@ -125,8 +127,9 @@ def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch) -> DataF
                 free = n - -(-similar * n // of)
                 most = min(LONGEST, n - free)
                 near = np.maximum(df[order[: free + most]] - noise, 1.0)
-                costs = [near[: free + l].sum() + VERIFY * n * np.partition(near[: free + l], free)[free] for l in range(1, most + 1)]
-                l = int(np.argmin(costs)) + 1
+                entries, ls = np.cumsum(near)[free:], np.arange(1, most + 1)
+                chance = np.cumsum(np.log(np.maximum(entries / max(rows, 1), 1e-12)[:, None] / ls[None, :]), axis=1).diagonal()
+                l = int(np.argmin(entries + VERIFY * n * rows * np.exp(chance))) + 1
                 parts.append((s[order[: free + l]].view(np.int64), sig, n, l, np.maximum(np.arange(free + l) - free + 1, 1)))
             if parts:
                 each = [len(p[0]) for p in parts]
@@ -211,7 +214,7 @@ def cells(named: DataFrame, similar: int, of: int) -> DataFrame:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets, by whichever is less work: their incidence matrix, or the lists of their common tokens."""
+    """Sizes of the intersections of different sets (the diagonal means nothing), by whichever is less work: their incidence matrix, or the lists of their common tokens."""
     n = len(sets)
     tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
@@ -285,7 +288,7 @@ def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int =
     sketch = spark.sparkContext.broadcast(summed(told.filter("sketch IS NOT NULL").select("sketch")))  # of fixed size
     told = told.filter("id IS NOT NULL").drop("sketch")
 
-    entries = stored(prefixes(rows, gram, similar, of, sketch), "jaccard-prefixes")
+    entries = stored(prefixes(rows, gram, similar, of, sketch, told.count()), "jaccard-prefixes")
     shared = stored(entries.groupBy("token").agg((F.min("sig") != F.max("sig")).alias("several")).filter("several").select("token"), "jaccard-tokens")
     dropped(spark)
     lists = stored(entries.join(shared, "token").groupBy("token", "sig").agg(*[F.min(c).alias(c) for c in ("n", "l", "level")]), "jaccard-lists")
@@ -299,7 +302,7 @@ def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int =
     named = stored(named, "jaccard-named")
     where = stored(cells(named, similar, of), "jaccard-cells")
     lots = max(1, -(-where.count() // BLOCK))
-    text = rows.join(named.select("id", "key", "sig"), ["id", "key"]).select("sig", "text")
+    text = rows.join(named.select("id", "key", "sig").hint("merge"), ["id", "key"]).select("sig", "text")
     if told.count() != told.select("id", "key").distinct().count():  # rows that repeat each other give one set
         text = text.dropDuplicates(["sig"])
     links = stored(verified(where.join(text, "sig"), gram, similar, of, lots), "jaccard-links")

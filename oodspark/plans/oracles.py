@@ -56,7 +56,7 @@ cf AS (SELECT run_name, {CELLS.format(t='threshold')}, count(*) AS total_count,
 kt AS (SELECT DISTINCT run_name, ood_type AS k FROM sv WHERE label = 1), kx AS (SELECT kt.run_name, kt.k, sv.score, sv.label FROM sv JOIN kt ON sv.run_name = kt.run_name AND (sv.label = 0 OR sv.ood_type = kt.k)),
 {metrics('kx', 'run_name, k').replace('c0 AS', 'k0 AS').replace('FROM c0', 'FROM k0').replace('c AS (SELECT *', 'kc AS (SELECT *')},
 km AS (SELECT run_name AS raw, k AS ood_type, {TRIPLE}, max(n_neg)::BIGINT AS id_count, max(n_pos)::BIGINT AS ood_count FROM kc GROUP BY run_name, k),
-nm AS (SELECT run_name AS raw, run_name[5:]::INT AS n, CASE WHEN n IN (2, 3) THEN run_name ELSE 'exp|' || n END AS run_name, CASE WHEN n = 3 THEN '' ELSE 'patchcore' END AS model, CASE WHEN n = 3 THEN '' ELSE 'resnet50' END AS backbone,
+nm AS (SELECT run_name AS raw, run_name[5:]::INT AS n, CASE WHEN n IN (2, 3) THEN run_name ELSE 'exp|' || n END AS run_name, CASE WHEN n = 3 THEN '' ELSE 'patch_bank' END AS model, CASE WHEN n = 3 THEN '' ELSE 'resnet50' END AS backbone,
   CASE n WHEN 3 THEN '' WHEN 4 THEN 'layer2+layer3' ELSE 'layer' || (n + 1) END AS layers, raw AS run_dir, raw || CASE WHEN n % 2 = 0 THEN '/evaluation' ELSE '' END || '/metrics.json' AS metrics_file FROM (SELECT run_name FROM mt)),
 ov AS (SELECT nm.run_name, run_dir, model, backbone, layers, auroc, auprc, fpr_at_95_tpr, round(threshold, 6)::DOUBLE AS threshold, '{VALIDATION}' AS threshold_source, total_count, id_count, ood_count, tn, fp, fn, tp, metrics_file
   FROM nm JOIN mt ON mt.run_name = raw JOIN th ON th.run_name = raw JOIN cf ON cf.run_name = raw),

@@ -407,7 +407,7 @@ def _report_files(spark, d):
     r = _reports(spark, d)
     n = F.substring("run_name", 5, 9).cast("int")
     layers = F.when(n == 4, F.lit('["layer2","layer3"]')).otherwise(F.concat(F.lit('["layer'), (n + 1).cast("string"), F.lit('"]')))
-    config = F.when(n != 3, F.struct(F.struct(F.when(n != 2, F.concat(F.lit("exp|"), n.cast("string"))).alias("run_name")).alias("project"), F.struct(F.lit("patchcore").alias("name"), F.lit("resnet50").alias("backbone"), layers.alias("layers")).alias("model")))
+    config = F.when(n != 3, F.struct(F.struct(F.when(n != 2, F.concat(F.lit("exp|"), n.cast("string"))).alias("run_name")).alias("project"), F.struct(F.lit("patch_bank").alias("name"), F.lit("resnet50").alias("backbone"), layers.alias("layers")).alias("model")))
     text = F.to_json(F.struct("global", "confusion_matrix", "threshold", "counts", "per_ood_type"))
     files = r.select(F.concat(F.lit("/runs/"), "run_name", F.when(n % 2 == 0, "/evaluation").otherwise(""), F.lit("/metrics.json")).alias("metrics_path"), F.from_json(text, sources.REPORT.replace("\n", " ")).alias("j"), F.from_json(F.to_json(config), sources.CONFIG).alias("config"))
     return files.select("metrics_path", "j.*", "config")

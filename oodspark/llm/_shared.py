@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,5 +52,7 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         for path in df.inputFiles()[:1]:
             folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # what holds a shuffle is itself freed by the first pass; Spark's cleaner works beside us
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.2)

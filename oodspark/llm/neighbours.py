@@ -77,7 +77,7 @@ def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directio
 
     Columns vec_id and embedding are read.  Ties go to the smaller vec_id; fewer than k rows if there are fewer
     candidates.  Rows that share an id count as one candidate, by the best of them, and are no candidates of each other.
-    looked_at >= blocks makes the search exact.
+    looked_at >= blocks makes the search exact; a block has k + 1 rows at least, so small tables are searched whole.
     """
 
     def keyed(batches):
@@ -89,7 +89,8 @@ def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directio
     kind = dict(vectors.dtypes)["embedding"]
     rows = stored(usable(vectors).mapInPandas(keyed, f"vec_id long, embedding {kind}, keys array<long>"), "ann-keys")
     on = rows.select("vec_id", "embedding", F.posexplode("keys").alias("curve", "key"))
-    at = [i / blocks for i in range(1, blocks)]
+    blocks = max(1, min(blocks, rows.count() // (k + 1)))  # so few rows that all are wanted are one block
+    at = [i / blocks for i in range(1, blocks)] or [1.0]
     cuts = {r["curve"]: r["cuts"] for r in on.groupBy("curve").agg(F.percentile_approx("key", at, 10_000).alias("cuts")).collect()}  # a row for each curve
     cut = F.create_map(*[F.lit(x) for c in sorted(cuts) for x in (c, cuts[c])]) if cuts else F.create_map().cast("map<int,array<long>>")
     on = on.withColumn("block", F.size(F.filter(cut[F.col("curve")], lambda c: c < F.col("key"))))

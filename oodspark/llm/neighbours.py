@@ -62,14 +62,14 @@ def curve_keys(v: np.ndarray, curves: int, directions: int, seed: int = SEED) ->
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that can take part: id not null, vector neither null, zero nor of other than finite components.
+    """Distinct vec_id and embedding of the rows that can take part: id not null, vector neither null, zero nor of other than finite components.
 
     Of vectors of several lengths, those of the most common length (the smallest of these) take part.
     """
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)))
     length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("embedding") == (length["n"] if length else 0))
+    return rows.filter(F.size("embedding") == (length["n"] if length else 0)).distinct()
 
 
 def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directions: int = DIRECTIONS, blocks: int = BLOCKS, looked_at: int = LOOKED_AT) -> DataFrame:
@@ -77,7 +77,8 @@ def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directio
 
     Columns vec_id and embedding are read.  Ties go to the smaller vec_id; fewer than k rows if there are fewer
     candidates.  Rows that share an id count as one candidate, by the best of them, and are no candidates of each other.
-    looked_at >= blocks makes the search exact; a block has k + 1 rows at least, so small tables are searched whole.
+    looked_at >= blocks makes the search exact.  Blocks are cut by ids, not rows, and each is to have k + 1 ids at least,
+    so small tables are searched whole and an id of many rows doesn't narrow the window.
     """
 
     def keyed(batches):
@@ -89,9 +90,9 @@ def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directio
     kind = dict(vectors.dtypes)["embedding"]
     rows = stored(usable(vectors).mapInPandas(keyed, f"vec_id long, embedding {kind}, keys array<long>"), "ann-keys")
     on = rows.select("vec_id", "embedding", F.posexplode("keys").alias("curve", "key"))
-    blocks = max(1, min(blocks, rows.count() // (k + 1)))  # so few rows that all are wanted are one block
+    blocks = max(1, min(blocks, rows.select("vec_id").distinct().count() // (k + 1)))  # so few ids that all are wanted are one block
     at = [i / blocks for i in range(1, blocks)] or [1.0]
-    cuts = {r["curve"]: r["cuts"] for r in on.groupBy("curve").agg(F.percentile_approx("key", at, 10_000).alias("cuts")).collect()}  # a row for each curve
+    cuts = {r["curve"]: r["cuts"] for r in on.groupBy("curve", "vec_id").agg(F.min("key").alias("key")).groupBy("curve").agg(F.percentile_approx("key", at, 10_000).alias("cuts")).collect()}  # a row for each curve
     cut = F.create_map(*[F.lit(x) for c in sorted(cuts) for x in (c, cuts[c])]) if cuts else F.create_map().cast("map<int,array<long>>")
     on = on.withColumn("block", F.size(F.filter(cut[F.col("curve")], lambda c: c < F.col("key"))))
     query = is_query(F.col("vec_id"))
@@ -106,7 +107,7 @@ def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directio
     looking = {cell: max(1, -(-sum(queries_in.get((cell[0], b), 0) for b in range(blocks) if cell[1] in window(b)) // QUERIES_EACH)) for cell in parts}
     seen_by = rows.sparkSession.createDataFrame([(c, b, s, parts[c, s], looking[c, s]) for c, b in parts for s in window(b) if (c, s) in parts] or [(-1, -1, -1, 1, 1)], "curve int, block int, seen int, n_parts int, n_lots int")
     n_parts = seen_by.select("curve", F.col("seen").alias("block"), "n_parts", "n_lots").distinct()
-    spread = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
+    spread = lambda salt, n: F.pmod(F.xxhash64("vec_id", "embedding", F.lit(salt)), n).cast("int")
     # the three small tables have at most curves * blocks * looked_at rows, or a row for each group of a task
     there = on.join(F.broadcast(n_parts), ["curve", "block"]).withColumn("part", spread("part", F.col("n_parts")))
     there = there.select("vec_id", "embedding", "curve", "block", "part", F.explode(F.sequence(F.lit(0), F.col("n_lots") - 1)).alias("lot"))
@@ -118,15 +119,20 @@ def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directio
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         qs, cs = (np.stack(x.to_numpy()).astype(np.float64) for x in (q["vector"], c["embedding"]))
         ids, out = c["vec_id"].to_numpy(), []
+        order = np.argsort(ids, kind="stable")
+        ids, cs = ids[order], cs[order]
+        heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])  # the first row of each id
         for start in range(0, len(q), 256):
             near = qs[start : start + 256] @ cs.T
             for i, row in enumerate(near, start):
                 own = q["query_id"].iat[i]
                 row[ids == own] = -np.inf
-                least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                best = np.maximum.reduceat(row, heads) if len(heads) < len(row) else row  # of each id
+                least = np.partition(best, -k)[-k] if len(best) > k else -np.inf
                 found = np.flatnonzero((row >= least - 1e-9 * max(1.0, abs(least))) & (row > -np.inf)) if least > -np.inf else np.flatnonzero(row > -np.inf)
                 exact = (cs[found] * qs[i]).sum(axis=1)  # the same order of additions wherever the vector stands
-                first = np.lexsort((ids[found], -exact))[:k]
+                first = np.lexsort((ids[found], -exact))
+                first = first[np.sort(np.unique(ids[found][first], return_index=True)[1])[:k]]  # the best row of each of k ids
                 out.append(pd.DataFrame({"query_id": own, "vec_id": ids[found][first], "score": exact[first]}))
         return pd.concat(out, ignore_index=True)
 

@@ -309,6 +309,32 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(0), lambda i: i % 20 == 0, 5).count() == 0
 
 
+@pytest.mark.parametrize("most", [8192, 40])
+def test_neighbours_of_repeated_ids(spark, monkeypatch, most):
+    """Copies and many different rows of one id take one place of the k, in every block and part."""
+    monkeypatch.setattr(neighbours, "CANDIDATES", most)
+    monkeypatch.setattr(neighbours, "QUERIES_EACH", most)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(120, 8))
+    hot = [(7, (v[0] * 9 + rng.normal(size=8) * 0.1)) for _ in range(60)]  # scores high for query 0
+    rows = [(i, x) for i, x in enumerate(v) for _ in range(2)] + hot + [(3, v[3] * 2)] * 30 + [(20, x) for x in rng.normal(size=(50, 8))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>")
+    for part, k, blocks in ((df, 5, 16), (df, 5, 1), (df.filter("vec_id < 20"), 20, 16)):
+        rows_ = [(r["vec_id"], np.array(r["embedding"])) for r in part.collect()]
+        got = collections.defaultdict(dict)
+        for r in neighbours.nearest(part, lambda i: i % 20 == 0, k, blocks=blocks, looked_at=blocks).collect():
+            got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+        assert set(got) == {i for i, _ in rows_ if i % 20 == 0}
+        for q, found in got.items():
+            best: dict = {}
+            for _, a in (x for x in rows_ if x[0] == q):
+                for i, b in rows_:
+                    if i != q:
+                        best[i] = max(best.get(i, -np.inf), float(a @ b))
+            want = sorted(best, key=lambda i: (-best[i], i))[:k]
+            assert [found[n][0] for n in sorted(found)] == want and np.allclose([found[n][1] for n in sorted(found)], [best[i] for i in want])
+
+
 def test_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = collections.defaultdict(set)

@@ -10,13 +10,13 @@ from oodspark.llm._shared import stored
 from oodspark.llm.bpe import encoded
 from oodspark.llm.jaccard import one_of_each
 from oodspark.llm.mixing import mix
-from oodspark.llm.quality import keep_good
+from oodspark.llm.quality import ALL_STOPS, LEARNING, keep_good
 from oodspark.llm.suffixes import shortened
 
 
 def quality(spark, docs, sf_dir):
-    """Documents that the weakly supervised rules reject go."""
-    return keep_good(docs)
+    """Documents that the weakly supervised rules reject go; the fit may learn that a rule errs on good documents."""
+    return keep_good(docs, bounds=LEARNING, stops=ALL_STOPS)
 
 
 def near_duplicates(spark, docs, sf_dir):

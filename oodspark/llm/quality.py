@@ -30,6 +30,12 @@ START_GOOD, START_BAD, START_PRIOR = 0.99, 0.2, 0.7
 #: Estimates stay inside these bounds: a rule seldom blames a good document, so the classes cannot swap and a kind of junk that
 #: only one or two rules see is not taken for good because it is common.  No rule gets infinite weight.
 BOUNDS = {"good": (0.99, 0.999), "bad": (0.1, 0.95), "prior": (0.5, 0.9)}
+#: Bounds for corpora of many kinds: the fit may find that a rule blames up to half of the good documents, such as verse or
+#: capitals, and then one such vote is no veto.  The classes keep their start; junk is told by rules that agree.
+LEARNING = BOUNDS | {"good": (0.5, 0.999)}
+#: Characters that end a sentence, as the content of a regular expression's class: ASCII only, and of all scripts.
+STOPS = ".!?"
+ALL_STOPS = STOPS + "\u037e\u0589\u061f\u06d4\u0700\u0701\u0702\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u166e\u1803\u1809\u17d4\u17d5\u2026\u203c\u203d\u2047\u2048\u2049\u3002\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
 #: Votes that the start values count for in every estimate.
 PSEUDO = 10.0
 KEEP_AT = 0.5
@@ -37,13 +43,16 @@ BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 WINDOW = 8
 
 
-def signals(docs: DataFrame, *keep: str) -> DataFrame:
+def signals(docs: DataFrame, *keep: str, stops: str = STOPS) -> DataFrame:
     """Counts per document over its whole text (null text counts as empty), beside the columns named in keep.
 
     Windows of eight words are compared by 64-bit hash inside the row, so no window leaves its task; the positions are
     only worked out in texts where some window does repeat.
     """
     d = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    ends = F.regexp_replace("_t", r"[^.!?]+" if stops == STOPS else r"[^.!?\x{80}-\x{10FFFF}]+", "")
+    if stops != STOPS:  # the long class only sees what is not ASCII
+        ends = F.regexp_replace(ends, f"[^{stops}]+", "")
     d = d.withColumns({"_w": words(F.col("_t")), "_l": F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     d = d.select(
         *keep,
@@ -53,7 +62,7 @@ def signals(docs: DataFrame, *keep: str) -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.length(F.regexp_replace("_t", r"[^A-Z]+", "")).cast("long").alias("n_capitals"),
-        F.length(F.regexp_replace("_t", r"[^.!?]+", "")).cast("long").alias("n_stops"),
+        F.length(ends).cast("long").alias("n_stops"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
     for gap in (1, 2, 4):  # hashes of 2, 4 and then 8 words
@@ -75,16 +84,17 @@ def votes() -> str:
 LOGIT = "aggregate(zip_with({votes}, {p}, (v, a) -> CASE v WHEN 1 THEN ln(a.g / (1 - a.b)) WHEN -1 THEN ln((1 - a.g) / a.b) ELSE 0D END), 0D, (s, y) -> s + y)"
 
 
-def fitted(voted: DataFrame) -> DataFrame:
+def fitted(voted: DataFrame, bounds: dict | None = None) -> DataFrame:
     """One row: for each rule how often its votes are right on good (g) and on bad documents (b), and last the good share, twice.
 
-    The start values if there are no rows.
+    The start values if there are no rows.  bounds are BOUNDS by default.
     """
+    bounds = BOUNDS if bounds is None else bounds
     patterns = voted.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
     row = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("pats"))
 
     def clamped(kind: str, x: str) -> str:
-        return f"least({BOUNDS[kind][1]}D, greatest({BOUNDS[kind][0]}D, {x}))"
+        return f"least({bounds[kind][1]}D, greatest({bounds[kind][0]}D, {x}))"
 
     good = clamped("good", f"(aggregate(e, 0D, (s, x) -> s + x.n * CASE x.v[r] WHEN 1 THEN x.q ELSE 0D END) + {PSEUDO * START_GOOD}D) / (aggregate(e, 0D, (s, x) -> s + x.n * x.q * abs(x.v[r])) + {PSEUDO}D)")
     bad = clamped("bad", f"(aggregate(e, 0D, (s, x) -> s + x.n * CASE x.v[r] WHEN -1 THEN 1 - x.q ELSE 0D END) + {PSEUDO * START_BAD}D) / (aggregate(e, 0D, (s, x) -> s + x.n * (1 - x.q) * abs(x.v[r])) + {PSEUDO}D)")
@@ -113,13 +123,13 @@ def judged(features: DataFrame, fit: DataFrame | None = None, keep_at: float = K
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at)).drop("votes", "accuracy")
 
 
-def keep_good(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
+def keep_good(docs: DataFrame, keep_at: float = KEEP_AT, bounds: dict | None = None, stops: str = STOPS) -> DataFrame:
     """Rows of docs that the rules keep, with their columns unchanged.
 
     The texts are read twice, for the fit and for the verdicts, and never moved.
     """
-    fit = stored(fitted(voted(stored(signals(docs), "quality")).filter("NOT base_failed")), "quality-fit")
-    rows = signals(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), "_doc")
+    fit = stored(fitted(voted(stored(signals(docs, stops=stops), "quality")).filter("NOT base_failed"), bounds), "quality-fit")
+    rows = signals(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), "_doc", stops=stops)
     # a generator, through which the filter can't be pushed: it would repeat every expression that it uses
     rows = rows.select("_doc", F.inline(F.array(F.struct(*[c for c in rows.columns if c != "_doc"]))))
     return judged(rows, fit, keep_at).filter("kept").select("_doc.*")

@@ -109,6 +109,22 @@ def test_quality_fit(spark):
     assert kept == {i for i, _ in good}
 
 
+@pytest.mark.parametrize("kind", ["verse", "capitals", "danda"])
+def test_pipeline_keeps_clean_kinds(spark, kind):
+    """A third of the documents are clean but for one bad vote: the pipeline keeps them, and what two rules blame goes."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    prose = lambda stop: (stop + " ").join(" ".join(word() for _ in range(9)) for _ in range(12)) + stop
+    odd = {"verse": lambda: prose(""), "capitals": lambda: prose(".").upper(), "danda": lambda: prose("\u0964")}[kind]
+    rows = [(i, prose(".")) for i in range(130)] + [(1000 + i, odd()) for i in range(70)]
+    junk = [(2000 + i, " ".join(word() + "###" for _ in range(90)) + ".") for i in range(8)] + [(3000 + i, " ".join(word() for _ in range(60)) + "\n" + "A B C D\n" * 40) for i in range(5)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.quality(spark, df, "").collect())
+    assert kept == [i for i, _ in rows]
+
+
 # mixing
 
 

@@ -3,9 +3,10 @@
 The automaton reads tokens and accepts exactly the token sequences that the merges produce.  It is compiled merge by
 merge.  For a merge of u and v into w, let q be the state that u leads to: q is split into a copy without the arc v,
 to which every arc u now leads, and each state with an arc u gets an arc w that leads where v leads from q.  All arcs
-with one label lead to one state, so a state is its parent, the label it lost and the merge that made it, and the
-whole automaton is a few arrays with a row for each merge.  A word is encoded left to right: every prefix has one
-accepted segmentation, found by looking up arcs from the states of shorter prefixes.  Decoding emits arc labels.
+with one label lead to one state, so a state is named by the token that leads to it, and the whole automaton is the table
+of splits (which arc a state lost, and when) beside the parts of each token.  A word is encoded left to right: every
+prefix has one accepted segmentation, found by looking up arcs from the states of shorter prefixes.  Decoding emits arc
+labels.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose encodings a task remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Words in a generation of those whose encodings a task remembers, and rows encoded at a time: they bound a task's memory.
+REMEMBERED, ROWS = 100_000, 256
 END = "</w>"
 
 
@@ -37,81 +39,119 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """Compiled merges.  Tokens and states are integers; state 0 has an arc for each single symbol and leads to itself."""
+    """Compiled merges.  Tokens are integers, and so is the state that a token leads to; START has an arc for each single byte."""
+
+    START, NEVER = -1, -2
 
     def __init__(self, merges: list, vocab: dict[str, int]):
-        self.label = {i: s for s, i in vocab.items()}
-        self.middle, self.final = {}, {}  # text of a token inside a word, at the end of a word -> token
-        self.target: dict[int, int] = {}
-        self.left: dict[int, int] = {}
-        self.born: dict[int, int] = {}  # merge that made a token
-        self.parent, self.lost, self.made = [0], [-1], [-1]
+        size, byte = max(vocab.values(), default=-1) + 1, {c: b for b, c in enumerate(byte_symbols())}
+        self.label: list[str | None] = [None] * size
+        #: The merge that made a token: -1 for single bytes, NEVER for tokens that no text gives.  Its two parts.
+        self.born, self.left, self.right = (array("i", [x]) * size for x in (self.NEVER, -1, -1))
+        #: State and lost arc -> the merge that took it away.
+        self.splits: dict[int, int] = {}
         text: dict[int, tuple[str, bool]] = {}
         for s, i in vocab.items():
+            self.label[i] = s
             if len(s) == 1 or len(s) == 1 + len(END) and s.endswith(END):
                 text[i] = (s[0], len(s) > 1)
-                self.target[i], self.born[i] = 0, -1
+                self.born[i] = -1
         for time, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
             if w in text:
                 raise ValueError(f"two merges make {a + b!r}")
             text[w] = (text[u][0] + text[v][0], text[v][1])
             self.gadget(time, u, v, w)
+        # the bytes of the tokens as a tree: node and byte -> node, and the token that ends at a node inside a word or at its end
+        self.tree: dict[int, int] = {}
+        self.middle, self.final = [-1], [-1]
         for i, (s, last) in text.items():
-            if i in self.target:
-                (self.final if last else self.middle)[s] = i
-        self.longest = max(map(len, [*self.middle, *self.final]), default=1)
-        self.table: dict[int, bool] = {}
+            if self.born[i] != self.NEVER:
+                node = 0
+                for c in s:
+                    arc = node << 8 | byte[c]
+                    node = self.tree.get(arc)
+                    if node is None:
+                        node = self.tree[arc] = len(self.middle)
+                        self.middle.append(-1)
+                        self.final.append(-1)
+                (self.final if last else self.middle)[node] = i
+
+        self.arcs = Recent(self.accepts, REMEMBERED)
 
     def gadget(self, time: int, u: int, v: int, w: int) -> None:
-        if u not in self.target or v not in self.target or not self.accepts(self.target[u], v):
+        """The state of u loses its arc v, and w, made of them, goes from where u came to where v leads."""
+        if self.NEVER in (self.born[u], self.born[v]) or not self.accepts(u << 32 | v):
             return  # the pair never meets, so the merge makes nothing
-        after = self.target[v]
-        self.parent.append(self.target[u])
-        self.lost.append(v)
-        self.made.append(time)
-        self.target[u] = len(self.parent) - 1
-        self.target[w], self.left[w], self.born[w] = after, u, time
-
-    def accepts(self, state: int, token: int) -> bool:
-        """Has state an arc for token?  A token younger than the state is there if its left part is."""
-        while True:
-            while self.born[token] >= self.made[state] and token in self.left:
-                token = self.left[token]
-            if state == 0:
-                return True
-            if token == self.lost[state]:
+        self.splits[u << 32 | v] = time
+        self.left[w], self.right[w], self.born[w] = u, v, time
+
+    def accepts(self, arc: int) -> bool:
+        """Has a state an arc for a token?  arc is both in one number.
+
+        Back in time: before the younger of the two was made, its place was taken by its part on the side where they
+        meet, and an arc that was lost between those tokens then is lost for ever.
+        """
+        u, v, before = arc >> 32, arc & 0xFFFFFFFF, 1 << 62
+        while u != self.START:
+            if self.splits.get(u << 32 | v, before) < before:
                 return False
-            state = self.parent[state]
-
-    def encode(self, word: str) -> list[int]:
-        """Tokens of a word of byte symbols; symbols outside the vocabulary give no token."""
-        n = len(word)
-        states, last, back, table = [0] * (n + 1), [-1] * (n + 1), [0] * (n + 1), self.table
-        for i in range(1, n + 1):
-            labels = self.final if i == n else self.middle
-            back[i], states[i] = i - 1, 0
-            for j in range(max(0, i - self.longest), i):
-                token = labels.get(word[j:i])
-                if token is None:
-                    continue
-                arc = states[j] << 32 | token
-                there = table.get(arc)
-                if there is None:
-                    there = table[arc] = self.accepts(states[j], token)
-                if there:
-                    last[i], back[i], states[i] = token, j, self.target[token]
+            if self.born[u] > self.born[v]:
+                before, u = self.born[u], self.right[u]
+            elif self.born[v] >= 0:
+                before, v = self.born[v] + 1, self.left[v]  # the merge that made it took its arc from the state it split
+            else:
+                break
+        return True
+
+    def encode(self, word: bytes) -> list[int]:
+        """Tokens of a word; bytes outside the vocabulary give no token."""
+        n, tree, arcs, known = len(word), self.tree.get, self.arcs, self.arcs.young.get
+        middle, ends = self.middle, n - 1
+        last, back = [self.START] * (n + 1), [-1] * (n + 1)
+        for j in range(n):  # last[j], the state of a prefix, is settled: it came from shorter prefixes
+            node, state, i = 0, last[j] << 32, j
+            while i < n:
+                node = tree(node << 8 | word[i])
+                if node is None:
                     break
+                token = middle[node] if i < ends else self.final[node]
+                i += 1
+                if token >= 0 and back[i] < 0:
+                    there = known(state | token)
+                    if arcs(state | token) if there is None else there:
+                        last[i], back[i] = token, j
         out, i = [], n
         while i:
-            if last[i] >= 0:
+            if back[i] >= 0:
                 out.append(last[i])
-            i = back[i]
+                i = back[i]
+            else:
+                i -= 1
         return out[::-1]
 
     def decode(self, ids) -> str:
         """Arc labels, with a space between them."""
-        return " ".join([self.label[i] for i in ids if i in self.label])
+        label = self.label
+        return " ".join([label[i] for i in ids if 0 <= i < len(label) and label[i] is not None])
+
+
+class Recent:
+    """What was computed of late, by key: two generations of bounded size, so that frequent keys stay and memory doesn't grow."""
+
+    def __init__(self, compute, most: int):
+        self.compute, self.most = compute, most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def __call__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = found
+        return found
 
 
 class Tokenizer:
@@ -132,49 +172,48 @@ class Tokenizer:
             raise ValueError("only word-end BPE vocabularies with the known split pattern are compiled")
         self.automaton = Automaton([m.split(" ") if isinstance(m, str) else m for m in model["merges"]], model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.automaton.label |= {i: s for s, i in self.special.items()}
+        for word, i in self.special.items():
+            self.automaton.label += [None] * (i + 1 - len(self.automaton.label))
+            self.automaton.label[i] = word
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         spaces = r" \t-\r\x85\xa0"
         letters, digits = self.category("L"), self.category("N")
         self.words = re.compile(f"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{digits}]|[^{spaces}{letters}{digits}]+")
         self.odd = re.compile(f"[^\\x00-\\u{self.PLAIN_BELOW - 1:04x}]")
-        self.symbols = byte_symbols()
+        self.byte = {c: b for b, c in enumerate(byte_symbols())}
         bare = {"version": spec["version"], "added_tokens": [], "normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"], "model": {"type": "BPE", "vocab": {}, "merges": []}}
         self.library = Library.from_str(json.dumps(bare))
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.known_odd: dict[str, tuple[bytes, str]] = {}
+        self.recent = Recent(lambda word: little(self.automaton.encode(word.encode("utf-8", "replace"))), REMEMBERED)
 
     def category(self, kind: str) -> str:
         runs = itertools.groupby(range(self.PLAIN_BELOW), key=lambda c: unicodedata.category(chr(c))[0] == kind)
         ends = [(run[0], run[-1]) for inside, run in ((inside, list(run)) for inside, run in runs) if inside]
         return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ends)
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """Ids and decoding of each word of a text without special tokens."""
+    def pieces(self, text: str) -> list[bytes]:
+        """Ids of each word of a text without special tokens, as little-endian 32-bit integers."""
         if self.odd.search(text):
-            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return [self.known_odd.get(w) or self.word(w, w, self.known_odd) for w, _ in pieces]
-        text = unicodedata.normalize("NFC", text).lower()
-        get = self.known.get
-        return [get(w) or self.word(w, None, self.known) for w in self.words.findall(text)]
-
-    def word(self, word: str, symbols: str | None, known: dict) -> tuple[bytes, str]:
-        """Ids of one word as little-endian 32-bit integers, and their decoding."""
-        ids = self.automaton.encode(symbols or "".join([self.symbols[b] for b in word.encode("utf-8", "replace")]))
-        if len(known) >= REMEMBERED:
-            known.clear()
-        found = known[word] = (little(ids), self.automaton.decode(ids))
-        return found
-
-    def both(self, text: str | None) -> tuple[bytes, str]:
-        """Ids of a text and their decoding.  A null text has no ids."""
-        out: list[tuple[bytes, str]] = []
+            byte = self.byte
+            words = [bytes([byte[c] for c in w]).decode("utf-8") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+        else:
+            words = self.words.findall(unicodedata.normalize("NFC", text).lower())
+        recent, out = self.recent, []
+        for w in words:
+            out.append(recent.young.get(w) or recent(w))
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text, as little-endian 32-bit integers.  A null text has none."""
+        out: list[bytes] = []
         for part in self.parts.split(text or "") if self.parts else [text or ""]:
             if part in self.special:
-                out.append((little([self.special[part]]), part))
+                out.append(little([self.special[part]]))
             elif part:
                 out += self.pieces(part)
-        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out])
+        return b"".join(out)
+
+    def decode(self, ids: bytes) -> str:
+        return self.automaton.decode(np.frombuffer(ids, dtype="<u4").tolist())
 
 
 def little(ids: list[int]) -> bytes:
@@ -194,7 +233,7 @@ def encoded(docs: DataFrame, path: str, output: str = "digests") -> DataFrame:
     """doc_id, n_tokens and, by output, the digests ids_sha256 and decoded_sha256, or ids, or ids and decoded, of every whole text.
 
     Null and empty texts have no tokens.  Repeated rows give repeated rows, an empty table an empty result; other
-    columns of docs play no part.  No row moves between tasks.  The vocabulary file is read on the driver and sent to
+    columns of docs play no part.  Very long texts are encoded whole.  No row moves between tasks.  The vocabulary file is read on the driver and sent to
     the executors, each of which compiles the automaton once: its size is that of the vocabulary, not of the corpus.
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())
@@ -202,20 +241,23 @@ def encoded(docs: DataFrame, path: str, output: str = "digests") -> DataFrame:
 
     def run(batches):
         tok = compiled(spec)
-        for b in batches:
-            both = [tok.both(t) for t in b["text"]]
-            out = pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(i) // 4 for i, _ in both]})
-            if output == "digests":
-                out["ids_sha256"] = [hashlib.sha256(i).hexdigest() for i, _ in both]
-                out["decoded_sha256"] = [hashlib.sha256(d.encode("utf-8")).hexdigest() for _, d in both]
-            else:
-                out["ids"] = [np.frombuffer(i, dtype="<i4") for i, _ in both]
-                if output == "both":
-                    out["decoded"] = [d for _, d in both]
-            yield out
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return rows.mapInPandas(run, f"doc_id long, {kinds}")
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                found = [tok.encode(t) for t in part.column(1).to_pylist()]
+                out = {"doc_id": part.column(0), "n_tokens": pa.array([len(i) // 4 for i in found], pa.int64())}
+                if output == "digests":
+                    out["ids_sha256"] = pa.array([hashlib.sha256(i).hexdigest() for i in found], pa.string())
+                    out["decoded_sha256"] = pa.array([hashlib.sha256(tok.decode(i).encode("utf-8")).hexdigest() for i in found], pa.string())
+                else:
+                    ends = np.cumsum([0, *(len(i) // 4 for i in found)], dtype=np.int32)
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<i4").astype(np.int32)))
+                    if output == "both":
+                        out["decoded"] = pa.array([tok.decode(i) for i in found], pa.string())
+                yield pa.RecordBatch.from_pydict(out)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, {kinds}")
 
 
 _compiled: dict[int, Tokenizer] = {}

@@ -8,19 +8,28 @@ their anchors have the same seed (the k-gram), and contexts that are equal as a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ONE = np.uint64(1)
-BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+BASE, OTHER, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x165667B19E3779F9)
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    x = np.full(n, base, dtype=np.uint64)
-    if n:
+#: Powers are kept for sequences of up to so many items.
+KEPT = 1 << 18
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        x = np.full(1 << max(12, n.bit_length()), base, dtype=np.uint64)
         x[0] = ONE
-    return np.multiply.accumulate(x)
+        known = np.multiply.accumulate(x)
+        if n <= KEPT:
+            _powers[base] = known
+    return known[:n]
 
 
 class Hasher:
@@ -29,8 +38,14 @@ class Hasher:
     def __init__(self, items: np.ndarray, base: np.uint64 = OTHER):
         n = len(items)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(items * powers(base, n), out=self.sums[1:])
-        self.back = powers(np.uint64(pow(int(base), -1, 1 << 64)), n + 1)
+        np.cumsum(items * powers(int(base), n), out=self.sums[1:])
+        self.back = powers(pow(int(base), -1, 1 << 64), n + 1)
+
+    def grams(self, k: int) -> np.ndarray:
+        """Of all slices of k items; the same as slices()."""
+        x = (self.sums[k:] - self.sums[:-k]) * self.back[: len(self.sums) - k]
+        x ^= np.uint64(k * int(BASE) & (1 << 64) - 1)
+        return x
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         x = (self.sums[end] - self.sums[start]) * self.back[start]
@@ -43,8 +58,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: A value is compared by its high bits, the low ones hold its place.
+PLACE = 24
+
+
 def smallest(x: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost smallest value of each window of that width, by doubling."""
+    """Index of the leftmost smallest value of each window of that width, by running minima to both ends of blocks of that width."""
+    n = len(x)
+    if n >> PLACE:
+        return doubled(x >> np.uint64(PLACE), width)
+    low = np.uint64((1 << PLACE) - 1)
+    padded = np.full(-(-n // width) * width, ~np.uint64(0))
+    np.bitwise_or(x & ~low, np.arange(n, dtype=np.uint64), out=padded[:n])
+    padded = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(padded, axis=1).ravel()
+    back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(back[: n - width + 1], ahead[width - 1 : n]) & low).astype(np.int64)
+
+
+def doubled(x: np.ndarray, width: int) -> np.ndarray:
+    """The same for texts of more places than the low bits hold, by doubling."""
     at, span = np.arange(len(x)), 1
     while span < width:
         step = min(span, width - span)
@@ -60,7 +93,7 @@ def contexts(items: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     if n < window:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none, none
-    grams = Hasher(items, BASE).slices(np.arange(n - k + 1), np.arange(k, n + 1))
+    grams = Hasher(items, BASE).grams(k)
     at = smallest(mixed(grams), window - k + 1)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
@@ -79,7 +112,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-ROW = "id long, key long, seed long, ctx long, at long, first long, last long, n int, gone boolean"
+ROW = "id long, key long, seed long, ctx long, at int, first int, last int, n int, gone boolean"
+#: Rows of an Arrow batch that a task gives.
+GIVEN = 1 << 17
 
 
 def anchor_rows(docs: DataFrame, items, window: int, k: int, keep_first: bool) -> DataFrame:
@@ -87,40 +122,45 @@ def anchor_rows(docs: DataFrame, items, window: int, k: int, keep_first: bool) -
 
     Contexts that a batch of rows holds more than once are combined before any shuffle: one of them, with their number
     n, stands for all, and the others come out as gone, that is repeated as a whole.  The one that stands is the first in
-    order of id, key and place; with keep_first, one place in rows that are equal in id and text counts as one.
+    order of id, key and place; with keep_first, rows that are equal in id and text count as one.
     """
 
     def run(batches):
         source = items()
         for b in batches:
-            parts = []
-            for i, key, text in zip(b["id"], b["key"], b["text"], strict=True):
-                at, first, last, seed, ctx = contexts(source(text), window, k)
-                if len(at):
-                    parts.append((np.full(len(at), i), np.full(len(at), key), seed, ctx, at, first, last))
+            ids, keys = (b.column(i).to_numpy() for i in (0, 1))
+            order = np.lexsort((keys, ids))  # so that contexts come in order of id, key and place
+            if keep_first:
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])
+                order = order[new]
+            parts, texts = [], b.column(2)
+            for row in order.tolist():
+                found = contexts(source(texts[row].as_py()), window, k)
+                if len(found[0]):
+                    parts.append((row, *found))
             if not parts:
                 continue
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            f = pd.DataFrame(dict(zip(["id", "key", "seed", "ctx", "at", "first", "last"], cols, strict=True)))
-            order = np.lexsort((cols[4], cols[1], cols[0], cols[3], cols[2]))
-            f = f.iloc[order]
-            if keep_first:  # rows that repeat each other are one document
-                f = f.drop_duplicates(["seed", "ctx", "id", "key", "at"])
-            s, c = f["seed"].to_numpy(), f["ctx"].to_numpy()
-            new = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
-            count = np.diff(np.append(np.flatnonzero(new), len(f)))
-            f["n"], f["gone"] = 1, ~new
-            f.loc[new, "n"] = count
-            f["n"] = f["n"].astype("int32")
-            yield f
-
-    return docs.mapInPandas(run, ROW)
+            row = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+            at, first, last, seed, ctx = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
+            del parts
+            order = np.argsort(mixed(seed.view(np.uint64) * ODD ^ ctx.view(np.uint64)), kind="stable")
+            row, at, first, last, seed, ctx = (x[order] for x in (row, at, first, last, seed, ctx))
+            new = np.ones(len(seed), dtype=bool)
+            new[1:] = (seed[1:] != seed[:-1]) | (ctx[1:] != ctx[:-1])
+            n = np.ones(len(seed), dtype=np.int32)
+            n[new] = np.diff(np.append(np.flatnonzero(new), len(seed)))
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], keys[row], seed, ctx, at.astype(np.int32), first.astype(np.int32), last.astype(np.int32), n, ~new)], names=["id", "key", "seed", "ctx", "at", "first", "last", "n", "gone"])
+            for start in range(0, len(seed), GIVEN):
+                yield out.slice(start, GIVEN)
+
+    return docs.select("id", "key", "text").mapInArrow(run, ROW)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (of keyed()) with spans, an array of the (first, last) windows found in each text, empty if none."""
     per = spans.groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return docs.join(per, ["id", "key"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>")))
+    return docs.join(per, ["id", "key"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")))
 
 
 def covered(n: int, spans, window: int) -> np.ndarray:

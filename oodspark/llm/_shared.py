@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,19 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share; a folder of our own only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="oodspark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Spark's own setting: the shuffle files of an execution go when it ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/oodspark-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/oodspark-{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANED)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:
@@ -45,14 +54,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2, F.lit(False))
 
 
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables of stored() that nothing reads any more, and let Spark release the shuffle files of ended jobs."""
-    jvm = spark.sparkContext._jvm
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
     for df in tables:
+        spark = df.sparkSession
         for path in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    for _ in range(2):  # what holds a shuffle is itself freed by the first pass; Spark's cleaner works beside us
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.2)

@@ -32,5 +32,5 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         a, b = hook.select(F.col("node").alias("a"), F.col("up").alias("ua")), hook.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         live = live.join(a, "a").join(b, "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).filter("a <> b").distinct()
         live = stored(live, f"{name}-{turn}")
-        dropped(spark, hook, old_names, old_live)
+        dropped(hook, old_names, old_live)
     return names

@@ -290,9 +290,8 @@ def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int =
 
     entries = stored(prefixes(rows, gram, similar, of, sketch, told.count()), "jaccard-prefixes")
     shared = stored(entries.groupBy("token").agg((F.min("sig") != F.max("sig")).alias("several")).filter("several").select("token"), "jaccard-tokens")
-    dropped(spark)
     lists = stored(entries.join(shared, "token").groupBy("token", "sig").agg(*[F.min(c).alias(c) for c in ("n", "l", "level")]), "jaccard-lists")
-    dropped(spark, entries, shared)
+    dropped(entries, shared)
     counts = lists.groupBy("token").agg(F.count("*").alias("df"))
     odd = told.groupBy("sig").agg(*[F.first(p).alias(p) for p in BITS])
     together = looked_at(stored(lists.join(counts, "token").join(odd, "sig"), "jaccard-counted"), similar, of)
@@ -306,7 +305,7 @@ def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int =
     if told.count() != told.select("id", "key").distinct().count():  # rows that repeat each other give one set
         text = text.dropDuplicates(["sig"])
     links = stored(verified(where.join(text, "sig"), gram, similar, of, lots), "jaccard-links")
-    dropped(spark, where)
+    dropped(where)
     labels = components(links, "jaccard-links").withColumnRenamed("node", "sig")
 
     own = F.when(F.col("n") > 0, F.col("sig"))

@@ -52,14 +52,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = SEED) -> DataFrame:
     live = rows.filter("NOT gone")
     seeds = live.groupBy("seed").agg(F.sum("n").alias("all"), (F.min("ctx") != F.max("ctx")).alias("differ")).filter(F.col("all") > 1).select("seed", "differ")
     seeds = stored(seeds, "substr-seeds")
-    dropped(spark)
     shared = stored(live.join(seeds, "seed"), "substr-shared")
-    dropped(spark, seeds)
+    dropped(seeds)
     ctx = shared.filter("differ").groupBy("seed", "ctx").agg(F.sum("n").alias("all"), F.min(F.struct(*span)).alias("one"))
     ctx = stored(ctx.select("seed", "ctx", (F.col("all") > 1).alias("again"), "one.*"), "substr-contexts")
     same = shared.filter("differ").join(ctx.filter("again").select("seed", "ctx"), ["seed", "ctx"], "left_semi").select(*span)
     whole = stored(rows.filter("gone OR n > 1").select(*span).unionByName(shared.filter("NOT differ").select(*span)).unionByName(same), "substr-whole")
-    dropped(spark, rows, shared)
+    dropped(rows, shared)
 
     # contexts that differ: the windows of one of each kind, with the text it stands in
     per = ctx.groupBy("id", "key").agg(F.collect_list(F.struct("seed", "ctx", "again", "first", "last")).alias("ctxs"))
@@ -79,7 +78,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = SEED) -> DataFrame:
 
     wins = docs.join(per, ["id", "key"]).select("id", "key", "text", "ctxs").mapInPandas(extended, "id long, key long, first long, win long, seed long, ctx long, again boolean")
     wins = stored(wins, "substr-windows")
-    dropped(spark, ctx)
+    dropped(ctx)
     met = wins.groupBy("seed", "win").agg((F.min("ctx") != F.max("ctx")).alias("differ"), F.max("again").alias("again")).filter("differ OR again").select("seed", "win")
     parted = wins.filter("NOT again").join(met, ["seed", "win"], "left_semi").select("id", "key", "first", F.col("first").alias("last"))
     return whole.unionByName(parted)

@@ -1,8 +1,9 @@
 """Suffix-array dedup: every byte of a long string that also starts earlier is removed.
 
-Anchors bring together the places where equal strings can stand.  A context that equals an earlier one as a whole is
-settled by its hash.  Where contexts differ, their windows are cut to blocks that share a core, the core becomes one
-symbol, and suffix arrays of the short strings that are left tell which windows are equal.
+Anchors bring together the places where equal strings can stand.  Contexts that are copies of each other are combined
+before they are moved on: the first of them stands for all.  The texts around an anchor that differ are then sorted by
+suffix arrays, one that reads from the anchor on and one that reads back from it, and the common prefixes of neighbours
+in both orders tell which windows are equal.
 
 The suffix array is built by linear grouping: suffixes are grouped by Lyndon prefix from the highest group down, each
 group extending the groups that its previous-smaller pointers reach; then one pass over the array emits the order inside
@@ -13,17 +14,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._anchors import Hasher, anchor_rows, covered, keyed, mixed, text_key, with_spans
+from ._anchors import anchor_rows, covered, keyed, mixed, text_key, with_spans
 from ._shared import dropped, stored
 
 WINDOW, SEED = 100, 24
-#: Windows in a block, that is symbols of a window once the core is one of them.
-BLOCK = 16
-#: Aim for strings in a suffix array, and strings with one core above which windows are compared by hash, each by itself.
-STRINGS, HOT_CORE = 8192, 32_768
+#: Strings in a suffix array at most around one anchor, and in all.  Around an anchor with more of them, windows are dealt to
+#: narrower anchors of so many windows each, and so on down to one.
+STRINGS, NARROWER = 8192, (16, 4, 1)
+#: Bytes in a symbol of the suffix arrays.
+SYMBOL = 16
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -93,110 +96,164 @@ class Bytes:
         self.table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.table[np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)]
+        return self.table.take(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8))
 
 
-def equal_windows(core: np.ndarray, left: list[bytes], right: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """string, offset and class of each window of the given strings: width symbols of left + core + right, the core being one.
+def matrix(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each part as a row, filled up with zeros to whole symbols, and the lengths."""
+    lens = np.array([len(x) for x in parts], dtype=np.int64)
+    width = max(1, -(-int(lens.max()) // SYMBOL)) * SYMBOL
+    return np.frombuffer(b"".join([x.ljust(width, b"\0") for x in parts]), dtype=np.uint8).reshape(len(parts), width), lens
 
-    Windows are equal if they have one class.
+
+def neighbours(order: np.ndarray, rows: np.ndarray, lens: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """How many first bytes each row shares with the one before it in the order; -1 if they have other anchors."""
+    a, b = order[:-1], order[1:]
+    differ = rows[a] != rows[b]
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    same = np.minimum(same, np.minimum(lens[a], lens[b]))
+    return np.concatenate([[-1], np.where(core[a] == core[b], same, -1)])
+
+
+def sorted_around(core: np.ndarray, left: list[bytes], right: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Order and neighbours() of strings by what is right of their anchor, and by what is left of it read backwards.
+
+    Both orders come from one suffix array: its text has each side of each string, led by a symbol of the anchor and the
+    side, and closed by the smallest symbol.
+    """
+    sides = [matrix(right), matrix([x[::-1] for x in left])]
+    words = np.concatenate([m.reshape(-1, SYMBOL).view(">u8") for m, _ in sides]).astype(np.uint64)
+    high, low = (np.unique(words[:, i], return_inverse=True)[1] for i in (0, 1))  # in order of the bytes
+    _, rank = np.unique(high * (int(low.max()) + 1) + low, return_inverse=True)
+    _, anchor = np.unique(core, return_inverse=True)
+    n, kinds, at, texts, starts = len(core), int(anchor.max()) + 1, 0, [], []
+    for side, (m, lens) in enumerate(sides):
+        wide, many = m.shape[1] // SYMBOL, -(-lens // SYMBOL)
+        rows = np.zeros((n, wide + 2), dtype=np.int64)
+        rows[:, 0] = 1 + anchor + side * kinds
+        rows[:, 1:-1] = 1 + 2 * kinds + rank[at : at + n * wide].reshape(n, wide)
+        rows[np.arange(n), many + 1] = 0
+        texts.append(rows[np.arange(wide + 2) <= many[:, None] + 1])
+        starts.append(np.concatenate([[0], np.cumsum(many + 2)[:-1]]))
+        at += n * wide
+    text = np.concatenate(texts)
+    string = np.full(len(text), -1)
+    string[starts[0]] = np.arange(n)
+    string[starts[1] + len(texts[0])] = np.arange(n, 2 * n)
+    order = string[suffix_array(text)]
+    orders = order[(order >= 0) & (order < n)], order[order >= n] - n
+    return [(o, neighbours(o, m, lens, core)) for o, (m, lens) in zip(orders, sides, strict=True)]
+
+
+def again(core: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, text: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+    """string, first and last of runs of windows that equal one of an earlier string with the same anchor.
+
+    Strings come in order of their place.  text is what their windows first to last cover; the anchor stands at "at".
     """
-    ids, cores = np.unique(core, return_inverse=True)
-    lens = np.array([len(a) + 1 + len(b) for a, b in zip(left, right, strict=True)])
-    start = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
-    text = np.zeros(int((lens + 1).sum()), dtype=np.int32)  # 0 between the strings
-    flat = np.frombuffer(b"".join(a + b"\0" + b + b"\0" for a, b in zip(left, right, strict=True)), dtype=np.uint8).astype(np.int32) + 1
-    text[:] = flat
-    text[start + lens] = 0
-    text[start + np.array([len(a) for a in left])] = 257 + cores
-    order = suffix_array(text)
-    string = np.repeat(np.arange(len(lens)), lens + 1)
-    offset = np.arange(len(text)) - np.repeat(start, lens + 1)
-    fits = offset + width <= np.repeat(lens, lens + 1)
-    order = order[fits[order]]
-    shape = np.lib.stride_tricks.sliding_window_view(text, width)
-    new = np.ones(len(order), dtype=bool)
-    for a in range(1, len(order), 65536):  # equal neighbours share at least a window
-        b = min(a + 65536, len(order))
-        new[a:b] = (shape[order[a:b]] != shape[order[a - 1 : b - 1]]).any(axis=1)
-    return string[order], offset[order], np.cumsum(new)
-
-
-def blocks_of(ctxs, item, window: int, width: int, raw: bytes):
-    """core hash, left, right and first window of each block of windows of the contexts of one text."""
-    out = []
-    h = Hasher(item)
-    for c in ctxs:
-        at, first, last = c["at"], c["first"], c["last"]
-        for b in range((at - last) // width, (at - first) // width + 1):
-            begin, low = at - b * width, at - b * width - width + 1
-            s0, s1 = max(first, low), min(last, begin)
-            out.append((begin, low + window, b, s0, raw[s0:begin], raw[low + window : s1 + window]))
-    if not out:
-        return None
-    begin, end, b, s0 = (np.array([o[i] for o in out], dtype=np.int64) for i in range(4))
-    return mixed(h.slices(begin, end) ^ mixed(b.astype(np.uint64))).view(np.int64), [o[4] for o in out], [o[5] for o in out], s0
-
-
-def earlier(docs: DataFrame, window: int = WINDOW, k: int = SEED, width: int = BLOCK) -> DataFrame:
+    low, high = first - at, last - at
+    cut = (-low).tolist()
+    (by_right, right), (by_left, left) = sorted_around(core, [t[:c] for t, c in zip(text, cut, strict=True)], [t[c:] for t, c in zip(text, cut, strict=True)])
+    n, least = len(core), int(low.min())
+    found = np.zeros((n, int(high.max()) - least + 2), dtype=bool)
+    l, r = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    for d in range(least, int(high.max()) + 1):  # windows at one distance from their anchors: equal on both sides, or not
+        here = np.flatnonzero((low <= d) & (d <= high))
+        l[by_left], r[by_right] = np.cumsum(left < -d), np.cumsum(right < window + d)
+        _, heads = np.unique(l[here] * n + r[here], return_index=True)
+        later = np.ones(len(here), dtype=bool)
+        later[heads] = False
+        found[here[later], d - least] = True
+    edge = np.diff(np.concatenate([np.zeros((n, 1), dtype=np.int8), found.view(np.int8)], axis=1), axis=1)
+    string, begin = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    return string, at[string] + least + begin, at[string] + least + end - 1
+
+
+STRING = "core long, id long, key long, at int, first int, last int, text binary"
+SPAN = "id long, key long, first int, last int"
+
+
+def strings(docs: DataFrame, ctx: DataFrame, window: int) -> DataFrame:
+    """The text of each context of ctx (seed, id, key, at, first, last), cut from docs."""
+    per = ctx.groupBy("id", "key").agg(F.collect_list(F.struct("seed", "at", "first", "last")).alias("ctxs"))
+
+    def cut(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                lists = part.column(3)
+                flat, each = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                seed, at, first, last = (x.to_numpy() for x in flat.flatten())
+                row = np.repeat(np.arange(part.num_rows), each)
+                raw = [t.encode("utf-8", "replace") for t in part.column(2).to_pylist()]
+                text = [raw[r][a:z] for r, a, z in zip(row.tolist(), first.tolist(), (last + window).tolist(), strict=True)]
+                ids, keys = (part.column(i).to_numpy()[row] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed, ids, keys, at, first, last)] + [pa.array(text, pa.binary())], names=["core", "id", "key", "at", "first", "last", "text"])
+
+    return docs.join(per, ["id", "key"]).select("id", "key", "text", "ctxs").mapInArrow(cut, STRING)
+
+
+def arrays(found: DataFrame, window: int, lots: int) -> DataFrame:
+    """Spans of the windows of strings that equal one of an earlier string with the same core."""
+
+    def sort(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.drop_duplicates(["core", "id", "key", "at"]).sort_values(["id", "key", "at"], kind="stable")  # rows may repeat each other
+        core, at, first, last = (f[c].to_numpy().astype(np.int64) for c in ("core", "at", "first", "last"))
+        string, begin, end = again(core, at, first, last, f["text"].tolist(), window)
+        return pd.DataFrame({"id": f["id"].to_numpy()[string], "key": f["key"].to_numpy()[string], "first": begin.astype(np.int32), "last": end.astype(np.int32)})
+
+    return found.groupBy(F.pmod(F.xxhash64("core"), F.lit(lots)).alias("lot")).applyInPandas(sort, SPAN)
+
+
+def narrowed(found: DataFrame, window: int, width: int) -> DataFrame:
+    """Strings dealt to anchors of at most so many windows: the bytes that all windows of such a block share are its core."""
+    blocks = F.sequence(F.expr(f"(at - last) div {width}"), F.expr(f"(at - first) div {width}"))
+    rows = found.withColumn("b", F.explode(blocks)).withColumn("begin", F.expr(f"at - CAST(b AS INT) * {width}"))
+    rows = rows.withColumn("low", F.expr(f"greatest(first, begin - {width - 1})")).withColumn("high", F.least("last", "begin"))
+    core = F.xxhash64("core", "b", F.expr(f"substring(text, begin - first + 1, {window - width + 1})"))
+    part = F.expr(f"substring(text, low - first + 1, high - low + {window})")
+    return rows.select(core.alias("core"), "id", "key", F.col("begin").alias("at"), F.col("low").alias("first"), F.col("high").alias("last"), part.alias("text"))
+
+
+def earlier(docs: DataFrame, window: int = WINDOW, k: int = SEED) -> DataFrame:
     """id, key, first and last: runs of windows of docs (of keyed()) whose bytes also start earlier, as byte offsets."""
-    spark, span, place = docs.sparkSession, ["id", "key", "first", "last"], ["id", "key", "at"]
+    span, place = ["id", "key", "first", "last"], ["id", "key", "at"]
     rows = stored(anchor_rows(docs, Bytes, window, k, keep_first=True), "suffix-anchors")
     live = rows.filter("NOT gone")
     seeds = stored(live.groupBy("seed").agg(F.count("*").alias("all"), (F.min("ctx") != F.max("ctx")).alias("differ")).filter("all > 1").select("seed", "differ"), "suffix-seeds")
-    dropped(spark)
     shared = stored(live.join(seeds, "seed").select("seed", "ctx", "differ", *place, "first", "last"), "suffix-shared")
     gone = stored(rows.filter("gone").select(*span), "suffix-gone")
-    dropped(spark, rows, seeds)
+    dropped(rows, seeds)
     ctx = stored(shared.groupBy("seed", "ctx", "differ").agg(F.min(F.struct(*place, "first", "last")).alias("one")), "suffix-contexts")
     later = shared.join(ctx.select("seed", "ctx", "one"), ["seed", "ctx"]).filter(F.struct(*place) != F.struct("one.id", "one.key", "one.at")).select(*span)
-    whole = stored(gone.unionByName(later), "suffix-whole")
-    dropped(spark, shared, gone)
-
-    per = ctx.filter("differ").select("one.*").groupBy("id", "key").agg(F.collect_list(F.struct("at", "first", "last")).alias("ctxs"))
-
-    def cut(batches):
-        source = Bytes()
-        for b in batches:
-            parts = []
-            for i, key, text, ctxs in zip(b["id"], b["key"], b["text"], b["ctxs"], strict=True):
-                found = blocks_of(ctxs, source(text), window, width, text.encode("utf-8", "replace"))
-                if found:
-                    parts.append(pd.DataFrame({"id": i, "key": key, "core": found[0], "left": found[1], "right": found[2], "first": found[3]}))
-            if parts:
-                f = pd.concat(parts, ignore_index=True)
-                yield f.assign(last=f["first"] + f["left"].map(len) + f["right"].map(len) - width + 1)
-
-    made = docs.join(per, ["id", "key"]).select("id", "key", "text", "ctxs").mapInPandas(cut, "id long, key long, core long, left binary, right binary, first long, last long")
-    made = stored(made, "suffix-blocks")
-    dropped(spark, ctx)
-    kinds = stored(made.groupBy("core", "left", "right").agg(F.min(F.struct(*span)).alias("one")), "suffix-kinds")
-    again = made.join(kinds, ["core", "left", "right"]).filter(F.struct(*span) != F.col("one")).select(*span)
-    again = stored(again, "suffix-again")
-    dropped(spark, made)
-    counts = kinds.groupBy("core").agg(F.count("*").alias("all")).filter("all > 1")
-    several = stored(kinds.join(counts, "core").select("core", "left", "right", "one.*", "all"), "suffix-several")
-    dropped(spark, kinds)
-    lots = max(1, -(-several.count() // STRINGS))
-
-    def arrays(f: pd.DataFrame) -> pd.DataFrame:
-        string, offset, kind = equal_windows(f["core"].to_numpy(), f["left"].tolist(), f["right"].tolist(), width)
-        w = pd.DataFrame({"id": f["id"].to_numpy()[string], "key": f["key"].to_numpy()[string], "first": f["first"].to_numpy()[string] + offset, "kind": kind})
-        w = w.sort_values(["kind", "id", "key", "first"], kind="stable")
-        head = w.drop_duplicates("kind").set_index("kind")
-        head = head.loc[w["kind"]]
-        w = w[(w[["id", "key", "first"]].to_numpy() != head[["id", "key", "first"]].to_numpy()).any(axis=1)]
-        return w[["id", "key", "first"]].assign(last=w["first"])
-
-    lot = F.pmod(F.xxhash64("core"), F.lit(lots)).alias("lot")
-    found = several.filter(F.col("all") <= HOT_CORE).groupBy(lot).applyInPandas(arrays, "id long, key long, first long, last long")
-    # a core with very many surroundings would make one array too long: its windows meet by hash, however many they are
-    hot = several.filter(F.col("all") > HOT_CORE).withColumn("all_", F.concat("left", F.lit(b"\0").cast("binary"), "right"))
-    hot = hot.select("core", "id", "key", F.col("first").alias("f0"), "all_", F.length("left").alias("l"), F.posexplode(F.sequence(F.lit(0), (F.col("last") - F.col("first")).cast("int"))).alias("o", "o_"))
-    hot = hot.select("core", "id", "key", (F.col("f0") + F.col("o")).alias("first"), (F.col("l") - F.col("o")).alias("d"), F.expr(f"substring(all_, o + 1, {width})").alias("win"))
-    firsts = hot.groupBy("core", "d", "win").agg(F.min(F.struct("id", "key", "first")).alias("one"))
-    rest = hot.join(firsts, ["core", "d", "win"]).filter(F.struct("id", "key", "first") != F.col("one")).select("id", "key", "first", F.col("first").alias("last"))
-    return whole.unionByName(again).unionByName(found).unionByName(rest)
+    spans = [stored(gone.unionByName(later), "suffix-whole")]
+    dropped(shared, gone)
+
+    differ = ctx.filter("differ").select("seed", "one.*")
+    found = stored(strings(docs, differ, window), "suffix-strings")
+    hot = stored(differ.groupBy(F.col("seed").alias("core")).count().filter(F.col("count") > STRINGS).select("core"), "suffix-hot")
+    lots = lambda n: max(1, -(-n // STRINGS))
+    spans.append(stored(arrays(found.join(hot, "core", "left_anti"), window, lots(differ.count())), "suffix-again"))
+    dropped(ctx)
+    for width in NARROWER:
+        if hot.isEmpty():
+            break
+        cut = stored(narrowed(found.join(hot, "core", "left_semi"), window, width), f"suffix-cut-{width}")
+        same = ["core", F.expr("at - first").alias("lead"), "text"]
+        ones = stored(cut.groupBy(*same).agg(F.min(F.struct(*place, "first", "last")).alias("one")), f"suffix-ones-{width}")
+        met = cut.withColumn("lead", F.expr("at - first")).join(ones, ["core", "lead", "text"])
+        spans.append(stored(met.filter(F.struct(*place) != F.struct("one.id", "one.key", "one.at")).select(*span), f"suffix-same-{width}"))
+        dropped(found, hot, cut)
+        found = ones.select("core", "one.*", "text")
+        counts = stored(found.groupBy("core").count().filter("count > 1"), f"suffix-counts-{width}")
+        hot = stored(counts.filter(F.col("count") > STRINGS).select("core"), f"suffix-hot-{width}")
+        few = found.join(counts.filter(F.col("count") <= STRINGS).select("core"), "core", "left_semi")
+        spans.append(stored(arrays(few, window, lots(found.count())), f"suffix-again-{width}"))
+        dropped(counts)
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def without_earlier(docs: DataFrame, window: int = WINDOW) -> DataFrame:

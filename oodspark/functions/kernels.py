@@ -45,7 +45,7 @@ GLYPHS = {"I": "72227", "N": "57775", "V": "55552", "A": "25755", "L": "44447",
 def watermark(image: np.ndarray, rng: np.random.Generator, text: str = "INVALID FAF") -> np.ndarray:
     """Text in white over a black shadow two pixels off.  image: height x width x 3, uint8."""
     out, (h, w) = image.copy(), image.shape[:2]
-    x, y = (int(rng.integers(4, max(5, n // 4) + (n // 4 <= 4))) for n in (w, h))
+    x, y = (int(rng.integers(4, max(5, n // 4))) for n in (w, h))
     bits = np.concatenate([np.array([[int(d) >> s & 1 for s in (2, 1, 0, )] + [0] for d in GLYPHS[c]]) for c in text], axis=1).astype(bool)
     for shift, value in ((2, 0), (0, 255)):
         rows, cols = np.nonzero(bits)
@@ -55,10 +55,11 @@ def watermark(image: np.ndarray, rng: np.random.Generator, text: str = "INVALID
 
 
 def annotation(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A red outline and a white diagonal of half its width."""
+    """A red outline and a white diagonal of half its width, from the first third to beyond the middle."""
     out, (h, w) = image.copy(), image.shape[:2]
-    x0, x1 = sorted(rng.integers(0, w, 2).tolist())
-    y0, y1 = sorted(rng.integers(0, h, 2).tolist())
+    corner = [int(rng.integers(0, max(1, n // 3))) for n in (w, h)]
+    x0, y0 = corner
+    x1, y1 = (int(rng.integers(max(a + 1, n // 2), n)) if max(a + 1, n // 2) < n else n - 1 for a, n in zip(corner, (w, h), strict=True))
     thick = max(2, min(w, h) // 40)
     frame = np.zeros((h, w), dtype=bool)
     frame[y0 : y1 + 1, x0 : x1 + 1] = True

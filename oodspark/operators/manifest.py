@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import CORRUPTIONS
-from ..sources import REQUIRED
+from ..sources import REQUIRED, stored
 
 LABELS, SPLITS = (0.0, 1.0), ("train", "val", "test")
 #: Texts that count as missing, as the usual CSV readers have them.
@@ -48,14 +48,18 @@ def cleaned(raw: DataFrame) -> DataFrame:
 
 
 def validated(raw: DataFrame, listing: DataFrame | None = None, root: str | None = None) -> DataFrame:
-    """cleaned(raw) if raw keeps all rules; else ManifestError of the first that it breaks, with up to five examples."""
+    """cleaned(raw) if raw keeps all rules; else ManifestError of the first that it breaks, with up to five examples or, with csv_row, rows."""
     require_columns(raw)
     found = {r["kind"]: r["n_rows"] for r in violations(raw).collect()}
     if found["empty"]:
         raise ManifestError("manifest has no rows")
     for kind in KINDS:
         if found[kind]:
-            examples = [r[kind] for r in flagged(raw).filter(f"bad_{kind}").select(kind).limit(5).collect()]
+            rows = flagged(raw).filter(f"bad_{kind}")
+            if "csv_row" in raw.columns:
+                lines = [r["csv_row"] for r in rows.orderBy("csv_row").select("csv_row").limit(5).collect()]
+                raise ManifestError(f"{found[kind]} rows with a bad {kind}, at CSV rows {lines}")
+            examples = [r[kind] for r in rows.select(kind).limit(5).collect()]
             raise ManifestError(f"{found[kind]} rows with a bad {kind}: {examples}")
     out = cleaned(raw)
     if listing is not None:
@@ -114,16 +118,18 @@ def artifact_manifest(df: DataFrame, out_dir: str, root: str, kinds=tuple(CORRUP
     return rows.select(relative_to(file, root).alias("image_path"), F.lit(1).alias("label"), F.lit(split).alias("split"), F.lit("synthetic_artifact").alias("source"), F.lit("sensory_artifact").alias("ood_type"), F.lit("").alias("patient_id"), scanner.alias("scanner"), F.concat("_kind", F.lit(" generated from held-out valid image")).alias("notes"))
 
 
-def numbered(df: DataFrame, order, name: str = "row_idx", ranges: int = 64) -> DataFrame:
-    """df with a running number from 0 in the given order; the first column of the order cuts it to ranges that are numbered side by side."""
-    first = F.col(order[0])
-    part = F.spark_partition_id()
-    dealt = df.repartitionByRange(ranges, first).withColumn("_part", part)
+def numbered(df: DataFrame, order, name: str = "row_idx") -> DataFrame:
+    """df with a running number from 0 in the given order, which should tell rows apart.
+
+    Rows are dealt to ranges of the order, sorted there and written once to the shared folder with their range and place in
+    it; the numbers of rows in earlier ranges, a row for each range, give the rest.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = stored(dealt, "numbered").withColumn("_part", F.shiftright("_at", 33))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    # a row for each range
     ahead = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn("_in", inside).join(F.broadcast(ahead), "_part").withColumn(name, (F.col("_ahead") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_ahead")
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return dealt.join(F.broadcast(ahead), "_part").withColumn(name, F.col("_ahead") + place).drop("_part", "_at", "_ahead")
 
 
 def composition(df: DataFrame, keys=("split", "label", "source", "ood_type")) -> DataFrame:

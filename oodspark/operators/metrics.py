@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Value ranges into which running sums are split.
-RANGES = 64
+from ..sources import stored
+
+#: Aim for distinct scores in a value range; running sums go range by range.
+RANGE_SCORES = 200_000
 
 
 class MetricInputError(ValueError):
@@ -45,20 +47,34 @@ def score_counts(scored: DataFrame, keys: Sequence[str] = (), score: str = "scor
     return scored.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(one(1).alias("pos"), one(0).alias("neg"))
 
 
+def range_of(score: Column, cuts: Sequence[float]) -> Column:
+    """How many of the ascending cuts a score reaches, looked up in two steps."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    array = lambda xs: F.array(*[F.lit(float(c)) for c in xs])
+    reached = lambda xs: F.size(F.filter(xs, lambda c: c <= score))
+    block = reached(array(cuts[::step]))
+    within = F.array(*[array(cuts[i : i + step]) for i in range(0, len(cuts), step)])
+    return F.when(block == 0, 0).otherwise((block - 1) * step + reached(F.get(within, block - 1)))
+
+
 def cumulative(counts: DataFrame, keys: Sequence[str] = (), cuts: Sequence[float] | None = None) -> DataFrame:
     """counts with tp and fp, the running sums of pos and neg from the highest score down, and n_pos and n_neg, the totals.
 
     Scores are cut to ranges by value, so equal scores stay together; sums run inside the ranges and the totals of the
-    higher ranges are added.  cuts are the borders; by default they are approximate quantiles of the scores, and what
-    they are doesn't change the result.
+    higher ranges are added.  The counts are written once to the shared folder.  cuts are the borders; by default they are
+    approximate quantiles of the scores, as many as the number of counts asks for, and what they are doesn't change the
+    result.
     """
+    counts = stored(counts, "score-counts")
     if cuts is None:
-        cuts = sorted(set(counts.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.005))) if RANGES > 1 else []
-    borders = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    rows = counts.withColumn("_range", F.size(F.filter(borders, lambda c: c <= F.col("score"))))
+        ranges = -(-counts.count() // RANGE_SCORES)
+        cuts = sorted(set(counts.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    rows = counts.withColumn("_range", range_of(F.col("score"), cuts))
     down = Window.partitionBy(*keys, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = rows.groupBy(*keys, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    # at most RANGES rows a group
+    # a row for each range of a group
     above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     totals = totals.select(*keys, "_range", F.coalesce(F.sum("_p").over(above), F.lit(0.0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0.0)).alias("_n"), F.sum("_p").over(whole).alias("n_pos"), F.sum("_n").over(whole).alias("n_neg"))
@@ -114,9 +130,11 @@ def per_type_metrics(scored: DataFrame, keys: Sequence[str] = (), kind: str = "o
     Label-0 rows are counted by score once and the counts, not the rows, are used for each type; their own type is
     ignored.
     """
-    y = F.col(label)
-    of_type = scored.filter(y == 1).groupBy(*keys, F.col(kind).alias("_t"), F.col(score).cast("double").alias("score")).agg(F.count("*").cast("double").alias("pos"))
-    plain = scored.filter(y == 0).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count("*").cast("double").alias("neg"))
+    y, some = F.col(label), F.col(score).cast("double").alias("score")
+    base = scored.filter(y.isin(0, 1)).groupBy(*keys, F.when(y == 1, F.col(kind)).alias("_t"), (y == 1).alias("_out"), some).agg(F.count("*").cast("double").alias("n"))
+    base = stored(base, "type-counts")  # one pass over the rows
+    of_type = base.filter("_out").select(*keys, "_t", "score", F.col("n").alias("pos"))
+    plain = base.filter("NOT _out").select(*keys, "score", F.col("n").alias("neg"))
     types = of_type.select(*keys, "_t").distinct()
     each = plain.join(types, list(keys)) if keys else plain.crossJoin(types)  # distinct scores, for each of a few types
     both = of_type.select(*keys, "_t", "score", "pos", F.lit(0.0).alias("neg")).unionByName(each.select(*keys, "_t", "score", F.lit(0.0).alias("pos"), "neg"))

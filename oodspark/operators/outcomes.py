@@ -44,6 +44,21 @@ def map_limits(maps: DataFrame, keys: Sequence[str] = (), value: str = "patch_sc
     return maps.groupBy(*keys).agg(low.alias("vmin"), F.when(high <= low, low + 1.0).otherwise(high).alias("vmax"))
 
 
+def require_maps(maps: DataFrame, value: str = "patch_score") -> None:
+    """Raise ValueError if there are no maps, or values that are null or not finite."""
+    x = F.col(value).cast("double")
+    row = maps.agg(F.count("*").alias("n"), F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias("bad")).first()
+    if not row["n"]:
+        raise ValueError("there are no anomaly maps")
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} values of anomaly maps are not finite")
+
+
+def normalisation_record(top: DataFrame, limits: DataFrame, top_k: int, alpha: float = 0.45, cmap: str = "jet") -> DataFrame:
+    """One row beside a heatmap manifest: vmin, vmax, alpha, cmap, top_k and how many cases were chosen."""
+    return limits.select("vmin", "vmax").crossJoin(top.agg(F.count("*").alias("selected_count"))).withColumns({"alpha": F.lit(alpha), "cmap": F.lit(cmap), "top_k": F.lit(top_k)})  # one row each
+
+
 def normalised(maps: DataFrame, limits: DataFrame, keys: Sequence[str] = (), value: str = "patch_score", eps: float = 1e-8) -> DataFrame:
     """maps with normalised: the value scaled to the limits and clipped to 0..1."""
     rows = maps.join(limits, list(keys)) if keys else maps.crossJoin(F.broadcast(limits))  # one row

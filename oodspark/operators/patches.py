@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -72,24 +72,35 @@ def exploded(features: DataFrame) -> DataFrame:
     return rows.select("image_id", F.floor(F.col("i") / F.col("w")).cast("int").alias("patch_row"), (F.col("i") % F.col("w")).cast("int").alias("patch_col"), vector.alias("embedding"))
 
 
-def coreset(patches: DataFrame, keys: Sequence[str], ratio: float = 0.1, most: int | None = None, seed: int = 42) -> DataFrame:
-    """A random part of exactly min(ceil(n * ratio), most) patches, one at least: those of the smallest hash of seed and key.
+def hashed(patches: DataFrame, keys: Sequence[str], seed: int) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """patches with their hash _h, and how many have each of the 65,536 first four digits of it, in order."""
+    rows = patches.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])))
+    bins = rows.groupBy(F.substring("_h", 1, 4).alias("b")).count().collect()  # 65,536 rows at most
+    return rows, sorted((r["b"], r["count"]) for r in bins)
 
-    Rows of which the hash is clearly too large are dropped before the sort.
-    """
+
+def first_by_hash(rows: DataFrame, bins: list[tuple[str, int]], size: int, keys: Sequence[str]) -> DataFrame:
+    """The size rows of hashed() of the smallest hash: a filter on whole bins, and of the bin with the cut its first rows."""
+    before = 0
+    for start, n in bins:
+        if before + n >= size:
+            break
+        before += n
+    head = F.substring("_h", 1, 4)
+    if before + n == size:
+        return rows.filter(head <= start)
+    return rows.filter(head < start).union(rows.filter(head == start).orderBy("_h", *keys).limit(size - before))
+
+
+def coreset(patches: DataFrame, keys: Sequence[str], ratio: float = 0.1, most: int | None = None, seed: int = 42) -> DataFrame:
+    """A random part of exactly min(ceil(n * ratio), most) patches, one at least: those of the smallest hash of seed and key."""
     if not 0 < ratio <= 1 or most is not None and most <= 0:
         raise BankError("ratio must be above 0 and at most 1, and the cap positive")
-    n = patches.count()
+    rows, bins = hashed(patches, keys, seed)
+    n = sum(c for _, c in bins)
     if not n:
         raise BankError("no patches")
-    size = max(1, min(int(np.ceil(n * ratio)), most or n, n))
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    rows = patches.withColumn("_h", hashed)
-    if size < n:
-        share = min(1.0, (size + 6 * size**0.5 + 64) / n)
-        near = rows.filter(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") <= int(share * 2**32))
-        rows = (near if near.count() >= size else rows).orderBy("_h", *keys).limit(size)
-    return rows.drop("_h")
+    return first_by_hash(rows, bins, max(1, min(int(np.ceil(n * ratio)), most or n, n)), keys).drop("_h")
 
 
 def fitted_bank(patches: DataFrame, keys: Sequence[str], ratio: float = 0.1, most: int | None = None, seed: int = 42) -> DataFrame:
@@ -200,11 +211,11 @@ def pca_baseline(patches: DataFrame, train: DataFrame, rank: int = 8) -> DataFra
 
 
 def coreset_ranks(patches: DataFrame, keys: Sequence[str], ratios: Sequence[float], seed: int = 42) -> DataFrame:
-    """For each ratio the nested coreset: ratio and the columns of patches."""
-    n = patches.count()
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    most = max(1, int(np.ceil(n * max(ratios))))
-    top = patches.withColumn("_h", hashed).orderBy("_h", *keys).limit(most)
-    ranked = top.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h", *keys)))  # the largest coreset
-    sizes = F.array(*[F.struct(F.lit(float(r)).alias("ratio"), F.lit(max(1, int(np.ceil(n * r)))).alias("size")) for r in ratios])
-    return ranked.withColumn("_s", F.explode(sizes)).filter(F.col("_r") <= F.col("_s.size")).select(F.col("_s.ratio").alias("ratio"), *patches.columns)
+    """For each ratio the nested coreset: ratio and the columns of patches.  No patches give no rows."""
+    rows, bins = hashed(patches, keys, seed)
+    n = sum(c for _, c in bins)
+    out = patches.limit(0).select(F.lit(0.0).alias("ratio"), *patches.columns)
+    for r in ratios if n else ():
+        part = first_by_hash(rows, bins, max(1, min(n, int(np.ceil(n * r)))), keys)
+        out = out.union(part.select(F.lit(float(r)).alias("ratio"), *patches.columns))
+    return out

@@ -83,6 +83,30 @@ def markdown(df: DataFrame) -> str:
     return "\n".join(head + ([r["line"] for r in markdown_rows(df).select("line").collect()] or ["| " + " | ".join("" for _ in df.columns) + " |"]))
 
 
+def report_paths(overall_markdown: str = "reports/generated/experiment_summary.md", overall_csv: str | None = None, per_ood_markdown: str | None = None, per_ood_csv: str | None = None) -> dict[str, str]:
+    """Where the four report tables go: a table's CSV beside its Markdown, the per-type ones named after the overall one."""
+    folder, _, name = overall_markdown.rpartition("/")
+    stem = re.sub(r"(?<=.)\.[^.]*$", "", name)
+    per = per_ood_markdown or f"{folder}/" * bool(folder) + ("per_category_metrics.md" if name == "experiment_summary.md" else f"{stem}_per_ood.md")
+    beside = lambda path: re.sub(r"(?<=[^/])\.[^./]*$", "", path) + ".csv"
+    return {"overall_markdown": overall_markdown, "overall_csv": overall_csv or beside(overall_markdown), "per_ood_markdown": per, "per_ood_csv": per_ood_csv or beside(per)}
+
+
+#: Fixed titles of the Markdown files.
+TITLES = {"overall": "Experiment Summary", "per_ood": "Per-OOD Category Metrics"}
+
+
+def write_tables(reports: DataFrame, runs_dir: str, **paths: str) -> dict[str, str]:
+    """Write the overall and the per-type table as CSV and as Markdown, by Spark's writers, to the places of report_paths(), which are returned."""
+    where = report_paths(**paths)
+    for kind, table in (("overall", overall(reports, runs_dir)), ("per_ood", per_ood(reports, runs_dir))):
+        one = table.coalesce(1)  # a row for each run, or run and type
+        one.write.mode("overwrite").csv(where[f"{kind}_csv"], header=True, escape='"', emptyValue="")
+        text = f"# {TITLES[kind]}\n\n{markdown(table)}"
+        one.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(where[f"{kind}_markdown"])
+    return where
+
+
 def ablation(table: DataFrame) -> DataFrame:
     """table of overall() with figure_label and layer_sort, numbers as numbers (NULL if they aren't), in figure order."""
     missing = sorted({"run_name", "layers", "auroc", "auprc", "fpr_at_95_tpr", "tn", "fp", "fn", "tp"} - set(table.columns))

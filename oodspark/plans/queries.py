@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..operators import decisions, gate, images, manifest, metrics, outcomes, patches, reports
+from ..sources import scratch
 from . import views as V
 
 THRESHOLD = 30.0
@@ -20,12 +18,6 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c, t in df.dtypes if t == "double"})
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh path in the folder that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="oodspark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def scores(spark, d):
     return V.view(spark, d, V.SCORES)
 

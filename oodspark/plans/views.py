@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 SCORES = """SELECT event_id AS sample_index, 'images/' || event_type || '/' || CAST(event_id AS STRING) || '.png' AS image_path,
 CAST(CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END AS INT) AS label,
 CASE event_type WHEN 'purchase' THEN 'modality_shift' WHEN 'error' THEN 'sensory_artifact' WHEN 'signup' THEN 'semantic_outlier' ELSE 'id' END AS ood_type,
-value + CAST(CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 25 END AS DOUBLE) AS score, user_id AS patient_id, 'scanner_' || CAST(user_id % 3 AS STRING) AS scanner,
+round(value + CAST(CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 25 END AS DOUBLE), 6) AS score, user_id AS patient_id, 'scanner_' || CAST(user_id % 3 AS STRING) AS scanner,
 CASE WHEN event_id % 10 < 6 THEN 'train' WHEN event_id % 10 < 8 THEN 'val' ELSE 'test' END AS split, 'run_' || CAST(CAST(JSON_K AS INT) % 5 AS STRING) AS run_name FROM {events}"""
 
 BIG_SCORES = "SELECT l_extendedprice AS score, CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INT) AS label, l_returnflag || l_linestatus AS ood_type FROM {lineitem}"

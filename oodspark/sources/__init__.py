@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +24,43 @@ class SourceError(ValueError):
     """A source that can't be read as what it should be."""
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest with a header line, any column order and extra columns, all as text; a file without any line is an error."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; a folder of our own only where the session names none and runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise SourceError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="oodspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/oodspark-{name}-{uuid.uuid4().hex}"
+
+
+#: Spark's own setting: the shuffle files of an execution go when it ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: it is computed once, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(CLEANED)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str, line_numbers: bool = False) -> DataFrame:
+    """A manifest with a header line, any column order and extra columns, all as text; a file without any line is an error.
+
+    line_numbers adds csv_row, the number of a record with the header as 1, for a manifest of one file: it is read as one
+    piece, since its fields may hold line breaks.
+    """
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
     if not df.columns:
         raise SourceError(f"manifest is empty: {path}")
-    return df
+    return df.withColumn("csv_row", F.monotonically_increasing_id() + 2) if line_numbers else df
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
@@ -37,12 +73,24 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     Files that can't be decoded stay, with an error.  Grey images get three equal channels.
     """
     df = spark.read.format("image").load(path).select("image.*")
-    n = F.col("height") * F.col("width")
-    place = F.transform(F.sequence(F.lit(0), 3 * n - 1), lambda i: (i % n) * F.col("nChannels") + F.when(F.col("nChannels") == 1, 0).otherwise(2 - F.floor(i / n)))
-    hexed = df.withColumn("_hex", F.hex("data"))
-    pixels = F.transform(place, lambda i: F.conv(F.substring(F.col("_hex"), (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("float"))
-    ok = F.col("height") > 0
-    return hexed.select(F.col("origin").alias("image_path"), "height", "width", F.when(ok, 3).alias("channels"), F.when(ok, pixels).alias("pixels"), F.when(~ok, "not a supported image").alias("error"))
+
+    def channels(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 16):  # images at a time
+                part = b.slice(start, 16)
+                rows, pixels = part.to_pylist(), []
+                for r in rows:
+                    if r["height"] > 0:
+                        planes = np.frombuffer(r["data"], dtype=np.uint8).reshape(r["height"], r["width"], r["nChannels"])[..., 2::-1]  # blue first, transparency last
+                        pixels.append(np.broadcast_to(planes, (*planes.shape[:2], 3)).transpose(2, 0, 1).ravel().astype(np.float32))
+                    else:
+                        pixels.append(None)
+                bad = [x is None for x in pixels]
+                columns = [part.column(0), part.column(1), part.column(2), pa.array([None if x else 3 for x in bad], pa.int32()), pa.array(pixels, pa.list_(pa.float32())), pa.array(["not a supported image" if x else None for x in bad], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["image_path", "height", "width", "channels", "pixels", "error"])
+
+    rows = df.select(F.col("origin").alias("image_path"), "height", "width", "nChannels", "data")
+    return rows.mapInArrow(channels, "image_path string, height int, width int, channels int, pixels array<float>, error string")
 
 
 def read_reports(spark: SparkSession, runs_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from oodspark import sources, streaming
 from oodspark.functions import kernels
-from oodspark.operators import gate, images, manifest, patches, reports
+from oodspark.operators import gate, images, manifest, outcomes, patches, reports
 
 RAW = "image_path string, label string, split string, source string, ood_type string, patient_id string"
 
@@ -177,3 +177,58 @@ def test_no_patient_ids(spark):
 
     for name in ("score_rows", "heatmap_manifest", "report_overall", "report_per_ood"):
         assert "patient_id" not in queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_numbering(spark):
+    """Positions are 0 to n - 1 in the order, whatever the partitions, also for a hot first column."""
+    n = 1_200_000
+    df = spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('p', id % 1009) END AS image_path", "(id * 7919) % 1200007 AS doc_id").repartition(13)
+    got = manifest.numbered(df, ("image_path", "doc_id")).persist()
+    row = got.selectExpr("count(*) AS n", "count(DISTINCT row_idx) AS d", "min(row_idx) AS a", "max(row_idx) AS z").first()
+    assert tuple(row) == (n, n, 0, n - 1)
+    first = got.filter("row_idx < 1000").orderBy("row_idx").collect()
+    assert [(r["image_path"], r["doc_id"]) for r in first] == [tuple(r) for r in df.orderBy("image_path", "doc_id").limit(1000).collect()]
+
+
+def test_read_large_image(spark, tmp_path):
+    import time
+
+    (tmp_path / "a.png").write_bytes(png(224, 224, (1, 2, 3)))
+    start = time.time()
+    row = sources.read_images(spark, str(tmp_path)).first()
+    assert len(row["pixels"]) == 3 * 224 * 224 and row["pixels"][0] == 1 and row["pixels"][-1] == 3 and time.time() - start < 15
+
+
+def test_line_numbers(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text("image_path,label,split,source,ood_type\na.png,0,train,s,id\n ,0,train,s,id\n,1,test,s,x\n")
+    with pytest.raises(manifest.ManifestError, match=r"CSV rows \[3, 4\]"):
+        manifest.validated(sources.read_manifest(spark, str(path), line_numbers=True))
+
+
+def test_report_writer(spark, tmp_path):
+    assert reports.report_paths() == {"overall_markdown": "reports/generated/experiment_summary.md", "overall_csv": "reports/generated/experiment_summary.csv", "per_ood_markdown": "reports/generated/per_category_metrics.md", "per_ood_csv": "reports/generated/per_category_metrics.csv"}
+    assert reports.report_paths("a/b.md")["per_ood_csv"] == "a/b_per_ood.csv"
+    d = tmp_path / "runs" / "r1"
+    d.mkdir(parents=True)
+    (d / "metrics.json").write_text(json.dumps({"global": {"auroc": 0.5}, "per_ood_type": {"a": {"auroc": 0.9, "id_count": 3}}}))
+    root = f"file://{tmp_path}/runs"
+    where = reports.write_tables(sources.read_reports(spark, root), root, overall_markdown=f"{tmp_path}/out/t.md")
+    assert spark.read.csv(where["overall_csv"], header=True).first()["auroc"] == "0.5"
+    assert "# Per-OOD Category Metrics" in [r["value"] for r in spark.read.text(where["per_ood_markdown"]).collect()]
+
+
+def test_map_checks(spark):
+    maps = lambda *v: spark.createDataFrame([(x,) for x in v], "patch_score double")
+    outcomes.require_maps(maps(1.0, 2.0))
+    for bad in (maps(), maps(1.0, float("nan")), maps(None)):
+        with pytest.raises(ValueError):
+            outcomes.require_maps(bad)
+
+
+def test_annotation_bounds():
+    for seed in range(50):
+        h, w = 30 + seed, 48
+        marked = np.argwhere((kernels.corrupted(np.zeros((h, w, 3), dtype=np.uint8), "rectangle_annotation", [seed]) > 0).any(axis=2))
+        (y0, x0), (y1, x1) = marked.min(axis=0), marked.max(axis=0)
+        assert y0 < h // 3 and x0 < w // 3 and y1 >= h // 2 and x1 >= w // 2

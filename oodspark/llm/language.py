@@ -2,7 +2,7 @@
 
 A known word adds its log frequency in each language.  A word that the fit never saw is scored by its character
 n-grams of the greatest length of which some are known.  The posterior over languages of the whole text gives the
-prediction and its score.
+prediction and its score.  Letters are the characters of Unicode category L, in the fit and in predictions.
 """
 
 from __future__ import annotations
@@ -11,54 +11,63 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import held_out, stored
 
-#: The fit reads about so many labelled documents at most, chosen by hash of the id.
-FIT_ROWS = 20_000
-#: Sizes of the model: most frequent words, and most frequent n-grams of each length.
-KNOWN_WORDS, KNOWN_GRAMS = 100_000, 20_000
+#: The fit reads about so many labelled documents at most, chosen by hash of the id; all their words and n-grams are kept.
+FIT_ROWS = 5_000
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
 REMEMBERED = 200_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of what else can be part of a number, and the letters in such a run.
+RUN, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters of a text in lower case."""
+    found = RUN.findall((text or "").lower())
+    return found if "".join(found).isalpha() or not found else [w for run in found for w in LETTERS.findall(run)]
+
+
+def sample(docs: DataFrame, rows: int) -> DataFrame:
+    """lang and text of about so many of the rows that are not held out and have a language; all of them, if there are fewer."""
+    known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    share = min(1.0, rows / max(known.select("doc_id").count(), 1))
+    return known.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> dict:
     """Word and n-gram log frequencies per language, from the documents that are not held out and have a language.
 
-    Counting is a Spark aggregation; what reaches the driver is the most frequent words and n-grams, whose number the
-    model's sizes bound.  No labelled document gives a model without languages, which predicts "und" for all.
+    Counting is a Spark aggregation; what reaches the driver, as columns, is the counts of the words and n-grams of the
+    sample, which rows bounds.  No labelled document gives a model without languages, which predicts "und" for all.
     """
-    known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    n = known.select("doc_id").count()
-    share = min(1.0, rows / max(n, 1))
-    part = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = part.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("unit"))
+    words = sample(docs, rows).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("unit"))
     counts = stored(words.groupBy("unit", "lang").count(), "language-words")
     padded = F.concat(F.lit("<"), "unit", F.lit(">"))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in LENGTHS]
-    grams = counts.select("lang", "count", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), g.alias("g")) for n, g in zip(LENGTHS, grams, strict=True)])).alias("x"))
+
+    def cut(n: int):  # the n-grams of a word
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+
+    grams = counts.select("lang", "count", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), cut(n).alias("g")) for n in LENGTHS])).alias("x"))
     grams = grams.select("lang", "count", F.col("x.n").alias("n"), F.explode("x.g").alias("unit")).filter(F.length("unit") == F.col("n"))
     grams = grams.groupBy("n", "unit", "lang").agg(F.sum("count").alias("count"))
-    both = counts.select(F.lit(0).alias("n"), "unit", "lang", "count").unionByName(grams)
-    per = both.groupBy("n", "unit").agg(F.collect_list(F.struct("lang", "count")).alias("by"), F.sum("count").alias("total"))
-    top = Window.partitionBy("n").orderBy(F.desc("total"), "unit")
-    per = per.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= F.when(F.col("n") == 0, KNOWN_WORDS).otherwise(KNOWN_GRAMS))
-    found = per.select("n", "unit", "by").collect()  # KNOWN_WORDS + 5 * KNOWN_GRAMS rows at most
-    langs = sorted({x["lang"] for r in found for x in r["by"]})
-    at = {x: i for i, x in enumerate(langs)}
+    found = counts.select(F.lit(0).alias("n"), "unit", "lang", "count").unionByName(grams).toArrow()
+    langs = sorted(x for x in found["lang"].unique().to_pylist())
     model: dict = {"langs": langs, "units": {}}
     for n in (0, *LENGTHS):
-        rows_n = sorted((r for r in found if r["n"] == n), key=lambda r: r["unit"])
-        table = np.full((len(rows_n), len(langs)), SMOOTHING)
-        for i, r in enumerate(rows_n):
-            for x in r["by"]:
-                table[i, at[x["lang"]]] += x["count"]
-        model["units"][n] = ({r["unit"]: i for i, r in enumerate(rows_n)}, np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32) if len(rows_n) else table.astype(np.float32))
+        part = found.filter(pc.equal(found["n"], n))
+        units = part["unit"].unique().sort()
+        table = np.full((len(units), len(langs)), SMOOTHING)
+        at = pc.index_in(part["unit"], units).to_numpy(), pc.index_in(part["lang"], pa.array(langs, pa.string())).to_numpy()
+        np.add.at(table, at, part["count"].to_numpy())
+        model["units"][n] = ({u: i for i, u in enumerate(units.to_pylist())}, np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32) if len(units) else table.astype(np.float32))
     return model
 
 
@@ -80,7 +89,7 @@ class Scorer:
         return self.none
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
+        words = words_of(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0
         get, known, total = self.index.get, [], np.zeros(len(self.langs))
@@ -105,7 +114,8 @@ class Scorer:
 def predicted(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred and score (posterior, 0 to 1) of every whole text; "und" and 0 for null texts and texts without letters.
 
-    Only text is read.  Repeated rows give repeated rows, an empty table an empty result.
+    Only text is read, and whole.  Equal posteriors go to the language that is first by name.  Repeated rows give repeated
+    rows, an empty table an empty result; other columns play no part.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

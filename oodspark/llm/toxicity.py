@@ -1,8 +1,9 @@
 """Toxicity score: logistic regression on hashed word n-grams and skip-grams, trained by FTRL-proximal.
 
 Features are a text's distinct words, neighbouring pairs and pairs with one word between, hashed to a fixed number of
-slots.  FTRL-proximal keeps a learning rate for each slot and, by its L1 term, weights that are mostly zero.  Shards of
-the labelled rows are trained side by side and their weights averaged; the result is a small sparse vector.
+slots.  FTRL-proximal keeps a learning rate for each slot and, by its L1 term, weights that are mostly zero.  A sample of
+the labelled rows, of bounded size, streams through one learner in an order of hashes, once for each epoch; the result is
+a small sparse vector.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held_out
+from ._shared import held_out, stored
 
 SLOTS = 1 << 20
-#: The fit reads about so many labelled documents at most, chosen by hash of the id, in so many shards.
-FIT_ROWS, SHARDS = 20_000, 1
+#: The fit reads about so many different labelled documents at most, chosen by hash of id and text.
+FIT_ROWS = 20_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 THRESHOLD = 0.3
@@ -50,63 +52,72 @@ class Features:
         return np.unique((np.concatenate(parts) >> SHIFT).astype(np.int32))
 
 
-def trained(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias after the given passes of FTRL-proximal in the order of the rows."""
-    z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
-    bias = np.array([SLOTS])
+class Learner:
+    """FTRL-proximal: z and n of each slot, and of the bias as the last."""
 
-    def weights(at: np.ndarray) -> np.ndarray:
-        zi = z[at]
-        w = -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        w[np.abs(zi) <= L1] = 0.0
+    def __init__(self):
+        self.z, self.n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
+
+    def weights(self, at: np.ndarray) -> np.ndarray:
+        z = self.z[at]
+        w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2)
+        w[np.abs(z) <= L1] = 0.0
         return w
 
-    for _ in range(epochs):
-        for at, y in zip(rows, labels, strict=True):
-            at = np.concatenate([at, bias])
-            w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-            z[at] += g - sigma * w
-            n[at] += g * g
-    w = weights(np.arange(SLOTS + 1))
-    return w[:-1], float(w[-1])
+    def learn(self, slots: np.ndarray, y: int) -> None:
+        at = np.append(slots, SLOTS)
+        w, n = self.weights(at), self.n[at]
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
+        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
+        self.n[at] += g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, shards: int = SHARDS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int = EPOCHS) -> dict:
     """Sparse weights from the labelled documents that are not held out; a null label labels nothing, and any 1 among repeated labels counts.
 
-    Training order is a hash of the id, so reruns agree.  No labelled document gives zero weights, that is a score of 0.5.
+    Rows equal in id and text are one.  Training order is a hash of id and text, so reruns agree.  The rows that are learnt
+    from, not more than rows bounds, pass through one task in batches; it holds no more than the model.  No labelled
+    document gives zero weights, that is a score of 0.5.
     """
     told = labels.select("doc_id", F.col("toxic").cast("int").alias("_y")).filter(F.col("_y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     told = told.groupBy("doc_id").agg(F.max("_y").alias("_y"))
-    share = min(1.0, rows / max(told.count(), 1))
-    order = F.xxhash64("doc_id", F.lit("toxicity"))
-    part = told.filter(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("_o", order)
-    part = docs.select("doc_id", "text").join(part, "doc_id").withColumn("_shard", F.pmod(F.xxhash64("_o"), F.lit(shards)))
+    own = docs.select(F.col("doc_id"), "text", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit("toxicity")).alias("_o"))
+    found = stored(own.select("doc_id", "_o").join(told, "doc_id").distinct(), "toxicity-rows")
+    share = min(1.0, rows / max(found.count(), 1))
+    chosen = found.filter(F.pmod("_o", F.lit(1_000_000)) < int(share * 1_000_000)).select("_o", "_y")
 
     def slots(batches):
         features = Features()
         for b in batches:
-            yield pd.DataFrame({"_shard": b["_shard"], "_o": b["_o"], "_y": b["_y"], "at": [features(t) for t in b["text"]]})
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                found = [features(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["_o", "_y", "at"])
 
-    def shard(rows_: pd.DataFrame) -> pd.DataFrame:
-        rows_ = rows_.sort_values("_o", kind="stable")
-        w, bias = trained([np.asarray(a, dtype=np.int64) for a in rows_["at"]], rows_["_y"].to_numpy())
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"at": [*at.tolist(), SLOTS], "w": [*w[at].tolist(), bias]})
-
-    sliced = part.select("_shard", "_o", "_y", "text").mapInPandas(slots, "_shard long, _o long, _y int, at array<int>")
-    found = sliced.groupBy("_shard").applyInPandas(shard, "at long, w double")
-    mean = found.groupBy("at").agg((F.sum("w") / shards).alias("w")).collect()  # SLOTS + 1 rows at most
-    mean = sorted((r["at"], r["w"]) for r in mean)
-    return {"at": np.array([a for a, _ in mean if a < SLOTS], dtype=np.int64), "w": np.array([w for a, w in mean if a < SLOTS], dtype=np.float32), "bias": sum(w for a, w in mean if a == SLOTS)}
+    def learnt(batches):
+        learner = Learner()
+        for b in batches:
+            for y, at in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                learner.learn(at.values.to_numpy(), y)
+        w = learner.weights(np.arange(SLOTS + 1))
+        at = np.append(np.flatnonzero(w[:-1]), SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
+
+    # about so many rows as asked for at most, so their keys may be sent to all
+    sliced = own.join(F.broadcast(chosen), "_o").select("_o", "_y", "text").mapInArrow(slots, "_o long, _y int, at array<int>").dropDuplicates(["_o"])
+    order = sliced.withColumn("_e", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).repartition(1).sortWithinPartitions("_e", "_o")
+    got = order.select("_y", "at").mapInArrow(learnt, "at long, w double").collect()  # SLOTS + 1 rows at most
+    w = {r["at"]: r["w"] for r in got}
+    bias = w.pop(SLOTS, 0.0)
+    at = sorted(w)
+    return {"at": np.array(at, dtype=np.int64), "w": np.array([w[i] for i in at], dtype=np.float32), "bias": bias}
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and score (0 to 1, higher: likelier toxic) of every whole text; a null or empty text has the score of the bias alone.
 
-    Only text is read.  Repeated rows give repeated rows, an empty table an empty result.
+    Only text is read, and whole.  Equal texts have equal scores.  Repeated rows give repeated rows, an empty table an empty
+    result; other columns play no part.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

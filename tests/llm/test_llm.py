@@ -397,6 +397,86 @@ def test_backoff():
     model["units"][1] = ({"x": 0}, np.array([[-1.0, -9.0]], dtype=np.float32))
     s = language.Scorer(model)
     assert s.predict("Known")[0] == "a" and s.predict("xyz")[0] == "b" and s.predict("zx")[0] == "a" and s.predict("12")[0] == "und"
+    assert [s.predict(t)[0] for t in ("²", "½ ①", "Ⅷ_7", "x²y½")] == ["und", "und", "und", "a"]
+    assert s.predict("q")[0] == "a" and s.predict("q")[1] == 0.5  # a tie goes to the first by name
+
+
+def test_language_plain(spark):
+    """The whole fit and every score against a plain version."""
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    rows = [(i, " ".join(word("abcé²" if i % 2 else "bcdﬁ") for _ in range(rng.randint(0, 12))), None if i % 17 == 3 else ("xx", "yy", "zz")[i % 3]) for i in range(90)] + [(200, None, "xx"), (201, "½ 12", "yy"), (7, "abc abc", "xx"), (300, "a" * 20000, "zz"), (301, "QQ ww", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("unit", F.lit(1))
+    import unicodedata
+
+    def split(t):
+        return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+
+    units: dict = {n: collections.defaultdict(collections.Counter) for n in (0, *language.LENGTHS)}
+    for i, t, g in rows:
+        if g is not None and t is not None and not held(i):
+            for w in split(t):
+                units[0][w][g] += 1
+                for n in language.LENGTHS:
+                    p = f"<{w}>"
+                    for j in range(len(p) - n + 1):
+                        units[n][p[j : j + n]][g] += 1
+    langs = sorted({g for u in units[0].values() for g in u})
+    total = {n: {g: sum(c[g] + language.SMOOTHING for c in u.values()) for g in langs} for n, u in units.items()}
+    freq = lambda n, u, g: np.log((units[n][u][g] + language.SMOOTHING) / total[n][g])
+    got = {(r["doc_id"], i): r for i, r in enumerate(language.predicted(df.repartition(1), language.fit(df)).collect())}
+    want = collections.defaultdict(list)
+    for i, t, _ in rows:
+        score = dict.fromkeys(langs, 0.0)
+        ws = split(t)
+        for w in ws:
+            if w in units[0]:
+                for g in langs:
+                    score[g] += freq(0, w, g)
+                continue
+            for n in language.LENGTHS:
+                known = [f"<{w}>"[j : j + n] for j in range(len(w) + 3 - n) if f"<{w}>"[j : j + n] in units[n]]
+                if known:
+                    for g in langs:
+                        score[g] += sum(freq(n, u, g) for u in known) / len(known)
+                    break
+        p = np.exp(np.array([score[g] for g in langs]) - max(score.values()))
+        want[i].append((langs[int(p.argmax())], p.max() / p.sum()) if ws else ("und", 0.0))
+    for (i, _), r in got.items():
+        assert any(r["lang_pred"] == g and r["score"] == pytest.approx(s, abs=1e-3) for g, s in want[i]), (r, want[i], [t for j, t, _ in rows if j == i])
+    assert len(got) == len(rows)
+
+
+def test_ftrl_plain(spark):
+    """The fit against an unvectorised FTRL-proximal, with repeated rows and labels and a very long text."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    rows += [rows[1], rows[2], (5, None), (121, " ".join(rng.choice(vocabulary) for _ in range(30_000)))]
+    told = [(i, None if i % 19 == 0 else int("w1 " in f"{t} " or "w2 " in f"{t} ")) for i, t in rows] + [(3, 1), (None, 1)]
+    docs_, labels_ = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(told, "doc_id long, toxic int")
+    key = {(r["doc_id"], r["text"]): r["o"] for r in docs_.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit("toxicity")).alias("o")).collect()}
+    y: dict = {}
+    for i, v in told:
+        if i is not None and v is not None and not held(i):
+            y[i] = max(v, y.get(i, 0))
+    order = sorted((o, i, t) for (i, t), o in key.items() if i in y)
+    features, z, n = toxicity.Features(), collections.Counter(), collections.Counter()
+
+    def weight(s):
+        return 0.0 if abs(z[s]) <= toxicity.L1 else -(z[s] - np.sign(z[s]) * toxicity.L1) / ((toxicity.BETA + n[s] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for _, i, t in order:
+            slots = [*features(t).tolist(), toxicity.SLOTS]
+            w = {s: weight(s) for s in slots}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y[i]
+            for s in slots:
+                z[s] += g - ((n[s] + g * g) ** 0.5 - n[s] ** 0.5) / toxicity.ALPHA * w[s]
+                n[s] += g * g
+    model = toxicity.fit(docs_, labels_)
+    want = {s: weight(s) for s in z if s != toxicity.SLOTS and weight(s)}
+    assert dict(zip(model["at"].tolist(), model["w"].tolist(), strict=True)) == pytest.approx(want, abs=1e-4) and model["bias"] == pytest.approx(weight(toxicity.SLOTS), abs=1e-6) and want
 
 
 def test_toxicity(spark, docs, empty):

@@ -6,14 +6,17 @@ l.  Each set chooses its own l: a longer prefix costs more entries in the token
 it.  Tokens in few sets give candidate pairs by join; sets that meet in the list of a token in very many sets are put
 compared list by list, in blocks.  Of either kind only pairs stay whose parity sketches differ in no more bits than the
 threshold lets the sets differ in tokens, which no linked pair fails.  What is left decides which sets are looked at
-together: within these clusters every pair is verified exactly, block by block, and only links enough to connect what
-is linked leave a block.
+together.  Within these clusters links are verified exactly, as many as connect all that is linked.
+
+Large lists and clusters are mostly groups of copies, so all their sets are first held against a few pivots, one row for
+each set and pivot.  Only what no pivot connects is then met with the others, block by block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +27,16 @@ from .substrings import Words
 
 #: Words in an n-gram, and least similarity as a ratio of whole numbers.
 GRAM, SIMILAR, OF = 3, 90, 100
-#: Bits of the count sketch: its size doesn't depend on the corpus.
-SKETCH_BITS = 19
+#: Bits of the count sketch, at least and at most: a slot for each row between these, so 128 MB at most.
+SKETCH_BITS = (19, 24)
 #: Most tokens a pair may be asked to share, and the cost of a verification, for each token, against that of a list entry.
 LONGEST, VERIFY = 6, 0.1
 #: A token in more sets has its list taken as a whole.
 WIDE = 24
-#: Sets in a verified block, and in a block of a list.
-BLOCK, LIST_BLOCK = 512, 4096
+#: Sets in a verified block, and in a block of a list.  Pivots that a large cluster's sets are held against.
+BLOCK, LIST_BLOCK, PIVOTS = 512, 1024, 3
+#: Rows of one component are dealt to so many keys when they learn its smallest id.
+SALTS = 32
 #: Words of 64 bits in a parity sketch: each token flips one bit.
 PARITY = 16
 BITS = [f"p{i}" for i in range(PARITY)]
@@ -67,11 +72,15 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def described(docs: DataFrame, gram: int) -> DataFrame:
+def sketch_bits(rows: int) -> int:
+    return min(max(rows.bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+
+
+def described(docs: DataFrame, gram: int, slots_bits: int) -> DataFrame:
     """id, key, n (size of the set), sig and parity sketch p0, p1 ... of each row of keyed(docs); and with null id, a count sketch of the tokens for each task."""
 
     def run(batches):
-        grams, sketch = Grams(gram), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        grams, sketch = Grams(gram), np.zeros(1 << slots_bits, dtype=np.int64)
         for b in batches:
             n, sig, odd, slots = [], [], [np.zeros((0, PARITY), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for t in b["text"]:
@@ -79,7 +88,7 @@ def described(docs: DataFrame, gram: int) -> DataFrame:
                 n.append(len(s))
                 sig.append(signature(s))
                 odd.append(parity(s)[None])
-                slots.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                slots.append((s >> np.uint64(64 - slots_bits)).astype(np.int64))
             sketch += np.bincount(np.concatenate(slots), minlength=len(sketch))
             bits = np.concatenate(odd)
             yield pd.DataFrame({"id": b["id"], "key": b["key"], "n": n, "sig": sig, "sketch": None} | {p: bits[:, i] for i, p in enumerate(BITS)})
@@ -89,17 +98,21 @@ def described(docs: DataFrame, gram: int) -> DataFrame:
 
 
 def summed(sketches: DataFrame) -> np.ndarray:
-    """Sum of the count sketches, added up in tasks first; its size is fixed."""
+    """Sum of the count sketches, added up in two rounds of tasks before the driver adds the last four."""
 
     def add(batches):
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = None
         for b in batches:
-            for x in b["sketch"]:
-                total += np.frombuffer(x, dtype="<i8" if len(x) == 8 << SKETCH_BITS else "<i4")
-        yield pd.DataFrame({"sketch": [total.astype("<i8").tobytes()]})
+            for x in b.column(0):
+                x = np.frombuffer(x.as_buffer(), dtype="<i4").astype(np.int64)
+                total = x if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["sketch"])
 
-    rows = sketches.repartition(4).mapInPandas(add, "sketch binary").collect()  # four rows
-    return sum((np.frombuffer(r["sketch"], dtype="<i8") for r in rows), np.zeros(1 << SKETCH_BITS, dtype=np.int64))
+    for tasks in (max(4, int(sketches.count() ** 0.5)), 4):
+        sketches = sketches.repartition(tasks).mapInArrow(add, "sketch binary")
+    rows = [np.frombuffer(r["sketch"], dtype="<i4").astype(np.int64) for r in sketches.collect()]  # four rows
+    return sum(rows[1:], rows[0]) if rows else np.zeros(1 << SKETCH_BITS[0], dtype=np.int64)
 
 
 def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch, rows: int) -> DataFrame:
@@ -112,7 +125,7 @@ def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch, rows: in
 
     def run(batches):
         grams, counts = Grams(gram), sketch.value
-        noise = counts.mean()
+        noise, shift = counts.mean(), np.uint64(65 - len(counts).bit_length())
         for b in batches:
             parts, seen = [], set()
             for t in b["text"]:
@@ -122,7 +135,7 @@ def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch, rows: in
                 if not n or (sig, n) in seen:
                     continue
                 seen.add((sig, n))
-                df = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                df = counts[(s >> shift).astype(np.int64)]
                 order = np.lexsort((s, df))
                 free = n - -(-similar * n // of)
                 most = min(LONGEST, n - free)
@@ -151,36 +164,63 @@ def looked_at(lists: DataFrame, similar: int, of: int) -> DataFrame:
     return pairs.filter("shared >= asked").select("a", "b").union(listed(many, similar, of))
 
 
+def held_against(rows: DataFrame, key: str, pivots: DataFrame, block: int) -> DataFrame:
+    """rows (with key, sig and members, how many have the key) beside the pivot of their key, of which there is one at most.
+
+    A key's rows are dealt to as many salts as it has blocks, and its pivot is copied to each of them.
+    """
+    salts = F.ceil(F.col("members") / block).cast("int")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("sig", F.lit("salt")), salts).cast("int"))
+    copies = pivots.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("members")
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def meetings(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """rows (with key, sig and main) in the cells where they meet: any two of one key do, unless both are main.
+
+    Rows of either kind are parted into blocks by hash; a cell holds two blocks.  A key whose rows are all main has none.
+    """
+    per = rows.groupBy(key).agg(F.ceil(F.count_if("main") / block).cast("int").alias("_m"), F.ceil(F.count_if(~F.col("main")) / block).cast("int").alias("_r")).filter("_r > 0")
+    rows = rows.join(per, key).withColumn("_b", F.pmod(F.xxhash64("sig"), F.when(F.col("main"), F.col("_m")).otherwise(F.col("_r"))).cast("int"))
+    cell = lambda kind, i, j: F.concat_ws(":", F.lit(kind), F.col(key), i, j)
+    up_to = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
+    rest = F.concat(F.transform(up_to(F.col("_r")), lambda j: cell("r", F.least("_b", j), F.greatest("_b", j))), F.transform(up_to(F.col("_m")), lambda j: cell("m", j, F.col("_b"))))
+    main = F.transform(up_to(F.col("_r")), lambda i: cell("m", F.col("_b"), i))
+    return rows.withColumn("cell", F.explode(F.when(F.col("main"), main).otherwise(rest))).drop("_m", "_r", "_b")
+
+
 def listed(many: DataFrame, similar: int, of: int) -> DataFrame:
     """a and b: pairs enough to connect, list by list, all sets that sizes and parity sketches let be linked.
 
-    Lists are parted into blocks by hash and each pair of blocks compared by itself, so no task holds more than two
-    blocks of a list at once.
+    All sets of a list are held against its first one; those that may not be linked with it meet the others in cells of two
+    blocks.
     """
-    blocks = F.ceil(F.col("df") / LIST_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    rows = many.select("token", "sig", "n", *BITS, blocks.alias("blocks")).withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", *BITS)
-
-    def near(f: pd.DataFrame) -> pd.DataFrame:
+    rows = many.withColumnRenamed("df", "members")
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"a{p}"))) for p in BITS), F.lit(0))
+    sizes = (F.col("n") * of >= F.col("na") * similar) & (F.col("na") * of >= F.col("n") * similar)
+    near = sizes & (apart * (of + similar) <= (F.col("n") + F.col("na")) * (of - similar))
+    pivots = rows.groupBy("token").agg(F.min(F.struct("sig", "n", *BITS)).alias("one"), F.first("members").alias("members"))
+    pivots = pivots.select("token", "members", F.col("one.sig").alias("a"), F.col("one.n").alias("na"), *[F.col(f"one.{p}").alias(f"a{p}") for p in BITS])
+    rows = stored(held_against(rows, "token", pivots, LIST_BLOCK).select("token", "sig", "n", *BITS, "a", near.alias("main")), "jaccard-lists-pivots")
+    met = stored(meetings(rows.drop("a"), "token", LIST_BLOCK), "jaccard-lists-cells")
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in f.groupby(["token", "i", "j"], sort=False):
+        for _, g in f.groupby("cell", sort=False):
             n, sig, bits = g["n"].to_numpy().astype(np.int64), g["sig"].to_numpy(), g[BITS].to_numpy().view(np.uint64)
             up = list(range(len(g)))
-            for x in range(len(g) - 1):
-                apart = np.bitwise_count(bits[x + 1 :] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                m = n[x + 1 :]
-                found = np.flatnonzero((apart * (of + similar) <= (n[x] + m) * (of - similar)) & (n[x] * of >= m * similar) & (m * of >= n[x] * similar))
-                for y in found + x + 1:
-                    a, b = root(up, x), root(up, int(y))
+            for x in np.flatnonzero(~g["main"].to_numpy()).tolist():
+                apart = np.bitwise_count(bits ^ bits[x]).sum(axis=1, dtype=np.int64)
+                for y in np.flatnonzero((apart * (of + similar) <= (n[x] + n) * (of - similar)) & (n[x] * of >= n * similar) & (n * of >= n[x] * similar)).tolist():
+                    a, b = root(up, x), root(up, y)
                     if a != b:
                         up[max(a, b)] = min(a, b)
                         out.append((sig[x], sig[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    lot = F.pmod(F.xxhash64("token", "i", "j"), F.lit(509)).alias("lot")
-    return rows.groupBy(lot).applyInPandas(near, "a long, b long")
+    lots = max(1, -(-met.count() // BLOCK))
+    found = met.groupBy(F.pmod(F.xxhash64("cell"), F.lit(lots)).alias("lot")).applyInPandas(compare, "a long, b long")
+    return rows.filter("main AND sig <> a").select("a", F.col("sig").alias("b")).union(found)
 
 
 def root(up: list[int], i: int) -> int:
@@ -189,30 +229,6 @@ def root(up: list[int], i: int) -> int:
     return i
 
 
-def cells(named: DataFrame, similar: int, of: int) -> DataFrame:
-    """named (sig, n, label) with the cells in which a set is verified against all others there.
-
-    A cluster of up to BLOCK sets is one cell.  Larger ones are parted by size in bands so wide that links join equal or
-    neighbouring bands only, bands into blocks by hash, and each pair of such blocks is a cell.
-    """
-    sizes = named.groupBy("label").agg(F.count("*").alias("members"))
-    rows = named.join(sizes, "label")
-    small = rows.filter(F.col("members") <= BLOCK).select("sig", F.concat_ws(":", F.lit("c"), "label").alias("cell"))
-    large = rows.filter(F.col("members") > BLOCK).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(of / similar)) / 1.0000001).cast("int"))
-    per = large.groupBy("label", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    after = per.select("label", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next"))
-    before = per.select("label", (F.col("band") + 1).alias("band"), F.col("blocks").alias("prev"))
-    per = per.join(after, ["label", "band"], "left").join(before, ["label", "band"], "left").na.fill(0, ["next", "prev"])
-    large = large.join(per, ["label", "band"]).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    key = lambda band, i, j, kind: F.concat_ws(":", F.lit(kind), "label", band, i, j)
-    up_to = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
-    within = F.transform(up_to(F.col("blocks")), lambda j: key(F.col("band"), F.least(F.col("block"), j), F.greatest(F.col("block"), j), "s"))
-    upward = F.transform(up_to(F.col("next")), lambda j: key(F.col("band"), F.col("block"), j, "n"))
-    downward = F.transform(up_to(F.col("prev")), lambda j: key(F.col("band") - 1, j, F.col("block"), "n"))
-    large = large.select("sig", F.explode(F.concat(within, upward, downward)).alias("cell"))
-    return small.union(large)
-
-
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of different sets (the diagonal means nothing), by whichever is less work: their incidence matrix, or the lists of their common tokens."""
     n = len(sets)
@@ -245,23 +261,18 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(members: DataFrame, gram: int, similar: int, of: int, lots: int) -> DataFrame:
-    """a and b: links enough to connect all that is linked in each cell of members (sig, cell, text)."""
+def verified(members: DataFrame, similar: int, of: int) -> DataFrame:
+    """a and b: links enough to connect all that is linked in each cell of members (sig, main, cell, grams) between sets of which one is not main."""
 
     def links(lot: pd.DataFrame) -> pd.DataFrame:
-        grams, out, made = Grams(gram), [], {}
+        out = []
         for _, cell in lot.groupby("cell", sort=False):
             if len(cell) < 2:
                 continue
-            sig = cell["sig"].to_numpy()
-            sets = []
-            for s, t in zip(sig, cell["text"], strict=True):
-                if s not in made:
-                    made[s] = grams(t)
-                sets.append(made[s])
+            sig, main, sets = cell["sig"].to_numpy(), cell["main"].to_numpy(), [np.asarray(x).view(np.uint64) for x in cell["grams"]]
             n = np.array([len(s) for s in sets], dtype=np.int64)
             both = overlaps(sets)
-            linked = of * both >= similar * (n[:, None] + n[None, :] - both)
+            linked = (of * both >= similar * (n[:, None] + n[None, :] - both)) & ~(main[:, None] & main[None, :])
             up = list(range(len(sets)))
             for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
                 a, b = root(up, i), root(up, j)
@@ -270,9 +281,56 @@ def verified(members: DataFrame, gram: int, similar: int, of: int, lots: int) ->
                     out.append((sig[i], sig[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+    lots = max(1, -(-members.count() // BLOCK))
     return members.withColumn("lot", F.pmod(F.xxhash64("cell"), F.lit(lots))).groupBy("lot").applyInPandas(links, "a long, b long")
 
 
+def sets_of(texts: DataFrame, gram: int) -> DataFrame:
+    """texts (sig, label, members, text) with grams, the set itself, in place of the text."""
+
+    def run(batches):
+        grams = Grams(gram)
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                made = [grams(t).view(np.int64) for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(made, pa.list_(pa.int64()))], names=["sig", "label", "members", "grams"])
+
+    return texts.select("sig", "label", "members", "text").mapInArrow(run, "sig long, label long, members long, grams array<long>")
+
+
+def links_of(sets: DataFrame, similar: int, of: int) -> DataFrame:
+    """a and b: links enough to connect all that is linked in each cluster of sets (of sets_of()).
+
+    A cluster of up to BLOCK sets is one cell.  The sets of a larger one are held against PIVOTS pivots, each of them a set
+    that the pivots before it don't reach; what the links to pivots join with the first pivot needs no more verification
+    among itself.
+    """
+    small = sets.filter(F.col("members") <= BLOCK).select("sig", F.lit(False).alias("main"), F.concat_ws(":", F.lit("c"), "label").alias("cell"), "grams")
+    large = sets.filter(F.col("members") > BLOCK)
+    found = verified(small, similar, of)
+    if large.isEmpty():
+        return stored(found, "jaccard-links")
+    both = F.size(F.array_intersect("grams", "agrams"))
+    close = of * both >= similar * (F.size("grams") + F.size("agrams") - both)
+    links, open_ = None, large
+    for turn in range(PIVOTS):
+        pivots = open_.groupBy("label").agg(F.min_by(F.struct("sig", "grams"), F.xxhash64("sig", F.lit(turn))).alias("one"), F.first("members").alias("members"))
+        pivots = pivots.select("label", "members", F.col("one.sig").alias("a"), F.col("one.grams").alias("agrams"))
+        near = held_against(large, "label", pivots, BLOCK).filter(close).select("label", "a", F.col("sig").alias("b"), F.lit(turn).alias("turn"))
+        near = stored(near, f"jaccard-pivot-{turn}")
+        links = near if links is None else links.union(near)
+        open_ = large.join(links.select(F.col("b").alias("sig")), "sig", "left_anti")
+    parts = components(links.select("a", "b"), "jaccard-pivots").select(F.col("node").alias("sig"), F.col("label").alias("part"))
+    # a pivot is linked with itself, so a first pivot without others is a part of its own
+    firsts = links.filter("turn = 0").select("label", F.col("a").alias("sig")).distinct().join(parts, "sig", "left").select("label", F.coalesce("part", "sig").alias("first"))
+    main = F.coalesce(F.col("part"), F.col("sig")) == F.col("first")
+    firsts = firsts.join(large.groupBy("label").agg(F.first("members").alias("members")), "label")
+    told = held_against(large.join(parts, "sig", "left"), "label", firsts, BLOCK).select("label", "sig", "grams", main.alias("main"))
+    met = stored(meetings(told, "label", BLOCK).select("sig", "main", "cell", "grams"), "jaccard-cells")
+    return stored(found.union(links.select("a", "b")).union(verified(met, similar, of)), "jaccard-links")
+
+
 def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int = OF) -> DataFrame:
     """id, key (hash of the text), n_shingles, component_id and first of every row of docs (doc_id, text), similarity being at least similar / of.
 
@@ -284,8 +342,8 @@ def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int =
     """
     spark = docs.sparkSession
     rows = keyed(docs)
-    told = stored(described(rows, gram), "jaccard-sets")
-    sketch = spark.sparkContext.broadcast(summed(told.filter("sketch IS NOT NULL").select("sketch")))  # of fixed size
+    told = stored(described(rows, gram, sketch_bits(rows.count())), "jaccard-sets")
+    sketch = spark.sparkContext.broadcast(summed(told.filter("sketch IS NOT NULL").select("sketch")))  # of 2 ** SKETCH_BITS[1] slots at most
     told = told.filter("id IS NOT NULL").drop("sketch")
 
     entries = stored(prefixes(rows, gram, similar, of, sketch, told.count()), "jaccard-prefixes")
@@ -297,23 +355,23 @@ def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int =
     together = looked_at(stored(lists.join(counts, "token").join(odd, "sig"), "jaccard-counted"), similar, of)
     clusters = components(together, "jaccard-clusters")
 
-    named = clusters.join(told.groupBy("sig").agg(F.min("n").alias("n"), F.min(F.struct("id", "key")).alias("one")), F.col("node") == F.col("sig")).select("sig", "n", "one.*", "label")
-    named = stored(named, "jaccard-named")
-    where = stored(cells(named, similar, of), "jaccard-cells")
-    lots = max(1, -(-where.count() // BLOCK))
-    text = rows.join(named.select("id", "key", "sig").hint("merge"), ["id", "key"]).select("sig", "text")
+    one = told.groupBy("sig").agg(F.min(F.struct("id", "key")).alias("one"))
+    named = stored(clusters.join(one, F.col("node") == F.col("sig")).select("sig", "one.*", "label"), "jaccard-named")
+    members = named.groupBy("label").agg(F.count("*").alias("members"))
+    text = rows.join(named.join(members, "label").hint("merge"), ["id", "key"]).select("sig", "label", "members", "text")
     if told.count() != told.select("id", "key").distinct().count():  # rows that repeat each other give one set
         text = text.dropDuplicates(["sig"])
-    links = stored(verified(where.join(text, "sig"), gram, similar, of, lots), "jaccard-links")
-    dropped(where)
+    links = links_of(stored(sets_of(text, gram), "jaccard-grams"), similar, of)
     labels = components(links, "jaccard-links").withColumnRenamed("node", "sig")
 
     own = F.when(F.col("n") > 0, F.col("sig"))
-    full = told.withColumn("node", own).join(labels.withColumnRenamed("sig", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    full = told.select("id", "key", "n", own.alias("node")).join(labels.withColumnRenamed("sig", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    full = stored(full, "jaccard-labelled")
     null = F.col("id") == -(2**63)
     shown = F.when(~null, F.col("id"))
-    least = full.filter("label IS NOT NULL").groupBy("label").agg(F.min(shown).alias("least"), F.min(F.struct(null.alias("null"), "id", "key")).alias("head"))
-    out = full.join(least, "label", "left")
+    least = full.filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("rows"), F.min(shown).alias("least"), F.min(F.struct(null.alias("null"), "id", "key")).alias("head"))
+    least = least.filter("rows > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("rows")
+    out = full.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int")).join(least, ["label", "salt"], "left")
     first = F.col("head").isNull() | ((F.col("head.id") == F.col("id")) & (F.col("head.key") == F.col("key")))
     return out.select(shown.alias("id"), "key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", shown).alias("component_id"), first.alias("first"))
 

@@ -20,7 +20,7 @@ from ._anchors import Hasher, anchor_rows, covered, keyed, with_spans
 from ._shared import WORD, dropped, stored
 
 WINDOW, SEED = 35, 12
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class Words:

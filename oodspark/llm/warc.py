@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 #: Entities that are resolved in titles and text, in this order.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&copy;", "\u00a9"), ("&amp;", "&"))
+#: An attribute's value: in double or single quotes, or bare; and the quotes around it.
+VALUE, QUOTES = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", "^[\"']|[\"']$"
+#: What would break a header or field line.
+LINE_BREAKS = r"[\r\n]+"
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 BREAKS = r"(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr|/article|/section|/ul|/nav)\b[^>]*>"
 TAG = r"<[^>]*>"
@@ -44,7 +48,11 @@ def readable(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
-def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+#: Date of captures that have none.
+DATE = "2024-01-01T00:00:00Z"
+
+
+def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """page_id, record_id, target_uri, headers (name, value) and payload of captured pages.
 
     A null page body is an empty payload; a page without a URL has no WARC-Target-URI header.
@@ -61,13 +69,15 @@ def derivatives(found: DataFrame) -> DataFrame:
 
     Columns: page_id, record_type, record_id, refers_to, target_uri, content_type, source_digest, block_digest,
     content_length (bytes), headers (name, value; those of the record, then those of the source as WARC-Source-*),
-    block.  Repeated responses give repeated records with equal identifiers.  An empty payload gives an empty
+    block.  A derived record has the date of its source, or DATE, so that reruns agree; line breaks in header values, links
+    and languages become spaces.  Repeated responses give repeated records with equal identifiers.  An empty payload gives an empty
     conversion.  Very long payloads are converted whole.
     """
     p = F.col("payload")
     title = F.regexp_replace(resolved(F.regexp_extract(p, r"(?is)<title\b[^>]*>(.*?)</title", 1)), r"\s+", " ")
-    lang = F.regexp_extract(p, r"(?i)<html\b[^>]*?\blang=\"([^\"]*)\"", 1)
-    links = F.regexp_extract_all(p, F.lit(r"(?i)<a\b[^>]*?\bhref=\"([^\"]*)\""), F.lit(1))
+    value = lambda x: F.regexp_replace(F.regexp_replace(x, QUOTES, ""), LINE_BREAKS, " ")
+    lang = value(F.regexp_extract(p, r"(?i)<html\b[^>]*?\blang=" + VALUE, 1))
+    links = F.transform(F.regexp_extract_all(p, F.lit(r"(?i)<a\b[^>]*?\bhref=" + VALUE), F.lit(1)), value)
     base = found.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("headers").alias("source"), digest(p).alias("source_digest"), F.octet_length(p).alias("bytes"), readable(p).alias("text"), F.trim(title).alias("title"), lang.alias("lang"), links.alias("links"))
     lines = [F.concat(F.lit("sourceLength: "), F.col("bytes").cast("string")), F.concat(F.lit("sourceDigest: "), F.col("source_digest")), F.concat(F.lit("textLength: "), F.octet_length("text").cast("string")), F.when(F.col("title") != "", F.concat(F.lit("title: "), F.col("title"))), F.when(F.col("lang") != "", F.concat(F.lit("languages-html: "), F.col("lang")))]
     fields = F.concat_ws(CRLF, *lines, F.transform("links", lambda x: F.concat(F.lit("outlink: "), x)), F.lit(""))
@@ -75,9 +85,11 @@ def derivatives(found: DataFrame) -> DataFrame:
     base = base.withColumn("r", F.explode(F.array(one("metadata", "application/warc-fields", fields), one("conversion", "text/plain", F.col("text"))))).select("page_id", "refers_to", "target_uri", "source", "source_digest", "r.*")
     base = base.withColumn("block_digest", digest(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
     pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
-    own = F.array(pair("WARC-Type", F.col("record_type")), pair("WARC-Record-ID", F.col("record_id")), pair("WARC-Refers-To", F.col("refers_to")), pair("WARC-Refers-To-Target-URI", F.col("target_uri")), pair("WARC-Target-URI", F.col("target_uri")), pair("WARC-Block-Digest", F.col("block_digest")), pair("Content-Type", F.col("content_type")), pair("Content-Length", F.col("content_length").cast("string")))
+    date = F.get(F.filter("source", lambda h: h["name"] == "WARC-Date"), F.lit(0))["value"]
+    own = F.array(pair("WARC-Type", F.col("record_type")), pair("WARC-Record-ID", F.col("record_id")), pair("WARC-Date", F.coalesce(date, F.lit(DATE))), pair("WARC-Refers-To", F.col("refers_to")), pair("WARC-Refers-To-Target-URI", F.col("target_uri")), pair("WARC-Target-URI", F.col("target_uri")), pair("WARC-Block-Digest", F.col("block_digest")), pair("Content-Type", F.col("content_type")), pair("Content-Length", F.col("content_length").cast("string")))
     kept = F.transform("source", lambda h: F.struct(F.concat(F.lit("WARC-Source-"), F.regexp_replace(h["name"], "^WARC-", "")).alias("name"), h["value"].alias("value")))
     headers = F.filter(F.concat(own, F.coalesce(kept, F.array().cast("array<struct<name:string,value:string>>"))), lambda h: h["value"].isNotNull())
+    headers = F.transform(headers, lambda h: F.struct(h["name"].alias("name"), F.regexp_replace(h["value"], LINE_BREAKS, " ").alias("value")))
     return base.withColumn("headers", headers).select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "source_digest", "block_digest", "content_length", "headers", "block")
 
 
@@ -102,6 +114,10 @@ def _oracle() -> str:
         return x
 
     flags = lambda pattern: pattern.replace("(?is)", "(?is)").replace("'", "''")
+    quoted = lambda x: x.replace("'", "''")
+    value = lambda x: f"regexp_replace(regexp_replace({x}, '{quoted(QUOTES)}', '', 'g'), '{LINE_BREAKS}', ' ', 'g')"
+    lang = value(r"regexp_extract(payload, '(?i)<html\b[^>]*?\blang=" + quoted(VALUE) + "', 1)")
+    links = r"list_transform(regexp_extract_all(payload, '(?i)<a\b[^>]*?\bhref=" + quoted(VALUE) + f"', 1), lambda x: {value('x')})"
     text = f"regexp_replace(payload, '{flags(HIDDEN)}', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, '{BREAKS}', chr(10), 'g'), '{TAG}', ' ', 'g')"
     text = f"regexp_replace({entities(text)}, '[ \\t\\r]+', ' ', 'g')"
@@ -109,15 +125,15 @@ def _oracle() -> str:
     title = entities("regexp_extract(payload, '(?is)<title\\b[^>]*>(.*?)</title', 1)")
     return f"""WITH r AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload FROM pages),
 s AS (SELECT *, {ident('response', "coalesce(page_id::VARCHAR, '') || '|' || coalesce(target_uri, '') || '|' || md5(payload)")} AS refers_to, 'sha256:' || sha256(payload) AS source_digest FROM r),
-t AS (SELECT *, {text} AS text, trim(regexp_replace({title}, '\\s+', ' ', 'g')) AS title, regexp_extract(payload, '(?i)<html\\b[^>]*?\\blang="([^"]*)"', 1) AS lang,
-  regexp_extract_all(payload, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1) AS links FROM s),
+t AS (SELECT *, {text} AS text, trim(regexp_replace({title}, '\\s+', ' ', 'g')) AS title, {lang} AS lang,
+  {links} AS links FROM s),
 m AS (SELECT *, concat_ws(chr(13) || chr(10), 'sourceLength: ' || strlen(payload), 'sourceDigest: ' || source_digest, 'textLength: ' || strlen(text), CASE WHEN title <> '' THEN 'title: ' || title END,
   CASE WHEN lang <> '' THEN 'languages-html: ' || lang END, CASE WHEN len(links) > 0 THEN array_to_string(list_transform(links, lambda x: 'outlink: ' || x), chr(13) || chr(10)) END, '') AS fields FROM t),
 u AS (SELECT page_id, 'metadata' AS record_type, 'application/warc-fields' AS content_type, fields AS block, refers_to, target_uri, source_digest FROM m
   UNION ALL SELECT page_id, 'conversion', 'text/plain', text, refers_to, target_uri, source_digest FROM m),
 v AS (SELECT *, CASE record_type WHEN 'metadata' THEN {ident('metadata', 'refers_to')} ELSE {ident('conversion', 'refers_to')} END AS record_id, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length FROM u)
 SELECT page_id, record_type, record_id, refers_to, target_uri, content_type, source_digest, block_digest, content_length, concat_ws(chr(10), 'WARC-Type: ' || record_type, 'WARC-Record-ID: ' || record_id,
-  'WARC-Refers-To: ' || refers_to, 'WARC-Refers-To-Target-URI: ' || target_uri, 'WARC-Target-URI: ' || target_uri, 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type, 'Content-Length: ' || content_length,
+  'WARC-Date: {DATE}', 'WARC-Refers-To: ' || refers_to, 'WARC-Refers-To-Target-URI: ' || target_uri, 'WARC-Target-URI: ' || target_uri, 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type, 'Content-Length: ' || content_length,
   'WARC-Source-Type: response', 'WARC-Source-Record-ID: ' || refers_to, 'WARC-Source-Target-URI: ' || target_uri, 'WARC-Source-Date: 2024-01-01T00:00:00Z', 'WARC-Source-Payload-Digest: ' || source_digest,
   'WARC-Source-Content-Type: text/html; charset=utf-8') AS headers, block FROM v"""
 

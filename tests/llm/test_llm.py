@@ -511,6 +511,15 @@ def test_warc(spark):
     text = next(r["block"] for r in got if r["page_id"] == 0 and r["record_type"] == "conversion")
     fields = next(r["block"] for r in got if r["page_id"] == 0 and r["record_type"] == "metadata")
     assert "no()" not in text and "One" in text and "link" in text and "title: A & B\r\n" in fields and "outlink: /x\r\n" in fields and "languages-html: en" in fields
+    assert all("WARC-Date" in {x["name"] for x in r["headers"]} for r in got)
+    odd = spark.createDataFrame([(9, "http://c/\r\nX: y", "<html lang='fr'><a href='/a\r\nb'>x</a><a href=/c>&mdash;</a>" + "<p>long</p>" * 20000)], "page_id long, url string, html string")
+    for r in warc.serialised(warc.derivatives(warc.responses(odd))).collect():
+        head = r["record"].split("\r\n\r\n")[0].split("\r\n")
+        assert "X: y" not in head and "WARC-Target-URI: http://c/ X: y" in head
+        if r["record_type"] == "metadata":
+            assert "outlink: /a b\r\noutlink: /c\r\n" in r["record"] and "languages-html: fr" in r["record"]
+        else:
+            assert r["record"].count("long") == 20000 and "\u2014" in r["record"]
     assert warc.serialised(warc.derivatives(warc.responses(df))).first()["record"].startswith("WARC/1.1\r\nWARC-Type: ")
     assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
 

@@ -2,8 +2,8 @@
 
 Features are a text's distinct words, neighbouring pairs and pairs with one word between, hashed to a fixed number of
 slots.  FTRL-proximal keeps a learning rate for each slot and, by its L1 term, weights that are mostly zero.  A sample of
-the labelled rows, of bounded size, streams through one learner in an order of hashes, once for each epoch; the result is
-a small sparse vector.
+the labelled rows, of bounded size, streams through one learner in an order of hashes, in a job for each epoch that takes
+up the state of the one before; the result is a small sparse vector.
 """
 
 from __future__ import annotations
@@ -55,8 +55,10 @@ class Features:
 class Learner:
     """FTRL-proximal: z and n of each slot, and of the bias as the last."""
 
-    def __init__(self):
+    def __init__(self, at=(), z=(), n=()):
         self.z, self.n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
+        if len(at):
+            self.z[at], self.n[at] = z, n
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z = self.z[at]
@@ -94,23 +96,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int =
                 found = [features(t) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["_o", "_y", "at"])
 
-    def learnt(batches):
-        learner = Learner()
-        for b in batches:
-            for y, at in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                learner.learn(at.values.to_numpy(), y)
-        w = learner.weights(np.arange(SLOTS + 1))
-        at = np.append(np.flatnonzero(w[:-1]), SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
-
     # about so many rows as asked for at most, so their keys may be sent to all
     sliced = own.join(F.broadcast(chosen), "_o").select("_o", "_y", "text").mapInArrow(slots, "_o long, _y int, at array<int>").dropDuplicates(["_o"])
-    order = sliced.withColumn("_e", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).repartition(1).sortWithinPartitions("_e", "_o")
-    got = order.select("_y", "at").mapInArrow(learnt, "at long, w double").collect()  # SLOTS + 1 rows at most
-    w = {r["at"]: r["w"] for r in got}
-    bias = w.pop(SLOTS, 0.0)
-    at = sorted(w)
-    return {"at": np.array(at, dtype=np.int64), "w": np.array([w[i] for i in at], dtype=np.float32), "bias": bias}
+    ordered = stored(sliced, "toxicity-slots").coalesce(1).sortWithinPartitions("_o").select("_y", "at")
+
+    def epoch(state):
+        def learnt(batches):
+            learner = Learner(*state.value)
+            for b in batches:
+                for y, at in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    learner.learn(at.values.to_numpy(), y)
+            at = np.flatnonzero(learner.n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(learner.z[at]), pa.array(learner.n[at])], names=["at", "z", "n"])
+
+        return learnt
+
+    state: tuple = ((), (), ())
+    for _ in range(epochs):
+        sent = docs.sparkSession.sparkContext.broadcast(state)  # three columns of SLOTS + 1 rows at most
+        got = ordered.mapInArrow(epoch(sent), "at long, z double, n double").toArrow()
+        state = tuple(got[c].to_numpy() for c in ("at", "z", "n"))
+    w = Learner(*state).weights(np.arange(SLOTS + 1))
+    at = np.flatnonzero(w[:-1])
+    return {"at": at, "w": w[at].astype(np.float32), "bias": float(w[-1])}
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:

@@ -82,20 +82,16 @@ def test_quality_counts(docs, empty):
     assert quality.keep_good(docs).columns == docs.columns
 
 
-def test_quality_fit(spark):
-    """Expectation-maximisation over vote patterns against a plain version, and common junk is found out."""
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
-    good = [(i, ". ".join(" ".join(word() for _ in range(9)) for _ in range(12)) + ".") for i in range(80)]
-    junk = [(100 + i, " ".join(word() + "###" for _ in range(90)) + ".") for i in range(20)]
-    df = spark.createDataFrame(good + junk, "doc_id long, text string")
-    rows = quality.voted(quality.signals(df, "doc_id")).filter("NOT base_failed").persist()
-    counts = collections.Counter(tuple(r["votes"]) for r in rows.collect())
+def plain_posterior(votes, p):
+    return 1 / (1 + np.exp(-sum(np.log(g / (1 - b)) if x == 1 else np.log((1 - g) / b) if x == -1 else 0 for x, (g, b) in zip(votes, p, strict=True))))
+
+
+def plain_fit(counts, bounds):
     n = len(quality.RULES)
     p = [(quality.START_GOOD, quality.START_BAD)] * n + [(quality.START_PRIOR,) * 2]
-    clamp = lambda x, kind: min(quality.BOUNDS[kind][1], max(quality.BOUNDS[kind][0], x))
+    clamp = lambda x, kind: min(bounds[kind][1], max(bounds[kind][0], x))
     for _ in range(quality.ITERATIONS):
-        q = {v: 1 / (1 + np.exp(-sum(np.log(g / (1 - b)) if x == 1 else np.log((1 - g) / b) if x == -1 else 0 for x, (g, b) in zip(v, p, strict=True)))) for v in counts}
+        q = {v: plain_posterior(v, p) for v in counts}
         new = []
         for r in range(n):
             g = (sum(c * q[v] for v, c in counts.items() if v[r] == 1) + quality.PSEUDO * quality.START_GOOD) / (sum(c * q[v] for v, c in counts.items() if v[r]) + quality.PSEUDO)
@@ -103,6 +99,19 @@ def test_quality_fit(spark):
             new.append((clamp(g, "good"), clamp(b, "bad")))
         prior = clamp((sum(c * q[v] for v, c in counts.items()) + quality.PSEUDO * quality.START_PRIOR) / (sum(counts.values()) + quality.PSEUDO), "prior")
         p = [*new, (prior, prior)]
+    return p
+
+
+def test_quality_fit(spark):
+    """Expectation-maximisation over vote patterns against a plain version, and common junk is found out."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    good = [(i, ". ".join(" ".join(word() for _ in range(9)) for _ in range(12)) + ".") for i in range(80)]
+    junk = [(100 + i, " ".join(word() + "###" for _ in range(90)) + ".") for i in range(20)]
+    df = spark.createDataFrame(good + junk, "doc_id long, text string")
+    rows = quality.voted(quality.signals(df, "doc_id")).filter("NOT base_failed").persist()
+    counts = collections.Counter(tuple(r["votes"]) for r in rows.collect())
+    p = plain_fit(counts, quality.BOUNDS)
     got = quality.fitted(rows).first()["accuracy"]
     assert np.allclose([tuple(x) for x in got], p)
     kept = {r["doc_id"] for r in quality.judged(quality.signals(df, "doc_id")).filter("kept").collect()}
@@ -128,15 +137,8 @@ def test_pipeline_keeps_clean_kinds(spark, kind):
 # mixing
 
 
-def test_mixing(docs, empty):
-    sized = mixing.sizes(docs).persist()
-    got = mixing.mixed(sized).collect()
-    texts = {i: (t, s) for i, t, _, s in ROWS}
-    size = collections.Counter()
-    for r in got:
-        assert r["size"] == len(WORD.findall(texts[r["doc_id"]][0] or ""))
-        assert 0 <= r["taken"] <= 3 * r["size"]
-        size[r["source"]] += r["size"]
+def plain_targets(size):
+    """Names of the sources in order, their targets, and the targets of those that stop at three times their size."""
     names = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
     fixed: dict = {}
@@ -145,8 +147,20 @@ def test_mixing(docs, empty):
         target = {s: fixed.get(s, rest * weight[s] / w if w else 0) for s in names}
         over = [s for s in names if s not in fixed and target[s] > 3 * size[s]]
         if not over:
-            break
+            return names, target, fixed
         fixed |= {s: 3 * size[s] for s in over}
+
+
+def test_mixing(docs, empty):
+    sized = mixing.sizes(docs).persist()
+    got = mixing.mixed(sized).collect()
+    texts = {i: (t, s) for i, t, _, s in ROWS}
+    size = collections.Counter()
+    for r in got:
+        assert r["size"] == len(WORD.findall(texts[r["doc_id"]][0] or ""))
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        size[r["source"]] += r["size"]
+    names, target, fixed = plain_targets(size)
     taken = collections.Counter()
     for r in got:
         taken[r["source"]] += r["taken"]
@@ -536,22 +550,95 @@ def test_oracles(spark):
         test_oracles.same(spark, registry.QUERIES[name], sql)
 
 
+def plain_pipeline(rows):
+    """Stage -> its rows (doc_id, text, lang, source), of rows of the same columns, by plain Python."""
+    first = lambda i: (i is not None, i or 0)
+    known = []
+    for row in rows:
+        t = row[1] or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        windows = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = {i + k for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for k in range(8)}
+        names = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(t.count(c) for c in "#*$%&|<>"), "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines))}
+        names |= {"n_repeat_words": len(hit), "n_capitals": sum("A" <= c <= "Z" for c in t), "n_stops": sum(c in quality.ALL_STOPS for c in t)}
+        holds = lambda rule: eval(rule.replace(" = ", " == ").replace(" AND ", " and ").replace(" OR ", " or "), {}, names)  # noqa: B023, E731
+        known.append((row, holds(quality.BASE_FAILED), (*(-1 if holds(bad) else 1 if holds(good) else 0 for good, bad in quality.RULES.values()), 1)))
+    p = plain_fit(collections.Counter(v for _, failed, v in known if not failed), quality.LEARNING)
+    out = {"quality": [row for row, failed, v in known if not failed and plain_posterior(v, p) >= quality.KEEP_AT]}
+
+    named = {row[0]: row for row in out["quality"]}
+    heads = near_duplicates([(i, row[1]) for i, row in named.items() if i is not None], 5, 80)
+    out["near_duplicates"] = [row for i, row in named.items() if i is None or heads[i][1] == i]
+
+    seen, out["repeated_bytes"] = set(), []
+    for i, t, *more in sorted(out["near_duplicates"], key=lambda row: first(row[0])):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - 99):
+            if b[j : j + 100] in seen:
+                gone[j : j + 100] = b"\1" * 100
+            seen.add(b[j : j + 100])
+        out["repeated_bytes"].append((i, bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore"), *more))
+
+    size = collections.Counter()
+    for row in out["repeated_bytes"]:
+        size[row[3]] += len(WORD.findall(row[1]))
+    _, target, _ = plain_targets(size)
+    left, out["mixture"] = {s: int(target[s] + 0.5) for s in size}, []
+    rest = {s: left[s] % size[s] if size[s] else 0 for s in size}
+    key = lambda row: hashlib.md5(f"{mixing.SEED}|{'' if row[0] is None else row[0]}".encode()).hexdigest()
+    for i, t, lang, s in sorted(out["repeated_bytes"], key=key):
+        w = WORD.findall(t)
+        out["mixture"] += [(i, t, lang, s)] * (left[s] // size[s] if w else 1)
+        take = min(len(w), rest[s])
+        rest[s] -= take
+        if take:
+            out["mixture"].append((i, t if take == len(w) else " ".join(w[:take]), lang, s))
+    return out
+
+
+def tokenized(rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    return collections.Counter((i, tuple(library.encode(t, add_special_tokens=False).ids)) for i, t, *_ in rows)
+
+
 def test_pipeline(spark):
+    """Every stage, each on what the one before kept, against plain Python: ids, texts, n_chars and other columns."""
     import corpus_pipeline
     from oodspark.llm._shared import stored
 
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_bytes", "mixture", "tokens"]
-    kept = {}
+    columns = ["doc_id", "text", "lang", "source"]
+    want = plain_pipeline([tuple(r) for r in docs.select(*columns).collect()])
+    assert [n for n, _ in corpus_pipeline.STAGES] == [*want, "tokens"]
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stored(stage(spark, docs, folder), name)
-        kept[name] = docs
         if name != "tokens":
             assert docs.columns == before.columns
-    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
-    want = near_duplicates([(r["doc_id"], r["text"]) for r in kept["quality"].collect()], 5, 80)
-    assert ids(kept["near_duplicates"]) == sorted(i for i, (_, c) in want.items() if i == c)
-    assert ids(kept["repeated_bytes"]) == ids(kept["near_duplicates"])
-    assert set(ids(kept["mixture"])) <= set(ids(kept["repeated_bytes"])) and len(ids(kept["tokens"])) == len(ids(kept["mixture"]))
-    assert all(len(r["ids"]) == r["n_tokens"] for r in kept["tokens"].collect())
+            got = docs.collect()
+            assert collections.Counter(tuple(r[c] for c in columns) for r in got) == collections.Counter(want[name])
+            assert name == "quality" or all(r["n_chars"] == len(r["text"]) for r in got)
+    got = docs.collect()
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in got) == tokenized(want["mixture"])
+    assert all(len(r["ids"]) == r["n_tokens"] for r in got)
+
+
+@pytest.mark.parametrize("kind", ["odd", "blank", "empty"])
+def test_pipeline_of_odd_tables(spark, tmp_path, kind):
+    """Nulls in any column, empty and long texts, repeated rows and clashing names; texts that all fail; no rows."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    lone = ". ".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(9)) for _ in range(8)) + "."
+    rows = {"odd": [*ROWS, (None, lone, None, None), (900, lone[::-1], None, "s1"), (901, None, None, None)], "blank": [(1, None, None, None), (None, "", "en", "s1"), (2, " \n", "en", None)], "empty": []}[kind]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = plain_pipeline(rows)
+    got = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == tokenized(want["mixture"])
+    assert bool(got) == (kind == "odd")

@@ -26,6 +26,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2, F.lit(False))
 
 
+#: Hashes are drawn from so many values: far more than there are rows, so that a bounded share of any table is still told apart.
+DRAWN_FROM = 1 << 48
+
+
+def drawn_below(rows: int, count: int) -> int:
+    """The number of the DRAWN_FROM values that take about rows of count rows; all of them, if there are no more rows than that."""
+    return DRAWN_FROM if count <= rows else rows * DRAWN_FROM // count
+
+
+def drawn(key: Column, rows: int, count: int) -> Column:
+    """Whether a row with this hash is among about rows of count."""
+    return F.pmod(key, F.lit(DRAWN_FROM)) < drawn_below(rows, count)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of stored() that nothing reads any more."""
     for df in tables:

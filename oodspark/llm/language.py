@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held_out, stored
+from ._shared import drawn, held_out, stored
 
 #: The fit reads about so many labelled documents at most, chosen by hash of the id; all their words and n-grams are kept.
 FIT_ROWS = 5_000
@@ -36,10 +36,12 @@ def words_of(text: str | None) -> list[str]:
 
 
 def sample(docs: DataFrame, rows: int) -> DataFrame:
-    """lang and text of about so many of the rows that are not held out and have a language; all of them, if there are fewer."""
+    """lang and text of about so many of the rows that are not held out and have a language; all of them, if there are fewer.
+
+    Rows are drawn by a hash of id and text, so those equal in both go together.
+    """
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = min(1.0, rows / max(known.select("doc_id").count(), 1))
-    return known.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
+    return known.filter(drawn(F.xxhash64("doc_id", "text", F.lit("language")), rows, known.select("doc_id").count())).select("lang", "text")
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> dict:

@@ -24,7 +24,10 @@ KEY_BITS = 60
 
 
 def sizes(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, source, size (words of the whole text, null text: 0), key (of the id and text) and the columns in keep."""
+    """doc_id, source, size (words of the whole text, null text: 0), key (of the id) and the columns in keep.
+
+    Whole texts of any length count.  Columns of docs named size or key are not read.
+    """
     text = F.coalesce("text", F.lit(""))
     trimmed = F.regexp_replace(text, f"^{GAP}", "")
     size = F.when(trimmed == "", 0).otherwise(F.size(F.split(F.regexp_replace(trimmed, f"{GAP}$", ""), GAP, -1)))
@@ -57,7 +60,8 @@ def targets(sized: DataFrame, share: float = 1.0, weights: tuple = WEIGHTS, most
 def mixed(sized: DataFrame, **how) -> DataFrame:
     """sized (of sizes()) with source_size, target, taken (words taken, repeats counted) and epochs (whole ones).
 
-    Rows that repeat an id lie next to each other, the shorter first; rows equal in id and size are interchangeable.
+    Rows that repeat an id, null ids among them, lie next to each other in one key range, the shorter first; rows equal in
+    id and size are interchangeable.
     Reruns, other partitionings and other range sizes give the same mix.  An empty table gives an empty mix.
     """
     ranges = max(1, -(-sized.count() // RANGE_ROWS))

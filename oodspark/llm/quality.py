@@ -44,7 +44,9 @@ WINDOW = 8
 
 
 def signals(docs: DataFrame, *keep: str, stops: str = STOPS) -> DataFrame:
-    """Counts per document over its whole text (null text counts as empty), beside the columns named in keep.
+    """Counts per document over its whole text of any length (null text counts as empty), beside the columns named in keep.
+
+    Other columns of docs are not read, whatever their names; a column in keep must not bear the name of a count.
 
     Windows of eight words are compared by 64-bit hash inside the row, so no window leaves its task; the positions are
     only worked out in texts where some window does repeat.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held_out, stored
+from ._shared import drawn, held_out, stored
 
 SLOTS = 1 << 20
 #: The fit reads about so many different labelled documents at most, chosen by hash of id and text.
@@ -85,8 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int =
     told = told.groupBy("doc_id").agg(F.max("_y").alias("_y"))
     own = docs.select(F.col("doc_id"), "text", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit("toxicity")).alias("_o"))
     found = stored(own.select("doc_id", "_o").join(told, "doc_id").distinct(), "toxicity-rows")
-    share = min(1.0, rows / max(found.count(), 1))
-    chosen = found.filter(F.pmod("_o", F.lit(1_000_000)) < int(share * 1_000_000)).select("_o", "_y")
+    chosen = found.filter(drawn(F.col("_o"), rows, found.count())).select("_o", "_y")
 
     def slots(batches):
         features = Features()

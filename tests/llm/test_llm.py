@@ -10,7 +10,7 @@ from array import array
 import numpy as np
 import pytest
 
-from oodspark.llm import bpe, components, jaccard, language, mixing, neighbours, quality, substrings, suffixes, toxicity, warc
+from oodspark.llm import _shared, bpe, components, jaccard, language, mixing, neighbours, quality, substrings, suffixes, toxicity, warc
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -415,6 +415,15 @@ def test_backoff():
     assert s.predict("q")[0] == "a" and s.predict("q")[1] == 0.5  # a tie goes to the first by name
 
 
+def test_bounded_samples(spark):
+    """About so many rows are drawn of tables of any size: all of small ones, and not none of vast ones."""
+    assert _shared.drawn_below(5000, 0) == _shared.drawn_below(5000, 5000) == _shared.DRAWN_FROM
+    for count in (10**4, 10**7, 10**10, 10**13):
+        assert _shared.drawn_below(5000, count) / _shared.DRAWN_FROM == pytest.approx(5000 / count, rel=0.01)
+    keys = spark.range(200_000).select(F.xxhash64("id").alias("k"))
+    assert keys.filter(_shared.drawn(F.col("k"), 5000, 200_000)).count() == pytest.approx(5000, rel=0.1)
+
+
 def test_language_plain(spark):
     """The whole fit and every score against a plain version."""
     rng = random.Random(11)

@@ -1,9 +1,11 @@
 """Substring dedup by seed and extend.
 
-Documents are joined on the seeds of winnowed anchors.  From each shared seed a match is extended both ways: first the
-whole context of the anchor is compared, and where contexts with one seed differ, each window in them, that is each way
-to extend the seed by r words to the left and the rest to the right, up to the length threshold.  Windows that overlap
-join to maximal repeats, which are removed wherever they stand.
+Documents are joined on the seeds of winnowed anchors.  The contexts of a seed that differ are joined with one of them,
+the pivot, and each match with it is extended both ways, word by word, to its full length.  The windows of the matched
+part are repeats.  What is left of a context lies beyond the end of its match: it goes on with the contexts that left the
+pivot at the same place with the same word, that is with a seed longer by the match and that word, and a pivot of its own.
+So pairs are formed with pivots only, and none is missed.  Windows that overlap join to maximal repeats, which are removed
+wherever they stand.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._anchors import Hasher, anchor_rows, covered, keyed, with_spans
+from ._anchors import anchor_rows, covered, keyed, with_spans
 from ._shared import WORD, dropped, stored
 
 WINDOW, SEED = 35, 12
 REMEMBERED = 250_000
+#: The contexts of one seed are dealt to so many keys when they meet their pivot.
+SALTS = 16
+PIECE = "g long, ctx long, again boolean, id long, key long, at int, low int, high int, before string, after string"
 
 
 class Words:
@@ -41,12 +46,64 @@ class Words:
         return np.array([get(w) or hashed(w) for w in raw.split()], dtype=np.uint64)
 
 
+def surroundings(docs: DataFrame, ctx: DataFrame, window: int) -> DataFrame:
+    """ctx (id, key, first, last, at, seed, ctx, again) as pieces of extended(): with the words before the anchor, the nearest
+    first, and from it on; low and high are the least and most words before the anchor that a window has."""
+    per = ctx.groupBy("id", "key").agg(F.collect_list(F.struct("seed", "ctx", "again", "first", "last", "at")).alias("ctxs"))
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for i, key, text, ctxs in zip(b["id"], b["key"], b["text"], b["ctxs"], strict=True):
+                words = text.encode("utf-8", "replace").split()
+                for c in ctxs:
+                    at, first, last = c["at"], c["first"], c["last"]
+                    before, after = b" ".join(words[first:at][::-1]), b" ".join(words[at : last + window])
+                    out.append((c["seed"], c["ctx"], c["again"], i, key, at, at - last, at - first, before.decode("utf-8"), after.decode("utf-8")))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in PIECE.split(", ")])
+
+    return docs.join(per, ["id", "key"]).select("id", "key", "text", "ctxs").mapInPandas(cut, PIECE)
+
+
+def common(a: Column, b: Column) -> Column:
+    """Number of words that two arrays have in common from the start."""
+    parted = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(parted > 0, parted - 1).otherwise(F.size(a)).cast("int")
+
+
+def extended(pieces: DataFrame, turn: int) -> DataFrame:
+    """Each piece of a group that is not its pivot, with the place of the pivot, and how many words before and from the
+    anchor on the two have in common (l and s)."""
+    pieces = pieces.withColumn("salt", F.pmod("ctx", F.lit(SALTS)))
+    cells = pieces.groupBy("g", "salt").agg(F.min("ctx").alias("pivot"), F.max("ctx").alias("most"))
+    pivots = cells.groupBy("g").agg(F.min("pivot").alias("ctx"), F.max("most").alias("most")).filter("ctx < most").drop("most")
+    place = [F.col(c).alias(f"pivot_{c}") for c in ("id", "key", "at", "before", "after")]
+    pivots = pieces.join(pivots, ["g", "ctx"]).select("g", F.col("ctx").alias("pivot"), *place)
+    # a row for each cell, not each salt, so that small groups send their pivot no further than needed
+    pivots = cells.select("g", "salt").join(pivots, "g")
+    met = pieces.join(pivots, ["g", "salt"]).filter("ctx <> pivot")
+    words = lambda c: F.array_remove(F.split(c, " "), "")
+    met = met.withColumn("l", common(words("before"), words("pivot_before"))).withColumn("s", common(words("after"), words("pivot_after")))
+    return stored(met.drop("salt", "pivot", "pivot_before", "pivot_after"), f"substr-met-{turn}")
+
+
+def parted(met: DataFrame, window: int) -> DataFrame:
+    """Pieces for the next turn: the windows that reach beyond the match on the left, and of the others those beyond it on the right.
+
+    Two pieces with an equal window in such a part left the pivot at one place with one word, so they are in one group again.
+    """
+    word = lambda c, n: F.get(F.split(c, " "), F.col(n))
+    left = F.struct(F.xxhash64("g", F.lit("left"), "l", word("before", "l")).alias("g"), F.greatest("low", F.col("l") + 1).alias("low"), "high")
+    right = F.struct(F.xxhash64("g", F.lit("right"), "s", word("after", "s")).alias("g"), "low", F.least("high", "l", F.lit(window - 1) - F.col("s")).alias("high"))
+    part = met.select("ctx", "again", "id", "key", "at", "before", "after", F.explode(F.array(left, right)).alias("part"))
+    return part.select("part.*", "ctx", "again", "id", "key", "at", "before", "after").filter("low <= high")
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, k: int = SEED) -> DataFrame:
     """id, key, first and last: runs of windows of docs (of keyed()) whose words also start elsewhere, as numbers of first words.
 
     A run is found once or more often.  What stands in both of two rows that are equal in id and text is repeated, too.
     """
-    spark = docs.sparkSession
     rows = stored(anchor_rows(docs, Words, window, k, keep_first=False), "substr-anchors")
     span = ["id", "key", "first", "last"]
     live = rows.filter("NOT gone")
@@ -54,34 +111,28 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = SEED) -> DataFrame:
     seeds = stored(seeds, "substr-seeds")
     shared = stored(live.join(seeds, "seed"), "substr-shared")
     dropped(seeds)
-    ctx = shared.filter("differ").groupBy("seed", "ctx").agg(F.sum("n").alias("all"), F.min(F.struct(*span)).alias("one"))
+    ctx = shared.filter("differ").groupBy("seed", "ctx").agg(F.sum("n").alias("all"), F.min(F.struct(*span, "at")).alias("one"))
     ctx = stored(ctx.select("seed", "ctx", (F.col("all") > 1).alias("again"), "one.*"), "substr-contexts")
     same = shared.filter("differ").join(ctx.filter("again").select("seed", "ctx"), ["seed", "ctx"], "left_semi").select(*span)
     whole = stored(rows.filter("gone OR n > 1").select(*span).unionByName(shared.filter("NOT differ").select(*span)).unionByName(same), "substr-whole")
     dropped(rows, shared)
 
-    # contexts that differ: the windows of one of each kind, with the text it stands in
-    per = ctx.groupBy("id", "key").agg(F.collect_list(F.struct("seed", "ctx", "again", "first", "last")).alias("ctxs"))
-
-    def extended(batches):
-        words = Words()
-        for b in batches:
-            parts = []
-            for i, key, text, ctxs in zip(b["id"], b["key"], b["text"], b["ctxs"], strict=True):
-                h = Hasher(words(text))
-                first, last = (np.array([c[x] for c in ctxs], dtype=np.int64) for x in ("first", "last"))
-                each = last - first + 1
-                start = np.repeat(first - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
-                parts.append([np.full(len(start), i), np.full(len(start), key), start, h.slices(start, start + window).view(np.int64), *(np.repeat(np.array([c[x] for c in ctxs]), each) for x in ("seed", "ctx", "again"))])
-            if parts:
-                yield pd.DataFrame(dict(zip(["id", "key", "first", "win", "seed", "ctx", "again"], [np.concatenate(x) for x in zip(*parts, strict=True)], strict=True)))
-
-    wins = docs.join(per, ["id", "key"]).select("id", "key", "text", "ctxs").mapInPandas(extended, "id long, key long, first long, win long, seed long, ctx long, again boolean")
-    wins = stored(wins, "substr-windows")
+    # contexts that differ: one of each kind, with the words it stands in
+    table = pieces = stored(surroundings(docs, ctx, window), "substr-pieces")
     dropped(ctx)
-    met = wins.groupBy("seed", "win").agg((F.min("ctx") != F.max("ctx")).alias("differ"), F.max("again").alias("again")).filter("differ OR again").select("seed", "win")
-    parted = wins.filter("NOT again").join(met, ["seed", "win"], "left_semi").select("id", "key", "first", F.col("first").alias("last"))
-    return whole.unionByName(parted)
+    found = []
+    while not pieces.isEmpty():  # a piece's seed grows by a word at least in each turn, so there are no more than window - k
+        met = extended(pieces, len(found))
+        both = met.select("*", F.greatest("low", F.lit(window) - F.col("s")).alias("least"), F.least("high", "l").alias("most")).filter("least <= most")
+        runs = lambda at: [(F.col(at) - F.col("most")).alias("first"), (F.col(at) - F.col("least")).alias("last")]
+        pivot = both.select(F.col("pivot_id").alias("id"), F.col("pivot_key").alias("key"), *runs("pivot_at")).distinct()
+        found.append(stored(both.filter("NOT again").select("id", "key", *runs("at")).unionByName(pivot), f"substr-found-{len(found)}"))
+        dropped(table)
+        table, pieces = met, parted(met, window)
+    dropped(table)
+    for runs in found:
+        whole = whole.unionByName(runs)
+    return whole
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

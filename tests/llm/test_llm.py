@@ -10,7 +10,7 @@ from array import array
 import numpy as np
 import pytest
 
-from oodspark.llm import _shared, bpe, components, jaccard, language, mixing, neighbours, quality, substrings, suffixes, toxicity, warc
+from oodspark.llm import _anchors, _shared, bpe, components, jaccard, language, mixing, neighbours, quality, substrings, suffixes, toxicity, warc
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -248,6 +248,27 @@ def test_substring_dedup(docs, empty):
     assert substrings.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_dedup_of_seeds_with_many_surroundings(spark, seed):
+    """Matches that leave each other at every place, on both sides, and repeat within a text."""
+    rng = random.Random(seed)
+    base = [str(rng.randrange(4)) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base) if i % 3 else [rng.choice("01") for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 4)):
+            if w:
+                w[rng.randrange(len(w))] = rng.choice("01x")
+        rows.append((i, " ".join(w[rng.randint(0, 8) : len(w) - rng.randint(0, 8)] * rng.randint(1, 2))))
+    starts = collections.Counter(tuple(w[i : i + 12]) for _, t in rows for w in [t.split()] for i in range(len(w) - 11))
+    docs = _anchors.keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = collections.defaultdict(set)
+    for r in substrings.repeats(docs, window=12, k=4).collect():
+        found[r["id"]] |= set(range(r["first"], r["last"] + 1))
+    want = {i: {j for j in range(len(w) - 11) if starts[tuple(w[j : j + 12])] > 1} for i, t in rows for w in [t.split()]}
+    assert {i: x for i, x in want.items() if x} == dict(found)
+
+
 # near duplicates
 
 

@@ -124,9 +124,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = SEED) -> DataFrame:
     while not pieces.isEmpty():  # a piece's seed grows by a word at least in each turn, so there are no more than window - k
         met = extended(pieces, len(found))
         both = met.select("*", F.greatest("low", F.lit(window) - F.col("s")).alias("least"), F.least("high", "l").alias("most")).filter("least <= most")
-        runs = lambda at: [(F.col(at) - F.col("most")).alias("first"), (F.col(at) - F.col("least")).alias("last")]
-        pivot = both.select(F.col("pivot_id").alias("id"), F.col("pivot_key").alias("key"), *runs("pivot_at")).distinct()
-        found.append(stored(both.filter("NOT again").select("id", "key", *runs("at")).unionByName(pivot), f"substr-found-{len(found)}"))
+        reach = lambda at: [(F.col(at) - F.col("most")).alias("first"), (F.col(at) - F.col("least")).alias("last")]
+        pivot = both.select(F.col("pivot_id").alias("id"), F.col("pivot_key").alias("key"), *reach("pivot_at")).distinct()
+        found.append(stored(both.filter("NOT again").select("id", "key", *reach("at")).unionByName(pivot), f"substr-found-{len(found)}"))
         dropped(table)
         table, pieces = met, parted(met, window)
     dropped(table)

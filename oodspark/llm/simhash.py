@@ -78,6 +78,8 @@ def routed(points: DataFrame, radius: int = RADIUS, most: int = TREE, hot: list[
     By default the points themselves decide what is parted.  With the levels of other points, these are sent the same way.
     A shard that leaves b bits free has 2 ** b points at most, so levels end after a few.
     """
+    if most < 1 << radius:
+        raise ValueError("too few points in a tree for this radius")
     spark = points.sparkSession
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     shard = lambda rows, mask: rows.select("fp", mask.alias("mask"), F.col("fp").bitwiseAND(mask).alias("value"))
@@ -92,16 +94,18 @@ def routed(points: DataFrame, radius: int = RADIUS, most: int = TREE, hot: list[
         if hot is not None and level == len(hot) or large.isEmpty():
             return (rows if out is None else out.union(rows)), found
         found.append(large)
-        steps = [(signed(m), signed(child)) for m in masks for child in parted(m, radius)]  # (radius + 1) ** level rows
-        masks = sorted({child for m in masks for child in parted(m, radius)})
+        steps = [(m, signed(child)) for m in masks for child in parted(m % (1 << 64), radius)]  # (radius + 1) ** level rows
+        masks = sorted({child for _, child in steps})
+        twice = len(masks) < len(steps)
         steps = F.broadcast(spark.createDataFrame(steps, "mask long, child long"))
         if level:
             copies = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("large", F.lit(True))
             rows = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(copies, ["mask", "value", "salt"], "left").drop("salt")
-            rows = stored(rows, f"simhash-level-{level}")
+            rows = stored(rows.select("fp", "mask", "value", "large"), f"simhash-level-{level}")
             rest = rows.filter("large IS NULL").drop("large")
             out, rows = rest if out is None else out.union(rest), rows.filter("large")
         rows = shard(rows.join(steps, "mask"), F.col("child"))
+        rows = rows.distinct() if twice else rows  # two ways to one shard
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:

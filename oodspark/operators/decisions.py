@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import cumulative, input_checks, score_counts
+from .quantiles import quantiles
 
 #: Decisions, verdicts and the warning of a score without a threshold.
 REJECT, ACCEPT, SCORE_ONLY = "reject_ood_or_invalid", "accept_valid_faf", "score_only_no_threshold"
@@ -21,15 +22,11 @@ class ThresholdError(ValueError):
     """A threshold that can't be computed."""
 
 
-def quantile_threshold(id_scores: DataFrame, quantile: float = 0.95, keys: Sequence[str] = (), score: str = "score", approximate: bool = False) -> DataFrame:
-    """keys and threshold: the linearly interpolated quantile of the scores of label-0 rows.
-
-    Exact by default; approximate=True bounds memory where distinct scores run into the hundreds of millions.
-    """
+def quantile_threshold(id_scores: DataFrame, quantile: float = 0.95, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
+    """keys and threshold: the linearly interpolated quantile of the scores, exact at any number of them."""
     if not 0 < quantile < 1:
         raise ThresholdError("quantile must lie between 0 and 1")
-    q = F.percentile_approx(score, quantile, 100_000) if approximate else F.percentile(score, quantile)
-    return id_scores.groupBy(*keys).agg(q.cast("double").alias("threshold"))
+    return quantiles(id_scores, {"threshold": quantile}, keys, score)
 
 
 def require_calibratable(id_scores: DataFrame, score: str = "score") -> None:
@@ -83,13 +80,12 @@ def decided(scored: DataFrame, threshold: Column) -> DataFrame:
     return scored.withColumns({"threshold": t, "prediction": prediction(s, t), "decision": decision, "verdict": verdict, "warning": F.when(t.isNull(), WARNING)})
 
 
-def operating_points(scored: DataFrame, calibration: DataFrame, quantiles: Sequence[float] = (0.95, 0.99), target: float = 0.95) -> DataFrame:
+def operating_points(scored: DataFrame, calibration: DataFrame, shares: Sequence[float] = (0.95, 0.99), target: float = 0.95) -> DataFrame:
     """policy, threshold, id_false_reject_rate and ood_detection_rate for each quantile policy and for FPR at the target recall."""
     running = cumulative(score_counts(scored))
     reach = running.filter(F.try_divide("tp", "n_pos") >= target).agg(F.max("score").alias("threshold")).select(F.lit(f"fpr_at_{round(target * 100)}_tpr").alias("policy"), "threshold")
-    policies = reach
-    for q in quantiles:
-        policies = policies.union(quantile_threshold(calibration.filter("label = 0"), q).select(F.lit(f"val_id_{round(q * 100)}"), "threshold"))
+    wanted = {f"val_id_{round(q * 100)}": q for q in shares}
+    policies = reach.union(quantiles(calibration.filter("label = 0"), wanted).unpivot([], list(wanted), "policy", "threshold"))
     up = F.col("score") >= F.col("threshold")
     rate = lambda y: F.try_divide(F.count_if((F.col("label") == y) & up), F.count_if(F.col("label") == y))
     # a row for each policy

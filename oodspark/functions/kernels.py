@@ -25,6 +25,12 @@ def resize(grid: np.ndarray, height: int, width: int, antialias: bool = False) -
     return axis_weights(grid.shape[-2], height, antialias) @ grid @ axis_weights(grid.shape[-1], width, antialias).T
 
 
+def distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each point to each other one."""
+    squared = (points * points).sum(axis=1)[:, None] + (others * others).sum(axis=1)[None, :] - 2 * points @ others.T
+    return np.sqrt(np.maximum(squared, 0))
+
+
 def smallest_distances(points: np.ndarray, bank: np.ndarray, k: int, tile: int = 4096) -> np.ndarray:
     """The k smallest Euclidean distances of each point to the bank, ascending; the bank is taken in tiles."""
     best = np.full((len(points), 0), np.inf)

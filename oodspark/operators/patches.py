@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import balls
 
 LAYERS = ("layer1", "layer2", "layer3", "layer4")
-#: A bank of up to so many bytes is sent to the executors; a larger one stays a table and is met in blocks of so many rows.
-BROADCAST_BYTES, BLOCK_ROWS = 256 << 20, 16_384
+#: A bank of up to so many bytes is sent to the executors; a larger one stays a table.
+BROADCAST_BYTES = 256 << 20
 
 
 class BankError(ValueError):
@@ -120,8 +121,8 @@ def bank_summary(patches: DataFrame, bank: DataFrame, ratio: float, most: int |
 def knn_scores(patches: DataFrame, bank: DataFrame, k: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """patches with patch_score, the mean of the k smallest Euclidean distances to the bank, in double precision.
 
-    A bank of proven small size is sent to the executors once.  A larger one is met in blocks: each block gives its k
-    smallest distances for every patch, and those are merged by patch (columns other than embedding tell patches apart).
+    A bank of proven small size is sent to the executors once.  A larger one is parted into balls and shells, and each patch
+    meets those that the triangle inequality doesn't rule out.
     """
     shape = bank.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("most"), F.min(F.size("embedding")).alias("least")).first()
     if not shape["n"] or shape["most"] != shape["least"]:
@@ -140,20 +141,8 @@ def knn_scores(patches: DataFrame, bank: DataFrame, k: int = 1, broadcast_bytes:
                     yield b[others].assign(patch_score=kernels.smallest_distances(stack(b["embedding"]), sent.value, k).mean(axis=1))
 
         return patches.mapInPandas(near, f"{fields}, patch_score double")
-    blocks = -(-shape["n"] // BLOCK_ROWS)
-    parts = bank.select(F.pmod(F.xxhash64("embedding"), F.lit(blocks)).alias("block"), F.col("embedding").alias("vector"))
-    lots = max(1, -(-patches.count() // BLOCK_ROWS))
-    asked = patches.withColumn("_lot", F.pmod(F.xxhash64(*others), F.lit(lots))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    parts = parts.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
-
-    def partial(p: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(b):
-            return pd.DataFrame({c: [] for c in [*others, "near"]})
-        return p[others].assign(near=list(kernels.smallest_distances(stack(p["embedding"]), stack(b["vector"]), k)))
-
-    found = asked.groupBy("_lot", "_block").cogroup(parts.groupBy("lot", "block")).applyInPandas(partial, f"{fields}, near array<double>")
-    merged = found.groupBy(*others).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return merged.withColumn("patch_score", F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / k).drop("near")
+    found, _ = balls.nearest(patches, bank, k, shape["n"])
+    return found.select(*others, (F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / k).alias("patch_score"))
 
 
 def knn_pairwise(patches: DataFrame, bank: DataFrame) -> DataFrame:

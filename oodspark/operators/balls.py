@@ -83,11 +83,10 @@ class Bounds:
             yield slice(start, start + len(far)), least, first
 
 
-def nearest(patches: DataFrame, bank: DataFrame, k: int, rows: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, dict[str, float]]:
-    """patches (with their columns) with near, the k smallest distances to the bank of so many rows, ascending; and how much was met.
+def nearest(patches: DataFrame, bank: DataFrame, k: int, rows: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, dict[str, int]]:
+    """patches (with their columns) with near, the k smallest distances to the bank of so many rows, ascending; and the number of shells, and of pairs of a patch and a bank row that were compared.
 
-    The figures are patches, shells, met (pairs of a patch and a bank row that were compared) and skipped (share of all
-    pairs that the bounds spared).  Patches may repeat each other.
+    Patches may repeat each other.
     """
     pivots = pivots_of(bank, max(1, min(PIVOTS, -(-rows // block_rows) * 4, rows)))
     balls, shells = dealt(bank.select(F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), pivots, block_rows)
@@ -133,6 +132,4 @@ def nearest(patches: DataFrame, bank: DataFrame, k: int, rows: int, block_rows:
     limit = best(one).select("_row", F.element_at("near", -1).alias("most"))
     two, more = met(asked.join(limit, "_row").mapInPandas(then, schema), 2)
     released(balls)
-    count = named.count()
-    figures = {"patches": count, "shells": len(shells), "met": pairs + more, "skipped": 1 - (pairs + more) / max(1, count * rows)}
-    return named.join(best(one.union(two)), "_row").drop("_row"), figures
+    return named.join(best(one.union(two)), "_row").drop("_row"), {"shells": len(shells), "met": pairs + more}

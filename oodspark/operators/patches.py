@@ -178,27 +178,6 @@ def mean_baseline(patches: DataFrame, train: DataFrame) -> DataFrame:
     return reconstruction_error(patches.crossJoin(F.broadcast(mean)), "embedding", "_hat").drop("_hat")  # one vector
 
 
-def pca_baseline(patches: DataFrame, train: DataFrame, rank: int = 8) -> DataFrame:
-    """Scores of a linear reconstruction of that rank, fitted on the label-0 training rows."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    rows = train.filter("label = 0")
-    if rows.isEmpty():
-        raise BankError("no in-distribution rows to fit on")
-    mean = np.array(pooled(rows.withColumn("_all", F.lit(0)), ("_all",)).first()["embedding"])
-    axes = PCA(k=rank, inputCol="v", outputCol="p").fit(rows.select(array_to_vector("embedding").alias("v"))).pc.toArray()
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                x = np.stack(b["embedding"].to_numpy()).astype(np.float64) - mean
-                yield b.drop(columns="embedding").assign(score=((x - x @ axes @ axes.T) ** 2).mean(axis=1))
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in patches.schema if f.name != "embedding")
-    return patches.mapInPandas(run, f"{fields}, score double")
-
-
 def coreset_ranks(patches: DataFrame, keys: Sequence[str], ratios: Sequence[float], seed: int = 42) -> DataFrame:
     """For each ratio the nested coreset: ratio and the columns of patches.  No patches give no rows."""
     rows, bins = hashed(patches, keys, seed)

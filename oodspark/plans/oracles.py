@@ -6,6 +6,7 @@ from ..functions.kernels import axis_weights
 from ..operators.decisions import ACCEPT, REJECT, SCORE_ONLY, TEST, VALIDATION, VERDICTS, WARNING
 from ..operators.manifest import MISSING
 from . import views as V
+from .queries import RANK, TURNS
 
 SV = f"sv AS {V.oracle(V.SCORES)}"
 PV = f"pv AS {V.oracle(V.PATCHES_ORACLE)}"
@@ -161,3 +162,26 @@ ORACLES |= {
     "gate_stream": ORACLES["gate_batch"],
     "gate_stream_counts": ORACLES["gate_counts"],
 }
+
+
+def basis(turn: int) -> str:
+    """CTEs w{turn}, the start times the covariance so many times over, and b{turn}, its columns made orthonormal one after the other; tables (i, j, v)."""
+    first = f"SELECT i, j, cos((2 * i + 1) * j * pi() / 128)::DOUBLE AS v FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range({RANK})) AS j)"
+    w = f"w{turn} AS MATERIALIZED ({f'SELECT co.i, w.j, sum(co.v * w.v) AS v FROM co JOIN w{turn - 1} w ON w.i = co.k GROUP BY ALL' if turn else first})"
+    steps = [w]
+    for j in range(RANK):
+        before = f"(SELECT * FROM b{turn}_{j - 1})" if j else "(SELECT i, j, v FROM w0 WHERE false)"
+        own = f"(SELECT i, v FROM w{turn} WHERE j = {j})"
+        rest = f"SELECT o.i, o.v - coalesce(sum(b.v * dot.c), 0) AS v FROM {own} o LEFT JOIN {before} b USING (i) LEFT JOIN (SELECT b.j, sum(b.v * o.v) AS c FROM {before} b JOIN {own} o USING (i) GROUP BY b.j) dot ON dot.j = b.j GROUP BY o.i, o.v"
+        steps.append(f"b{turn}_{j} AS MATERIALIZED (SELECT i, j, v FROM {before} UNION ALL SELECT i, {j}, v / sqrt(sum(v * v) OVER ()) FROM ({rest}))")
+    return ", ".join(steps)
+
+
+_FIT = f"""WITH {PV}, un AS (SELECT vec_id, role, label, d - 1 AS i, embedding[d] AS x FROM pv, (SELECT unnest(range(1, 65)) AS d)), mu AS (SELECT i, avg(x) AS m FROM un WHERE role = 'train' AND label = 0 GROUP BY i),
+ce AS MATERIALIZED (SELECT vec_id, role, label, i, x - m AS x FROM un JOIN mu USING (i)), fr AS MATERIALIZED (SELECT vec_id, i, x FROM ce WHERE role = 'train' AND label = 0),
+co AS MATERIALIZED (SELECT a.i, b.i AS k, sum(a.x * b.x) / (SELECT count(DISTINCT vec_id) FROM fr) AS v FROM fr a JOIN fr b USING (vec_id) GROUP BY ALL), {', '.join(basis(t) for t in range(TURNS + 1))}"""
+ORACLES |= {
+    "recon_pca_baseline": f"""{_FIT}, te AS (SELECT vec_id, i, x FROM ce WHERE role <> 'train'), pr AS (SELECT vec_id, j, sum(x * v) AS c FROM te JOIN b{TURNS}_{RANK - 1} USING (i) GROUP BY ALL)
+SELECT vec_id, round((s - p) / 64, 6)::DOUBLE AS score FROM (SELECT vec_id, sum(x * x) AS s FROM te GROUP BY 1) JOIN (SELECT vec_id, sum(c * c) AS p FROM pr GROUP BY 1) USING (vec_id)""",
+    "recon_pca_losses": f"{_FIT} " + " UNION ALL ".join(f"SELECT {t}::INT AS turn, round(((SELECT sum(v) FROM co WHERE i = k) - (SELECT sum(x.v * co.v * y.v) FROM b{t}_{RANK - 1} x JOIN co ON co.i = x.i JOIN b{t}_{RANK - 1} y ON y.i = co.k AND y.j = x.j)) / 64, 6)::DOUBLE AS loss" for t in range(TURNS + 1)),
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
-from ..operators import decisions, gate, images, manifest, metrics, outcomes, patches, reports
+from ..operators import autoencoder, decisions, gate, images, manifest, metrics, outcomes, patches, reports
 from ..sources import scratch
 from . import views as V
 
@@ -359,9 +359,25 @@ def recon_train_loss(spark, d):
     return rounded(patches.mean_baseline(p.filter("label = 0"), p).agg(F.avg("score").alias("loss"), F.count("*").alias("n_rows")))
 
 
+#: Rank and turns of the registered fits; few turns, as their SQL repeats them one by one.
+RANK, TURNS = 6, 4
+
+
+def _autoencoder(spark, d):
+    return autoencoder.fitted(patch_view(spark, d).filter("role = 'train'").select("label", "embedding"), RANK, TURNS)
+
+
 def recon_pca_baseline(spark, d):
-    p = patch_view(spark, d)
-    return rounded(patches.pca_baseline(p.filter("role <> 'train'"), p.filter("role = 'train'")).select("vec_id", "score"), 5)
+    test = patch_view(spark, d).filter("role <> 'train'").select("vec_id", "embedding")
+    path = scratch(spark, "autoencoder")
+    autoencoder.saved(_autoencoder(spark, d), spark, path)
+    return rounded(autoencoder.scored(test, autoencoder.loaded(spark, path)[0]))
+
+
+def recon_pca_losses(spark, d):
+    """Training loss before the first turn and after each."""
+    losses = _autoencoder(spark, d).losses
+    return rounded(spark.createDataFrame(list(enumerate(losses)), "turn int, loss double"))
 
 
 def ablation_coreset(spark, d):

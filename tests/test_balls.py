@@ -36,8 +36,8 @@ def test_nearest(spark, kind):
     assert len(got) == len(asked)
     want = np.sort(kernels.distances(asked, bank), axis=1)[:, :4]
     assert np.allclose([got[i] for i in range(len(asked))], want, atol=1e-6)
-    assert figures["patches"] == len(asked) and figures["shells"] > 20
-    assert figures["skipped"] > {"clusters": 0.85, "line": 0.8, "copies": 0, "none": 0}[kind]
+    assert figures["shells"] > 20
+    assert 1 - figures["met"] / (len(asked) * len(bank)) > {"clusters": 0.85, "line": 0.8, "copies": 0, "none": 0}[kind]
 
 
 def test_few_rows(spark):

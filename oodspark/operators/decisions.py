@@ -13,7 +13,7 @@ from .quantiles import quantiles
 #: Decisions, verdicts and the warning of a score without a threshold.
 REJECT, ACCEPT, SCORE_ONLY = "reject_ood_or_invalid", "accept_valid_faf", "score_only_no_threshold"
 VERDICTS = {REJECT: "REJECT: OOD / invalid input", ACCEPT: "ACCEPT: likely valid FAF", SCORE_ONLY: "SCORE ONLY"}
-WARNING = "No threshold was provided; run evaluation first or pass --threshold/--metrics."
+WARNING = "There is no threshold, so nothing was decided: give a value, or the report of an evaluation."
 #: Where a threshold comes from.
 CONFIGURED, VALIDATION, TEST = "configured_threshold", "validation_id_quantile", "test_id_quantile"
 

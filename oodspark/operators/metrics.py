@@ -59,15 +59,15 @@ def range_of(score: Column, cuts: Sequence[float]) -> Column:
     return F.when(block == 0, 0).otherwise((block - 1) * step + reached(F.get(within, block - 1)))
 
 
-def cumulative(counts: DataFrame, keys: Sequence[str] = (), cuts: Sequence[float] | None = None) -> DataFrame:
+def cumulative(counts: DataFrame, keys: Sequence[str] = (), cuts: Sequence[float] | None = None, keep: bool = True) -> DataFrame:
     """counts with tp and fp, the running sums of pos and neg from the highest score down, and n_pos and n_neg, the totals.
 
     Scores are cut to ranges by value, so equal scores stay together; sums run inside the ranges and the totals of the
-    higher ranges are added.  The counts are written once to the shared folder.  cuts are the borders; by default they are
-    approximate quantiles of the scores, as many as the number of counts asks for, and what they are doesn't change the
-    result.
+    higher ranges are added.  With keep the counts are written once to the shared folder; without it they should be little
+    work over a table that already is there.  cuts are the borders; by default they are approximate quantiles of the scores,
+    as many as the number of counts asks for, and what they are doesn't change the result.
     """
-    counts = stored(counts, "score-counts")
+    counts = stored(counts, "score-counts") if keep else counts
     if cuts is None:
         ranges = -(-counts.count() // RANGE_SCORES)
         cuts = sorted(set(counts.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
@@ -124,24 +124,39 @@ def ranking_metrics(scored: DataFrame, keys: Sequence[str] = (), score: str = "s
     return running.groupBy(*keys).agg(auroc().alias("auroc"), auprc().alias("auprc"), fpr_at_recall().alias("fpr_at_95_tpr"))
 
 
+def type_counts(scored: DataFrame, keys: Sequence[str] = (), kind: str = "ood_type", score: str = "score", label: str = "label") -> DataFrame:
+    """keys, kind (null unless the label is 1), label, score and n, the number of such rows, from one pass over the rows and stored."""
+    y = F.col(label)
+    rows = scored.groupBy(*keys, F.when(y == 1, F.col(kind)).alias(kind), y.alias("label"), F.col(score).cast("double").alias("score"))
+    return stored(rows.agg(F.count("*").cast("double").alias("n")), "type-counts")
+
+
 def per_type_metrics(scored: DataFrame, keys: Sequence[str] = (), kind: str = "ood_type", score: str = "score", label: str = "label", cuts: Sequence[float] | None = None) -> DataFrame:
     """The metrics of each type of label-1 rows against all label-0 rows of its group, with id_count and ood_count.
 
     Label-0 rows are counted by score once and the counts, not the rows, are used for each type; their own type is
     ignored.
     """
-    y, some = F.col(label), F.col(score).cast("double").alias("score")
-    base = scored.filter(y.isin(0, 1)).groupBy(*keys, F.when(y == 1, F.col(kind)).alias("_t"), (y == 1).alias("_out"), some).agg(F.count("*").cast("double").alias("n"))
-    base = stored(base, "type-counts")  # one pass over the rows
-    of_type = base.filter("_out").select(*keys, "_t", "score", F.col("n").alias("pos"))
-    plain = base.filter("NOT _out").select(*keys, "score", F.col("n").alias("neg"))
-    types = of_type.select(*keys, "_t").distinct()
+    return per_type_of(type_counts(scored, keys, kind, score, label), keys, kind, cuts)
+
+
+def per_type_of(base: DataFrame, keys: Sequence[str] = (), kind: str = "ood_type", cuts: Sequence[float] | None = None) -> DataFrame:
+    """per_type_metrics() from type_counts()."""
+    of_type = base.filter("label = 1").select(*keys, kind, "score", F.col("n").alias("pos"))
+    plain = base.filter("label = 0").select(*keys, "score", F.col("n").alias("neg"))
+    types = of_type.select(*keys, kind).distinct()
     each = plain.join(types, list(keys)) if keys else plain.crossJoin(types)  # distinct scores, for each of a few types
-    both = of_type.select(*keys, "_t", "score", "pos", F.lit(0.0).alias("neg")).unionByName(each.select(*keys, "_t", "score", F.lit(0.0).alias("pos"), "neg"))
-    counts = both.groupBy(*keys, "_t", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    running = cumulative(counts, [*keys, "_t"], cuts)
-    out = running.groupBy(*keys, "_t").agg(auroc().alias("auroc"), auprc().alias("auprc"), fpr_at_recall().alias("fpr_at_95_tpr"), F.max("n_neg").cast("long").alias("id_count"), F.max("n_pos").cast("long").alias("ood_count"))
-    return out.withColumnRenamed("_t", kind)
+    both = of_type.select(*keys, kind, "score", "pos", F.lit(0.0).alias("neg")).unionByName(each.select(*keys, kind, "score", F.lit(0.0).alias("pos"), "neg"))
+    counts = both.groupBy(*keys, kind, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    running = cumulative(counts, [*keys, kind], cuts)
+    return running.groupBy(*keys, kind).agg(auroc().alias("auroc"), auprc().alias("auprc"), fpr_at_recall().alias("fpr_at_95_tpr"), F.max("n_neg").cast("long").alias("id_count"), F.max("n_pos").cast("long").alias("ood_count"))
+
+
+def ranking_of(base: DataFrame, keys: Sequence[str] = (), cuts: Sequence[float] | None = None) -> DataFrame:
+    """ranking_metrics() from type_counts()."""
+    of = lambda v: F.sum(F.when(F.col("label") == v, F.col("n")).otherwise(0.0))
+    running = cumulative(base.groupBy(*keys, "score").agg(of(1).alias("pos"), of(0).alias("neg")), keys, cuts, keep=False)
+    return running.groupBy(*keys).agg(auroc().alias("auroc"), auprc().alias("auprc"), fpr_at_recall().alias("fpr_at_95_tpr"))
 
 
 def confusion(scored: DataFrame, threshold: Column, keys: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:

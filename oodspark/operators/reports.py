@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import confusion, per_type_metrics, ranking_metrics
+from .metrics import per_type_of, ranking_of, type_counts
 
 #: Fixed order of columns.
 OVERALL = ("run_name", "run_dir", "model", "backbone", "layers", "auroc", "auprc", "fpr_at_95_tpr", "threshold", "threshold_source", "total_count", "id_count", "ood_count", "tn", "fp", "fn", "tp", "metrics_file")
@@ -24,23 +24,28 @@ def score_rows(scored: DataFrame, threshold: Column) -> DataFrame:
 
 
 def metrics_report(scored: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys and the nested report of each group; thresholds has keys, threshold, threshold_source and quantile."""
-    rows = scored.join(thresholds, list(keys))
-    total = ranking_metrics(scored, keys).select(*keys, F.struct("auroc", "auprc", "fpr_at_95_tpr").alias("global"))
-    cells = confusion(rows, F.col("threshold"), keys).select(*keys, F.struct("tn", "fp", "fn", "tp").alias("confusion_matrix"))
-    counts = scored.groupBy(*keys).agg(F.struct(F.count("*").alias("total"), F.count_if(F.col("label") == 0).alias("id"), F.count_if(F.col("label") == 1).alias("ood")).alias("counts"))
-    kinds = per_type_metrics(scored, keys).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ood_type", F.struct("auroc", "auprc", "fpr_at_95_tpr", "id_count", "ood_count"))))).alias("per_ood_type"))
-    used = thresholds.select(*keys, F.struct(F.col("threshold").alias("value"), F.col("threshold_source").alias("source"), "quantile").alias("threshold"))
-    out = total
-    for other in (cells, used, counts, kinds):
-        out = out.join(other, list(keys), "left")
-    return out
+    """keys and the nested report of each group; thresholds has keys, threshold, threshold_source and quantile.
+
+    The rows are read once, to count them by type, label and score; all else comes from the counts.
+    """
+    base = type_counts(scored, keys)
+    total = ranking_of(base, keys).select(*keys, F.struct("auroc", "auprc", "fpr_at_95_tpr").alias("global"))
+    up, n = F.col("score") >= F.col("threshold"), lambda which: F.sum(F.when(which, F.col("n")).otherwise(0)).cast("long")
+    cell = {"tn": (0, False), "fp": (0, True), "fn": (1, False), "tp": (1, True)}
+    counted = base.join(thresholds, list(keys), "left").groupBy(*keys).agg(
+        F.struct(*[n((F.col("label") == y) & (up if above else ~up)).alias(c) for c, (y, above) in cell.items()]).alias("confusion_matrix"),
+        F.struct(F.first("threshold").alias("value"), F.first("threshold_source").alias("source"), F.first("quantile").alias("quantile")).alias("threshold"),
+        F.struct(n(F.lit(True)).alias("total"), n(F.col("label") == 0).alias("id"), n(F.col("label") == 1).alias("ood")).alias("counts"),
+    )
+    kinds = per_type_of(base, keys).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ood_type", F.struct("auroc", "auprc", "fpr_at_95_tpr", "id_count", "ood_count"))))).alias("per_ood_type"))
+    return total.join(counted, list(keys), "left").join(kinds, list(keys), "left")
 
 
 def _named(reports: DataFrame, runs_dir: str) -> DataFrame:
     """reports (of sources.read_reports()) with run_name, run_dir, model, backbone, layers and metrics_file."""
     root = re.sub("^([a-z0-9+.-]+:)/+", r"\1/", runs_dir.rstrip("/")) + "/"
-    reports = reports.withColumn("metrics_path", F.regexp_replace("metrics_path", "^([a-z0-9+.-]+:)/+", "$1/"))
+    # a runs_dir without a scheme is below that of the session's default store
+    reports = reports.withColumn("metrics_path", F.regexp_replace("metrics_path", "^[a-z0-9+.-]+:(//[^/]*)?/", "/") if root.startswith("/") else F.regexp_replace("metrics_path", "^([a-z0-9+.-]+:)/+", "$1/"))
     rel = lambda c: F.when(c.startswith(root), F.substring(c, F.lit(len(root) + 1), F.length(c))).when(c == root[:-1], ".").otherwise(c)
     folder = F.regexp_replace("metrics_path", "/[^/]*$", "")
     run = F.regexp_replace(folder, "/evaluation$", "")
@@ -79,8 +84,10 @@ def markdown_rows(df: DataFrame) -> DataFrame:
 
 def markdown(df: DataFrame) -> str:
     """A report table as Markdown; one blank row if there are none.  For report tables, which have a row for each run."""
-    head = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
-    return "\n".join(head + ([r["line"] for r in markdown_rows(df).select("line").collect()] or ["| " + " | ".join("" for _ in df.columns) + " |"]))
+    one = df.sparkSession.range(1)
+    ruled = lambda texts: markdown_rows(one.select(*[F.lit(t).alias(f"c{i}") for i, t in enumerate(texts)])).first()["line"]
+    lines = [r["line"] for r in markdown_rows(df).select("line").collect()]
+    return "\n".join([ruled(df.columns), ruled(["---"] * len(df.columns)), *(lines or [ruled([""] * len(df.columns))])])
 
 
 def report_paths(overall_markdown: str = "reports/generated/experiment_summary.md", overall_csv: str | None = None, per_ood_markdown: str | None = None, per_ood_csv: str | None = None) -> dict[str, str]:

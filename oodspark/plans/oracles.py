@@ -120,7 +120,8 @@ SELECT 'artifacts/' || printf('%05d', i) || '_' || regexp_replace(regexp_replace
 CASE WHEN grouping(ood_type) = 1 THEN 'ALL' ELSE ood_type END AS ood_type, count(*) AS n_rows FROM g GROUP BY ROLLUP (split, label, source, ood_type)""",
     "leakage_patients": f"WITH {GOOD} SELECT patient_id, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test FROM g WHERE trim(patient_id) <> '' GROUP BY 1 HAVING n_train > 0 AND n_test > 0",
     "leakage_originals": f"WITH {GOOD}, o AS (SELECT DISTINCT image_path, split FROM g) SELECT g.image_path AS original_path, o.split AS original_split FROM g JOIN o USING (image_path) WHERE g.label = 0 AND o.split <> 'test'",
-    "image_load": f"WITH {PIX} SELECT image_id, ((p - 1) // 64)::INT AS channel, sum(pixels[p])::DOUBLE AS total, count(*) AS n_pixels FROM px, (SELECT unnest(range(1, 193)) AS p) GROUP BY ALL",
+    "image_load": f"""WITH {PIX} SELECT image_id, ((p - 1) // 64)::INT AS channel, NULL::VARCHAR AS error, sum(pixels[p])::DOUBLE AS total, count(*) AS n_pixels, sum(pixels[p] * (p - 1))::DOUBLE AS weighted FROM px, (SELECT unnest(range(1, 193)) AS p) WHERE image_id % 50 <> 0 GROUP BY ALL
+UNION ALL SELECT image_id, NULL, 'not a supported image', NULL, 0, NULL FROM px WHERE image_id % 50 = 0""",
     "image_resize": f"""WITH {PIX} SELECT image_id, (ch * 16 + z.y * 4 + z.x)::INT AS place, round(sum(pixels[ch * 64 + z.i * 8 + z.j + 1]::DOUBLE * z.w), 4)::DOUBLE AS value FROM px, (SELECT unnest(range(3)) AS ch), {weighted(8, 4, 'z')} GROUP BY image_id, ch, z.y, z.x""",
     "image_gray": f"""WITH {PIX} SELECT image_id, (ch * 64 + p)::INT AS place, ((19595 * pixels[p + 1]::INT + 38470 * pixels[p + 65]::INT + 7471 * pixels[p + 129]::INT + 32768) >> 16)::DOUBLE AS value FROM px, (SELECT unnest(range(3)) AS ch), (SELECT unnest(range(64)) AS p)""",
     "image_normalize": f"WITH {PIX} SELECT image_id, p::INT AS place, round((pixels[p + 1]::DOUBLE / 255 - [0.485, 0.456, 0.406][p // 64 + 1]::DOUBLE) / [0.229, 0.224, 0.225][p // 64 + 1]::DOUBLE, 4)::DOUBLE AS value FROM px, (SELECT unnest(range(192)) AS p)",

@@ -257,8 +257,13 @@ def _long(df):
 
 
 def image_load(spark, d):
-    """Pixels as the image reader lays them out, checked per image and channel."""
-    return _long(pixel_view(spark, d)).groupBy("image_id", F.floor(F.col("place") / 64).cast("int").alias("channel")).agg(F.sum("value").alias("total"), F.count("*").alias("n_pixels"))
+    """Images written as files by tasks, every 50th of them broken, and read again: sums by channel, and the errors."""
+    path, view = scratch(spark, "images"), pixel_view(spark, d)
+    sources.write_images(view.filter("image_id % 50 <> 0"), f"{path}/good")
+    sources.write_files(view.filter("image_id % 50 = 0").select(F.col("image_id").cast("string").alias("name"), F.lit("no image").cast("binary").alias("data")), f"{path}/broken")
+    read = sources.read_images(spark, path).withColumn("image_id", F.regexp_extract("image_path", "/name=([0-9]+)/", 1).cast("long"))
+    channels = read.select("image_id", "height", "width", "channels", "error", F.posexplode_outer("pixels").alias("place", "value"))
+    return channels.groupBy("image_id", F.floor(F.col("place") / 64).cast("int").alias("channel"), "error").agg(F.sum(F.col("value").cast("double")).alias("total"), F.count("value").alias("n_pixels"), F.sum(F.col("value") * F.col("place")).alias("weighted"))
 
 
 def image_resize(spark, d):
@@ -387,7 +392,7 @@ def ablation_coreset(spark, d):
 
 
 def evaluate_end_to_end(spark, d):
-    s = scored_images(spark, d)
+    s = sources.stored(scored_images(spark, d), "scores")
     thr = decisions.resolved_threshold(None, s.filter("role = 'val'"), s.filter("role = 'test' AND label = 0"))
     t = thr.first()
     test = s.filter("role = 'test'")
@@ -411,45 +416,53 @@ def metrics_report(spark, d):
 
 
 def _report_files(spark, d):
-    """Reports and configurations of the runs, as the reader of run folders gives them after a trip through JSON."""
+    """The runs' reports and configurations, written to files by run and found again."""
     r = _reports(spark, d)
     n = F.substring("run_name", 5, 9).cast("int")
     layers = F.when(n == 4, F.lit('["layer2","layer3"]')).otherwise(F.concat(F.lit('["layer'), (n + 1).cast("string"), F.lit('"]')))
-    config = F.when(n != 3, F.struct(F.struct(F.when(n != 2, F.concat(F.lit("exp|"), n.cast("string"))).alias("run_name")).alias("project"), F.struct(F.lit("patch_bank").alias("name"), F.lit("resnet50").alias("backbone"), layers.alias("layers")).alias("model")))
-    text = F.to_json(F.struct("global", "confusion_matrix", "threshold", "counts", "per_ood_type"))
-    files = r.select(F.concat(F.lit("/runs/"), "run_name", F.when(n % 2 == 0, "/evaluation").otherwise(""), F.lit("/metrics.json")).alias("metrics_path"), F.from_json(text, sources.REPORT.replace("\n", " ")).alias("j"), F.from_json(F.to_json(config), sources.CONFIG).alias("config"))
-    return files.select("metrics_path", "j.*", "config")
+    config = lambda backbone: F.to_json(F.struct(F.struct(F.when(n != 2, F.concat(F.lit("exp|"), n.cast("string"))).alias("run_name")).alias("project"), F.struct(F.lit("patch_bank").alias("name"), F.lit(backbone).alias("backbone"), layers.alias("layers")).alias("model")))
+    folder = F.concat("run_name", F.when(n % 2 == 0, "/evaluation").otherwise(""))
+    file = lambda at, name, text: F.struct(at.alias("run_dir"), F.lit(name).alias("file"), text.alias("text"))
+    # run 3 has no configuration, the even runs have theirs in the folder above, run 1 has two of which the first counts
+    files = F.array(
+        file(folder, "metrics.json", F.to_json(F.struct("global", "confusion_matrix", "threshold", "counts", "per_ood_type"))),
+        F.when(n != 3, file(F.col("run_name"), "resolved_config.json", F.when(n == 1, config("not_this")).otherwise(config("resnet50")))),
+        F.when(n == 1, file(folder, "resolved_evaluation_config.json", config("resnet50"))),
+    )
+    path = scratch(spark, "runs")
+    sources.write_runs(r.select(F.explode(F.array_compact(files)).alias("f")).select("f.*"), path)
+    return sources.read_reports(spark, path), path
 
 
 def report_overall(spark, d):
-    return rounded(reports.overall(_report_files(spark, d), "/runs"))
+    return rounded(reports.overall(*_report_files(spark, d)))
 
 
 def report_per_ood(spark, d):
-    return rounded(reports.per_ood(_report_files(spark, d), "/runs"))
+    return rounded(reports.per_ood(*_report_files(spark, d)))
 
 
 def report_markdown(spark, d):
-    t = reports.overall(_report_files(spark, d), "/runs").select("run_name", "layers", "auroc", "tp", "metrics_file")
+    t = reports.overall(*_report_files(spark, d)).select("run_name", "layers", "auroc", "tp", "metrics_file")
     return reports.markdown_rows(t).select("metrics_file", "line")
 
 
 def report_ablation(spark, d):
-    return rounded(reports.ablation(reports.overall(_report_files(spark, d), "/runs")).select("figure_label", "layer_sort", "run_name", "auroc", "tp"))
+    return rounded(reports.ablation(reports.overall(*_report_files(spark, d))).select("figure_label", "layer_sort", "run_name", "auroc", "tp"))
 
 
 def report_pivot_auroc(spark, d):
     kinds = ["modality_shift", "semantic_outlier", "sensory_artifact"]
-    return rounded(reports.auroc_pivot(reports.per_ood(_report_files(spark, d), "/runs"), kinds))
+    return rounded(reports.auroc_pivot(reports.per_ood(*_report_files(spark, d)), kinds))
 
 
 def report_confusion_long(spark, d):
-    return reports.confusion_long(reports.overall(_report_files(spark, d), "/runs"))
+    return reports.confusion_long(reports.overall(*_report_files(spark, d)))
 
 
 def report_counts(spark, d):
-    f = _report_files(spark, d)
-    return reports.report_counts(reports.overall(f, "/runs"), reports.per_ood(f, "/runs"))
+    f, path = _report_files(spark, d)
+    return reports.report_counts(reports.overall(f, path), reports.per_ood(f, path))
 
 
 HIDDEN = {"scores", "patch_view", "bank_of", "scored_patches", "scored_images", "running", "rounded", "scratch", "gate_view", "raw_manifest", "good_manifest", "pixel_view"}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -76,12 +78,42 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
     df.write.mode("overwrite").csv(path, header=True, quoteAll=quote_all, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def png(image: np.ndarray) -> bytes:
+    """A height x width x 3 image of bytes as a PNG file."""
+    height, width = image.shape[:2]
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate([np.zeros((height, 1), dtype=np.uint8), image.reshape(height, -1)], axis=1)  # each line unfiltered
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes())) + part(b"IEND", b"")
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Write each row of files (name, data) as a file of its own below path/name=...; names must tell rows apart.
+
+    It is Spark's own writer, so tasks that are lost are written again and no half file stays.  A line feed follows the
+    data, which image and JSON readers pass over.
+    """
+    files.select("name", F.col("data").cast("string").alias("data")).write.partitionBy("name").text(path)
+
+
+def write_images(images: DataFrame, path: str) -> None:
+    """Write 8-bit images (image_id, height, width, channels (3), pixels) as PNG files that read_images() reads, made in the tasks that hold them."""
+
+    def encode(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 16):  # images at a time
+                rows = b.slice(start, 16).to_pylist()
+                made = [png(np.array(r["pixels"], dtype=np.float64).astype(np.uint8).reshape(3, r["height"], r["width"]).transpose(1, 2, 0)) for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r["name"] for r in rows], pa.string()), pa.array(made, pa.binary())], names=["name", "data"])
+
+    write_files(images.select(F.col("image_id").cast("string").alias("name"), "height", "width", "pixels").mapInArrow(encode, "name string, data binary"), path)
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """image_path, height, width, channels (3), pixels (channel by channel, rows, columns; red first) and error of image files.
 
     Files that can't be decoded stay, with an error.  Grey images get three equal channels.
     """
-    df = spark.read.format("image").load(path).select("image.*")
+    df = spark.read.format("image").option("recursiveFileLookup", True).load(path).select("image.*")
 
     def channels(batches):
         for b in batches:
@@ -102,21 +134,38 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(channels, "image_path string, height int, width int, channels int, pixels array<float>, error string")
 
 
+#: Files of a run: its report, and the configurations.
+RUN_FILES = ("metrics.json", *{n.split("/")[-1]: None for n in CONFIG_NAMES})
+
+
+def write_runs(files: DataFrame, runs_dir: str) -> None:
+    """Write files (run_dir, file, text) of many runs at once, as runs_dir/run_dir=.../file=.../part-...; run_dir may have folders of its own."""
+    files.select("run_dir", "file", "text").write.partitionBy("run_dir", "file").text(runs_dir)
+
+
 def read_reports(spark: SparkSession, runs_dir: str) -> DataFrame:
-    """metrics_path, the report columns and config of every metrics.json below runs_dir.
+    """metrics_path, the report columns and config of every metrics.json below runs_dir, however deep.
 
-    The first configuration that exists of CONFIG_NAMES is taken as a whole.  Without any report the call fails.
+    Folders that write_runs() made count as the files they stand for.  The first configuration that exists of CONFIG_NAMES
+    is taken as a whole.  Without any report, or with one that is no JSON object, the call fails.
     """
-    read = lambda name, schema: spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(runs_dir).withColumn("_file", F.col("_metadata.file_path"))
-    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    found = read("metrics.json", REPORT).withColumnRenamed("_file", "metrics_path")
+    files = spark.read.text(runs_dir, wholetext=True, recursiveFileLookup=True, pathGlobFilter="{" + ",".join([*RUN_FILES, "part-*.txt"]) + "}")
+    path = F.regexp_replace(F.col("_metadata.file_path"), "/file=([^/]*)/part-[^/]*$", "/$1")
+    parted = F.regexp_extract(path, "^(.*)/run_dir=([^/]*)/([^/]*)$", 2)
+    path = F.when(parted != "", F.concat(F.regexp_extract(path, "^(.*)/run_dir=", 1), F.lit("/"), F.url_decode(F.url_decode(parted)), F.lit("/"), F.regexp_extract(path, "([^/]*)$", 1))).otherwise(path)
+    files = files.select(path.alias("_path"), F.col("value").alias("_text"))
+    files = files.select("_path", "_text", F.regexp_extract("_path", "^(.*)/[^/]*$", 1).alias("_dir"), F.regexp_extract("_path", "([^/]*)$", 1).alias("_name"))
+    found = files.filter("_name = 'metrics.json'").select(F.col("_path").alias("metrics_path"), "_dir", F.from_json("_text", REPORT.replace("\n", " "), {"mode": "FAILFAST"}).alias("_j"))
     if found.isEmpty():
         raise SourceError(f"no metrics.json below {runs_dir}")
-    found = found.withColumn("_dir", folder(F.col("metrics_path")))
-    for i, name in enumerate(CONFIG_NAMES):
-        config = read(name.split("/")[-1], CONFIG).select(folder(F.col("_file")).alias("_dir" if "/" not in name else "_up"), F.struct("project", "model").alias(f"_c{i}"))
-        found = found.withColumn("_up", folder(F.col("_dir"))).join(config, "_up" if "/" in name else "_dir", "left")
-    return found.withColumn("config", F.coalesce("_c0", "_c1", "_c2")).drop("_dir", "_up", "_c0", "_c1", "_c2")
+    # each configuration goes to the folders it may serve, with its rank there
+    up = F.regexp_replace(F.col("_dir"), "/[^/]*$", "")
+    ranks = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n.split("/")[-1]).alias("name"), F.lit(n.startswith("../")).alias("above")) for i, n in enumerate(CONFIG_NAMES)])
+    configs = files.filter(F.col("_name") != "metrics.json").withColumn("_r", F.explode(F.filter(ranks, lambda r: r["name"] == F.col("_name"))))
+    reports = found.select("metrics_path", F.explode(F.array(F.struct(F.col("_dir").alias("at"), F.lit(False).alias("above")), F.struct(up.alias("at"), F.lit(True).alias("above")))).alias("_o"))
+    served = reports.join(configs, (F.col("_o.at") == F.col("_dir")) & (F.col("_o.above") == F.col("_r.above")))
+    best = served.groupBy("metrics_path").agg(F.min_by(F.from_json("_text", CONFIG, {"mode": "FAILFAST"}), F.col("_r.rank")).alias("config"))
+    return found.join(best, "metrics_path", "left").select("metrics_path", "_j.*", "config")
 
 
 def write_report(report: DataFrame, path: str, by: str | None = None) -> None:

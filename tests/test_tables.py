@@ -156,6 +156,33 @@ def test_run_reports(spark, tmp_path):
     (tmp_path / "none").mkdir()
     with pytest.raises(sources.SourceError):
         sources.read_reports(spark, f"file://{tmp_path}/none")
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "metrics.json").write_text('{"global": ')
+    with pytest.raises(Exception, match="MALFORMED"):
+        sources.read_reports(spark, f"file://{tmp_path}/bad").collect()
+
+
+def test_run_files(spark, tmp_path):
+    """Files of many runs written at once, in folders with odd names, and which configuration counts."""
+    config = lambda name: json.dumps({"project": {"run_name": name}, "model": {"name": "m", "layers": ["layer1", "layer2"]}})
+    metrics = json.dumps({"global": {"auroc": 0.5}, "counts": {"total": 3}})
+    files = [("a", "metrics.json", metrics), ("b b/evaluation", "metrics.json", metrics), ("b b", "resolved_config.json", config("above")), ("c=1/d%e", "metrics.json", metrics), ("c=1/d%e", "resolved_config.json", config("beside")), ("c=1/d%e", "resolved_evaluation_config.json", config("first")), ("c=1", "resolved_config.json", config("not this")), ("a", "other.json", "no JSON")]
+    df = spark.createDataFrame(files, "run_dir string, file string, text string").repartition(3)
+    for root in (f"{tmp_path}/runs", f"file://{tmp_path}/more"):
+        sources.write_runs(df, root)
+        got = {r["run_dir"]: (r["run_name"], r["metrics_file"], r["layers"], r["auroc"], r["total_count"]) for r in reports.overall(sources.read_reports(spark, root), root).collect()}
+        assert got == {"a": ("a", "a/metrics.json", "", 0.5, 3), "b b": ("above", "b b/evaluation/metrics.json", "layer1+layer2", 0.5, 3), "c=1/d%e": ("first", "c=1/d%e/metrics.json", "layer1+layer2", 0.5, 3)}
+
+
+def test_image_files(spark, tmp_path):
+    """Images written by tasks, broken ones among them, come back with the same pixels."""
+    rng = np.random.default_rng(5)
+    rows = [(i, 3 + i, 2, 3, [float(v) for v in rng.integers(0, 256, 3 * 2 * (3 + i))]) for i in range(20)]
+    sources.write_images(spark.createDataFrame(rows, images.SCHEMA).repartition(3), f"{tmp_path}/images/good")
+    sources.write_files(spark.createDataFrame([("x y", b"no image"), ("z", b"")], "name string, data binary"), f"{tmp_path}/images/bad")
+    got = sources.read_images(spark, f"{tmp_path}/images").collect()
+    assert sorted((r["height"], r["pixels"]) for r in got if not r["error"]) == [(r[1], r[4]) for r in rows]
+    assert sorted(r["image_path"].split("/")[-2] for r in got if r["error"]) == ["name=x%20y", "name=z"]
 
 
 def test_gate_batch_and_stream(spark, tmp_path):

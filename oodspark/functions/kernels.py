@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 
@@ -48,38 +50,82 @@ def smallest_distances(points: np.ndarray, bank: np.ndarray, k: int, tile: int =
 GLYPHS = {"I": "72227", "N": "57775", "V": "55552", "A": "25755", "L": "44447", "D": "65556", "F": "74644", " ": "00000"}
 
 
-def watermark(image: np.ndarray, rng: np.random.Generator, text: str = "INVALID FAF") -> np.ndarray:
+#: Multiplier and turns of the mixing of 32-bit numbers, and the width of the bits that are mixed.
+MIXER, MIXING, WIDE = 0x45D9F3B, 3, 0xFFFFFFFF
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, dtype=np.uint64)
+    for _ in range(MIXING):
+        x = (x ^ x >> np.uint64(16)) * np.uint64(MIXER) & np.uint64(WIDE)
+    return x
+
+
+class Draws:
+    """Random numbers by counting: the n-th draw is a hash of the key and n, so any system that multiplies whole numbers can repeat it."""
+
+    def __init__(self, key: Sequence[int]):
+        self.key, self.n = np.uint64(0), 0
+        for part in key:
+            self.key = mixed(self.key ^ np.uint64(part & WIDE))
+
+    def bits(self, count: int = 1) -> np.ndarray:
+        """The next count draws of 32 bits."""
+        self.n += count
+        return mixed(self.key ^ np.arange(self.n - count, self.n, dtype=np.uint64))
+
+    def integers(self, low: int, high: int) -> int:
+        """From low to below high."""
+        return low + (int(self.bits()[0]) * (high - low) >> 32)
+
+    def uniform(self, low: float, high: float) -> float:
+        return low + (high - low) * float((self.bits()[0] + 0.5) / 2**32)
+
+    def normal(self, deviation: float, shape: tuple[int, ...]) -> np.ndarray:
+        """Of mean 0, each from two draws."""
+        u = ((self.bits(2 * int(np.prod(shape))) + 0.5) / 2**32).reshape(-1, 2)
+        return (np.sqrt(-2 * np.log(u[:, 0])) * np.cos(2 * np.pi * u[:, 1]) * deviation).reshape(shape)
+
+
+def inked(text: str) -> np.ndarray:
+    """The letters of a text side by side, a column apart."""
+    return np.concatenate([np.array([[int(d) >> s & 1 for s in (2, 1, 0)] + [0] for d in GLYPHS[c]]) for c in text], axis=1).astype(bool)
+
+
+#: Fixed value: what the watermark says.
+MARK = "INVALID FAF"
+
+
+def watermark(image: np.ndarray, rng: Draws, text: str = MARK) -> np.ndarray:
     """Text in white over a black shadow two pixels off.  image: height x width x 3, uint8."""
     out, (h, w) = image.copy(), image.shape[:2]
-    x, y = (int(rng.integers(4, max(5, n // 4))) for n in (w, h))
-    bits = np.concatenate([np.array([[int(d) >> s & 1 for s in (2, 1, 0, )] + [0] for d in GLYPHS[c]]) for c in text], axis=1).astype(bool)
+    x, y = (rng.integers(4, max(5, n // 4)) for n in (w, h))
     for shift, value in ((2, 0), (0, 255)):
-        rows, cols = np.nonzero(bits)
+        rows, cols = np.nonzero(inked(text))
         inside = (rows + y + shift < h) & (cols + x + shift < w)
         out[rows[inside] + y + shift, cols[inside] + x + shift] = value
     return out
 
 
-def annotation(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def annotation(image: np.ndarray, rng: Draws) -> np.ndarray:
     """A red outline and a white diagonal of half its width, from the first third to beyond the middle."""
     out, (h, w) = image.copy(), image.shape[:2]
-    corner = [int(rng.integers(0, max(1, n // 3))) for n in (w, h)]
-    x0, y0 = corner
-    x1, y1 = (int(rng.integers(max(a + 1, n // 2), n)) if max(a + 1, n // 2) < n else n - 1 for a, n in zip(corner, (w, h), strict=True))
+    x0, y0 = (rng.integers(0, max(1, n // 3)) for n in (w, h))
+    x1, y1 = (rng.integers(max(a + 1, n // 2), n) if max(a + 1, n // 2) < n else n - 1 for a, n in ((x0, w), (y0, h)))
     thick = max(2, min(w, h) // 40)
     frame = np.zeros((h, w), dtype=bool)
     frame[y0 : y1 + 1, x0 : x1 + 1] = True
     frame[y0 + thick : max(y1 + 1 - thick, y0 + thick), x0 + thick : max(x1 + 1 - thick, x0 + thick)] = False
     out[frame] = (255, 0, 0)
     n = max(x1 - x0, y1 - y0, 1)
-    t = np.arange(n + 1) / n
+    step = np.arange(n + 1)
+    rows, cols = (a + (2 * step * (z - a) + n) // (2 * n) for a, z in ((y0, y1), (x0, x1)))
     for d in range(max(1, thick // 2)):
-        rows, cols = np.rint(y0 + t * (y1 - y0)).astype(int), np.minimum(np.rint(x0 + t * (x1 - x0)).astype(int) + d, w - 1)
-        out[rows, cols] = 255
+        out[rows, np.minimum(cols + d, w - 1)] = 255
     return out
 
 
-def shifted(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def shifted(image: np.ndarray, rng: Draws) -> np.ndarray:
     """The left and top strips are dropped and the rest is moved to the corner, on black."""
     h, w = image.shape[:2]
     share = rng.uniform(0.08, 0.18)
@@ -89,32 +135,46 @@ def shifted(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def noisy(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def noisy(image: np.ndarray, rng: Draws) -> np.ndarray:
     sigma = rng.uniform(18, 36)
-    return np.clip(image + rng.normal(0, sigma, image.shape), 0, 255).astype(np.uint8)
+    return np.clip(image + rng.normal(sigma, image.shape), 0, 255).astype(np.uint8)
+
+
+#: Halves go up, and so does what rounding errors leave just below them.
+UP = 0.5 + 1e-6
+
+
+def cosines() -> np.ndarray:
+    """The 8 x 8 orthonormal cosine basis, a row for each frequency."""
+    k = np.arange(8)
+    return np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) * np.sqrt(np.where(k[:, None] == 0, 1, 2) / 8)
+
+
+def steps(quality: int = 12) -> np.ndarray:
+    """Quantisation steps by frequency."""
+    k = np.arange(8)
+    return (8 + 4 * (k[:, None] + k[None, :])) * (50 / quality)
 
 
-def blocky(image: np.ndarray, rng: np.random.Generator, quality: int = 12) -> np.ndarray:
+def blocky(image: np.ndarray, rng: Draws, quality: int = 12) -> np.ndarray:
     """What strong block-transform compression leaves: 8 x 8 cosine transforms, quantised in steps that grow with frequency.
 
     An approximation of such a codec, with steps by formula in place of its tables; no codec is at hand.
     """
     h, w, c = image.shape
-    k = np.arange(8)
-    basis = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) * np.sqrt(np.where(k[:, None] == 0, 1, 2) / 8)
-    step = (8 + 4 * (k[:, None] + k[None, :])) * (50 / quality)
+    basis, step = cosines(), steps(quality)
     padded = np.pad(image.astype(float) - 128, ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge")
     b = padded.reshape(padded.shape[0] // 8, 8, padded.shape[1] // 8, 8, c).transpose(0, 2, 4, 1, 3)
-    b = basis.T @ (np.rint(basis @ b @ basis.T / step) * step) @ basis
+    b = basis.T @ (np.floor(basis @ b @ basis.T / step + UP) * step) @ basis
     out = b.transpose(0, 3, 1, 4, 2).reshape(padded.shape)[:h, :w] + 128
-    return np.clip(out, 0, 255).astype(np.uint8)
+    return np.clip(np.floor(out + UP), 0, 255).astype(np.uint8)
 
 
 #: Kinds of corruption, in fixed order.
 CORRUPTIONS = {"text_watermark": watermark, "rectangle_annotation": annotation, "border_crop": shifted, "gaussian_noise": noisy, "jpeg_compression": blocky}
 
 
-def corrupted(image: np.ndarray, kind: str, seed: list[int]) -> np.ndarray:
+def corrupted(image: np.ndarray, kind: str, key: Sequence[int]) -> np.ndarray:
     if kind not in CORRUPTIONS:
         raise ValueError(f"unknown kind {kind!r}")
-    return CORRUPTIONS[kind](image, np.random.default_rng(seed))
+    return CORRUPTIONS[kind](image, Draws(key))

@@ -68,7 +68,7 @@ def corrupted(images: DataFrame, kinds=tuple(kernels.CORRUPTIONS), seed: int = 4
             got = []
             for i, h, w, p, k in zip(b["image_id"], b["height"], b["width"], b["pixels"], b["kind"], strict=True):
                 image = np.asarray(p, dtype=np.float64).reshape(3, h, w).transpose(1, 2, 0).astype(np.uint8)
-                got.append(kernels.corrupted(image, k, [seed, int(i) & 0xFFFFFFFF, place[k]]).transpose(2, 0, 1).ravel().astype(np.float32))
+                got.append(kernels.corrupted(image, k, [seed, int(i), int(i) >> 32, place[k]]).transpose(2, 0, 1).ravel().astype(np.float32))
             yield b.assign(pixels=got)
 
     rows = images.select("image_id", "height", "width", "channels", "pixels", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))

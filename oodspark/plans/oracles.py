@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from ..functions import kernels
 from ..functions.kernels import axis_weights
 from ..operators.decisions import ACCEPT, REJECT, SCORE_ONLY, TEST, VALIDATION, VERDICTS, WARNING
 from ..operators.manifest import MISSING
@@ -65,9 +68,12 @@ po AS (SELECT nm.run_name, model, backbone, layers, ood_type, auroc, auprc, fpr_
 LABELLED = "SELECT *, CASE WHEN layers <> '' THEN layers ELSE run_name END AS figure_label FROM "
 
 
-def weighted(old: int, new: int, cell: str) -> str:
-    """SUM over a grid by the weights of a bilinear resize: rows (y, x, i, j, w)."""
+def weighted(old: int, new: int, cell: str, filtered: bool = False) -> str:
+    """SUM over a grid by the weights of a bilinear resize: rows (y, x, i, j, w); filtered ones are tents as wide as the step, made here by hand."""
     a = axis_weights(old, new)
+    if filtered:
+        tent = [[max(0.0, 1 - abs(i - ((y + 0.5) * old / new - 0.5)) * new / old) for i in range(old)] for y in range(new)]
+        a = np.array([[t / sum(row) for t in row] for row in tent])
     rows = [f"({y}, {x}, {i}, {j}, {float(a[y, i] * a[x, j])!r}::DOUBLE)" for y in range(new) for x in range(new) for i in range(old) for j in range(old) if a[y, i] * a[x, j]]
     return f"(VALUES {', '.join(rows)}) {cell}(y, x, i, j, w)"
 
@@ -123,6 +129,7 @@ CASE WHEN grouping(ood_type) = 1 THEN 'ALL' ELSE ood_type END AS ood_type, count
     "image_load": f"""WITH {PIX} SELECT image_id, ((p - 1) // 64)::INT AS channel, NULL::VARCHAR AS error, sum(pixels[p])::DOUBLE AS total, count(*) AS n_pixels, sum(pixels[p] * (p - 1))::DOUBLE AS weighted FROM px, (SELECT unnest(range(1, 193)) AS p) WHERE image_id % 50 <> 0 GROUP BY ALL
 UNION ALL SELECT image_id, NULL, 'not a supported image', NULL, 0, NULL FROM px WHERE image_id % 50 = 0""",
     "image_resize": f"""WITH {PIX} SELECT image_id, (ch * 16 + z.y * 4 + z.x)::INT AS place, round(sum(pixels[ch * 64 + z.i * 8 + z.j + 1]::DOUBLE * z.w), 4)::DOUBLE AS value FROM px, (SELECT unnest(range(3)) AS ch), {weighted(8, 4, 'z')} GROUP BY image_id, ch, z.y, z.x""",
+    "image_shrink": f"""WITH {PIX} SELECT image_id, (ch * 9 + z.y * 3 + z.x)::INT AS place, round(sum(pixels[ch * 64 + z.i * 8 + z.j + 1]::DOUBLE * z.w)::FLOAT::DOUBLE, 4)::DOUBLE AS value FROM px, (SELECT unnest(range(3)) AS ch), {weighted(8, 3, 'z', True)} GROUP BY image_id, ch, z.y, z.x""",
     "image_gray": f"""WITH {PIX} SELECT image_id, (ch * 64 + p)::INT AS place, ((19595 * pixels[p + 1]::INT + 38470 * pixels[p + 65]::INT + 7471 * pixels[p + 129]::INT + 32768) >> 16)::DOUBLE AS value FROM px, (SELECT unnest(range(3)) AS ch), (SELECT unnest(range(64)) AS p)""",
     "image_normalize": f"WITH {PIX} SELECT image_id, p::INT AS place, round((pixels[p + 1]::DOUBLE / 255 - [0.485, 0.456, 0.406][p // 64 + 1]::DOUBLE) / [0.229, 0.224, 0.225][p // 64 + 1]::DOUBLE, 4)::DOUBLE AS value FROM px, (SELECT unnest(range(192)) AS p)",
     "feature_extract": f"""WITH {PIX} SELECT image_id, 'layer1' AS layer, 3 AS c, 4 AS h, 4 AS w, (ch * 16 + y * 4 + x)::INT AS place, round((pixels[ch * 64 + y * 16 + x * 2 + 1] + pixels[ch * 64 + y * 16 + x * 2 + 2] + pixels[ch * 64 + y * 16 + x * 2 + 9] + pixels[ch * 64 + y * 16 + x * 2 + 10])::DOUBLE / 4, 4)::DOUBLE AS value
@@ -186,3 +193,65 @@ ORACLES |= {
 SELECT vec_id, round((s - p) / 64, 6)::DOUBLE AS score FROM (SELECT vec_id, sum(x * x) AS s FROM te GROUP BY 1) JOIN (SELECT vec_id, sum(c * c) AS p FROM pr GROUP BY 1) USING (vec_id)""",
     "recon_pca_losses": f"{_FIT} " + " UNION ALL ".join(f"SELECT {t}::INT AS turn, round(((SELECT sum(v) FROM co WHERE i = k) - (SELECT sum(x.v * co.v * y.v) FROM b{t}_{RANK - 1} x JOIN co ON co.i = x.i JOIN b{t}_{RANK - 1} y ON y.i = co.k AND y.j = x.j)) / 64, 6)::DOUBLE AS loss" for t in range(TURNS + 1)),
 }
+
+
+def mix(x: str) -> str:
+    return f"list_reduce([({x})::BIGINT, {', '.join(map(str, range(kernels.MIXING)))}], lambda a, r: (xor(a, a >> 16) * {kernels.MIXER}) & {kernels.WIDE})"
+
+
+def drawn(n: str) -> str:
+    """The n-th draw of an image and kind, whose hash is the column key."""
+    return mix(f"xor(key, ({n})::BIGINT)")
+
+
+def ranged(n: int, low: str, high: str) -> str:
+    return f"({low} + ({drawn(str(n))} * ({high} - ({low})) >> 32))"
+
+
+def share(n: str) -> str:
+    return f"(({drawn(n)} + 0.5::DOUBLE) / 4294967296::DOUBLE)"
+
+
+def corruption(kind: str) -> str:
+    """image_id, kind, height, width and pixels_sha256 of the 24 x 24 images in that kind."""
+    place = list(kernels.CORRUPTIONS).index(kind)
+    key = f"list_reduce([0::BIGINT, 42, image_id & {kernels.WIDE}, image_id >> 32, {place}], lambda s, v: {mix('xor(s, v)')})"
+    parts = [PIX, f"im AS MATERIALIZED (SELECT image_id, pixels, {key} AS key FROM px)"]
+    cells = "(SELECT unnest(range(3)) AS c), (SELECT unnest(range(24)) AS y), (SELECT unnest(range(24)) AS x)"
+    pixel = lambda y, x: f"pixels[(c * 64 + (({y}) // 3) * 8 + ({x}) // 3 + 1)::INT]::INT"
+    if kind == "text_watermark":
+        ink = [int(r) * 44 + int(c) for r, c in zip(*np.nonzero(kernels.inked(kernels.MARK)), strict=True)]
+        at = lambda shift: f"(x - px - {shift} BETWEEN 0 AND 43 AND y - py - {shift} BETWEEN 0 AND 4 AND list_contains({ink}, (y - py - {shift}) * 44 + x - px - {shift}))"
+        parts.append(f"g AS MATERIALIZED (SELECT *, {ranged(0, '4', '6')} AS px, {ranged(1, '4', '6')} AS py FROM im)")
+        value = f"CASE WHEN {at(0)} THEN 255 WHEN {at(2)} THEN 0 ELSE {pixel('y', 'x')} END"
+    elif kind == "rectangle_annotation":
+        parts.append(f"g0 AS MATERIALIZED (SELECT *, {ranged(0, '0', '8')} AS x0, {ranged(1, '0', '8')} AS y0 FROM im)")
+        parts.append(f"g1 AS MATERIALIZED (SELECT *, {ranged(2, 'greatest(x0 + 1, 12)', '24')} AS x1, {ranged(3, 'greatest(y0 + 1, 12)', '24')} AS y1 FROM g0)")
+        parts.append("g2 AS (SELECT *, greatest(x1 - x0, y1 - y0, 1) AS n FROM g1)")
+        parts.append("g AS MATERIALIZED (SELECT *, list_transform(range(n + 1), lambda t: (y0 + (2 * t * (y1 - y0) + n) // (2 * n)) * 24 + x0 + (2 * t * (x1 - x0) + n) // (2 * n)) AS diagonal FROM g2)")
+        edge = "(x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND NOT (x >= x0 + 2 AND x < greatest(x1 - 1, x0 + 2) AND y >= y0 + 2 AND y < greatest(y1 - 1, y0 + 2)))"
+        value = f"CASE WHEN list_contains(diagonal, y * 24 + x) THEN 255 WHEN {edge} THEN CASE WHEN c = 0 THEN 255 ELSE 0 END ELSE {pixel('y', 'x')} END"
+    elif kind == "border_crop":
+        parts.append(f"g AS MATERIALIZED (SELECT *, greatest(1, floor(24 * (0.08::DOUBLE + 0.1::DOUBLE * {share('0')}))::INT) AS cut FROM im)")
+        value = f"CASE WHEN y < 24 - cut AND x < 24 - cut THEN {pixel('y + cut', 'x + cut')} ELSE 0 END"
+    elif kind == "gaussian_noise":
+        parts.append(f"g AS MATERIALIZED (SELECT *, 18 + 18 * {share('0')} AS sigma FROM im)")
+        i = "2 * ((y * 24 + x) * 3 + c)"
+        value = f"floor(least(greatest({pixel('y', 'x')} + sigma * sqrt(-2 * ln({share(f'1 + {i}')})) * cos(2 * pi() * {share(f'2 + {i}')}), 0), 255))::INT"
+    else:
+        table = lambda name, m: f"{name}(k, n, v) AS (VALUES {', '.join(f'({k}, {n}, {float(m[k, n])!r}::DOUBLE)' for k in range(8) for n in range(8))})"
+        parts += [table("ba", kernels.cosines()), table("st", kernels.steps())]
+        parts.append(f"s0 AS MATERIALIZED (SELECT image_id, c, y // 8 AS ty, x // 8 AS tx, y % 8 AS a, x % 8 AS b, {pixel('y', 'x')} - 128 AS v FROM im, {cells})")
+        turn = lambda old, axis, way: f"SELECT image_id, c, ty, tx, {'ba.' + way + ' AS a, s.b' if axis == 'a' else 's.a, ba.' + way + ' AS b'}, sum(s.v * ba.v) AS v FROM {old} s JOIN ba ON ba.{'n' if way == 'k' else 'k'} = s.{axis} GROUP BY ALL"
+        parts += [f"s1 AS MATERIALIZED ({turn('s0', 'a', 'k')})", f"s2 AS MATERIALIZED ({turn('s1', 'b', 'k')})"]
+        parts.append(f"s3 AS MATERIALIZED (SELECT image_id, c, ty, tx, a, b, floor(s2.v / st.v + {kernels.UP!r}::DOUBLE) * st.v AS v FROM s2 JOIN st ON st.k = a AND st.n = b)")
+        parts += [f"s4 AS MATERIALIZED ({turn('s3', 'a', 'n')})", f"s5 AS MATERIALIZED ({turn('s4', 'b', 'n')})"]
+        parts.append(f"o AS (SELECT image_id, c, ty * 8 + a AS y, tx * 8 + b AS x, floor(least(greatest(v + 128 + {kernels.UP!r}::DOUBLE, 0), 255.5))::INT AS v FROM s5)")
+    if kind != "jpeg_compression":
+        parts.append(f"o AS (SELECT image_id, c, y, x, {value} AS v FROM g, {cells})")
+    return f"WITH {', '.join(parts)} SELECT image_id, '{kind}' AS kind, 24 AS height, 24 AS width, sha256(string_agg(v::VARCHAR, ',' ORDER BY c, y, x)) AS pixels_sha256 FROM o GROUP BY image_id"
+
+
+_SHORT = dict(zip(("artifact_watermark", "artifact_annotation", "artifact_crop", "artifact_noise", "artifact_compression"), kernels.CORRUPTIONS, strict=True))
+ORACLES |= {name: corruption(kind) for name, kind in _SHORT.items()}
+ORACLES["artifact_apply"] = " UNION ALL ".join(f"SELECT * FROM ({corruption(kind)})" for kind in kernels.CORRUPTIONS)

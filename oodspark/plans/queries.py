@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
+from ..functions import kernels
 from ..operators import autoencoder, decisions, gate, images, manifest, metrics, outcomes, patches, reports
 from ..sources import scratch
 from . import views as V
@@ -270,6 +271,11 @@ def image_resize(spark, d):
     return _long(images.resized(pixel_view(spark, d), 4, antialias=False))
 
 
+def image_shrink(spark, d):
+    """The same with the wider filter that shrinking asks for."""
+    return _long(images.resized(pixel_view(spark, d), 3))
+
+
 def image_gray(spark, d):
     return _long(images.grey(pixel_view(spark, d)))
 
@@ -278,11 +284,35 @@ def image_normalize(spark, d):
     return _long(images.normalised(images.scaled(pixel_view(spark, d))))
 
 
-def artifact_apply(spark, d):
-    made = images.corrupted(pixel_view(spark, d))
+def _corrupted(spark, d, *kinds):
+    made = images.corrupted(V.view(spark, d, V.LARGE), kinds)
     return made.select("image_id", "kind", "height", "width", F.sha2(F.array_join(F.transform("pixels", lambda x: x.cast("int").cast("string")), ","), 256).alias("pixels_sha256"))
 
 
+def artifact_apply(spark, d):
+    return _corrupted(spark, d, *kernels.CORRUPTIONS)
+
+
+def artifact_watermark(spark, d):
+    return _corrupted(spark, d, "text_watermark")
+
+
+def artifact_annotation(spark, d):
+    return _corrupted(spark, d, "rectangle_annotation")
+
+
+def artifact_crop(spark, d):
+    return _corrupted(spark, d, "border_crop")
+
+
+def artifact_noise(spark, d):
+    return _corrupted(spark, d, "gaussian_noise")
+
+
+def artifact_compression(spark, d):
+    return _corrupted(spark, d, "jpeg_compression")
+
+
 # patches, banks, neighbours, reconstruction
 
 

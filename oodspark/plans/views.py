@@ -35,6 +35,10 @@ concat(transform(embedding, x -> CAST(round((CAST(x AS DOUBLE) + 1) * 127) AS FL
 PIXELS_ORACLE = """SELECT vec_id AS image_id, CAST(8 AS INT) AS height, CAST(8 AS INT) AS width, CAST(3 AS INT) AS channels,
 list_concat(list_concat(list_transform(embedding, lambda x: CAST(round((CAST(x AS DOUBLE) + 1) * 127) AS FLOAT)), list_transform(embedding, lambda x: CAST(round((CAST(x AS DOUBLE) + 1) * 120) AS FLOAT))), list_transform(embedding, lambda x: CAST(round((CAST(x AS DOUBLE) + 1) * 100) AS FLOAT))) AS pixels FROM {embeddings}"""
 
+#: The same images at three times the size, by repeating pixels.
+LARGE = """SELECT vec_id AS image_id, CAST(24 AS INT) AS height, CAST(24 AS INT) AS width, CAST(3 AS INT) AS channels, transform(sequence(0, 1727),
+i -> CAST(round((CAST(embedding[CAST(floor(i % 576 / 72) * 8 + floor(i % 24 / 3) AS INT)] AS DOUBLE) + 1) * CASE WHEN i < 576 THEN 127 WHEN i < 1152 THEN 120 ELSE 100 END) AS FLOAT)) AS pixels FROM {embeddings}"""
+
 #: Two layers of 64 values: 1 x 8 x 8 and 4 x 4 x 4.
 FEATURES = """SELECT vec_id AS image_id, 'layer2' AS layer, CAST(1 AS INT) AS c, CAST(8 AS INT) AS h, CAST(8 AS INT) AS w, embedding AS values FROM {embeddings}
 UNION ALL SELECT vec_id, 'layer3', CAST(4 AS INT), CAST(4 AS INT), CAST(4 AS INT), embedding FROM {embeddings}"""

@@ -114,6 +114,7 @@ row_number() OVER (PARTITION BY image_id ORDER BY patch_row, patch_col) - 1 AS p
     "heatmap_resize": f"""WITH {NEAR}, q AS (SELECT image_id FROM ps GROUP BY 1 HAVING max(patch_row) = 1 AND max(patch_col) = 1 AND count(*) = 4) SELECT image_id, (z.y * 4 + z.x)::INT AS place, round(sum(patch_score * z.w), 6)::DOUBLE AS value
 FROM ps JOIN q USING (image_id), {weighted(2, 4, 'z')} WHERE patch_row = z.i AND patch_col = z.j GROUP BY image_id, z.y, z.x""",
     "manifest_load": f"WITH {BAD} SELECT split, label, count(*) AS n_rows, count(DISTINCT image_path) AS n_paths FROM m GROUP BY ALL",
+    "manifest_csv_rows": "SELECT row_number() OVER (ORDER BY doc_id) + 1 AS csv_row, doc_id, CASE WHEN doc_id % 3 = 0 THEN 18 + len(doc_id::VARCHAR) ELSE 0 END::INT AS note_chars FROM documents",
     "manifest_violations": f"WITH {BAD} SELECT 'empty' AS kind, (count(*) = 0)::BIGINT AS n_rows FROM f UNION ALL SELECT 'image_path', count(*) FILTER (bad_path) FROM f UNION ALL SELECT 'label', count(*) FILTER (bad_label) FROM f UNION ALL SELECT 'split', count(*) FILTER (bad_split) FROM f",
     "manifest_resolve": f"WITH {GOOD} SELECT doc_id, image_path, label, split, resolved_image_path FROM h",
     "manifest_missing_files": f"WITH {GOOD} SELECT doc_id, resolved_image_path FROM h WHERE resolved_image_path NOT IN (SELECT path FROM {V.oracle(V.LISTING)})",

@@ -212,6 +212,16 @@ def manifest_load(spark, d):
     return sources.read_manifest(spark, path).groupBy("split", "label").agg(F.count("*").alias("n_rows"), F.count_distinct("image_path").alias("n_paths"))
 
 
+def manifest_csv_rows(spark, d):
+    """The numbers that records have in a manifest file with line breaks in its fields."""
+    path = scratch(spark, "manifest")
+    notes = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('a "quoted"\n\nline, '), F.col("doc_id").cast("string"))).otherwise(F.lit(""))
+    rows = raw_manifest(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "image_path", "label", notes.alias("notes"))
+    sources.write_csv(rows.repartitionByRange(1, F.col("doc_id").cast("long")).sortWithinPartitions(F.col("doc_id").cast("long")), path, quote_all=True)  # one file, as manifests are
+    read = sources.read_manifest(spark, path, line_numbers=True)
+    return read.select("csv_row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("notes"), F.lit(0)).alias("note_chars"))
+
+
 def manifest_violations(spark, d):
     return manifest.violations(raw_manifest(spark, d))
 

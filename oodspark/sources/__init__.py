@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import struct
 import tempfile
 import uuid
@@ -9,7 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REQUIRED = ("image_path", "label", "split", "source", "ood_type")
@@ -62,16 +63,57 @@ def released(*tables: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, record (from 1 in its file) and text of the records of CSV files, which may be cut to splits anywhere.
+
+    A line begins a record if the quotes before it in its file are even in number.  Each split counts its quotes, and the
+    lines that begin records, for either parity that it may start with.  Sums over the splits of a file tell which it is and
+    how many records come before.  Only records of several lines are then put together by a shuffle.  Blank
+    lines between records are none; a quote that is never closed is an error.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = lines.withColumn("quotes", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))))
+    upto = Window.partitionBy("file", "split").orderBy("at")  # the lines of one split
+    lines = lines.withColumn("odd", (F.sum("quotes").over(upto) - F.col("quotes")) % 2)
+    begun = lambda odd: F.sum(((F.col("odd") == odd) & (F.col("line") != "")).cast("long"))
+    lines = stored(lines.withColumns({"even_start": begun(0).over(upto), "odd_start": begun(1).over(upto)}), "csv-lines")
+    splits = lines.groupBy("file", "split").agg((F.sum("quotes") % 2).alias("turns"), F.max("even_start").alias("n0"), F.max("odd_start").alias("n1"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = splits.withColumn("start", F.coalesce(F.sum("turns").over(before), F.lit(0)) % 2)
+    splits = splits.withColumn("ahead", F.coalesce(F.sum(F.when(F.col("start") == 0, F.col("n0")).otherwise(F.col("n1"))).over(before), F.lit(0)))
+    splits = stored(splits, "csv-splits")
+    open_ = splits.groupBy("file").agg((F.sum("turns") % 2).alias("left")).filter("left = 1").first()
+    if open_:
+        raise SourceError(f"a quote is never closed: {open_['file']}")
+    rows = lines.join(splits.select("file", "split", "start", "ahead"), ["file", "split"])
+    inside = F.col("odd") != F.col("start")
+    rows = rows.withColumn("record", F.col("ahead") + F.when(F.col("start") == 0, F.col("even_start")).otherwise(F.col("odd_start"))).withColumn("inside", inside)
+    whole = rows.filter("NOT inside AND quotes % 2 = 0 AND line <> ''").select("file", "record", F.col("line").alias("text"))
+    parts = rows.filter("inside OR quotes % 2 = 1").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("split", "at", "line"))).alias("parts"))  # the lines of one record
+    return whole.union(parts.select("file", "record", F.array_join(F.transform("parts", lambda p: p["line"]), "\n")))
+
+
 def read_manifest(spark: SparkSession, path: str, line_numbers: bool = False) -> DataFrame:
     """A manifest with a header line, any column order and extra columns, all as text; a file without any line is an error.
 
-    line_numbers adds csv_row, the number of a record with the header as 1, for a manifest of one file: it is read as one
-    piece, since its fields may hold line breaks.
+    Large files are read by many tasks, though their fields may hold line breaks.  line_numbers adds csv_row, the number of a
+    record in its file with the header as 1.  Files of one manifest may order their columns differently.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    if not df.columns:
+    records = csv_records(spark, path)
+    heads = records.filter("record = 1").groupBy("text").agg(F.count("*").alias("files")).collect()  # a row for each kind of header
+    if not heads:
         raise SourceError(f"manifest is empty: {path}")
-    return df.withColumn("csv_row", F.monotonically_increasing_id() + 2) if line_numbers else df
+    out = None
+    for head in heads:
+        names = next(csv.reader([head["text"]]))
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        rows = records.filter("record > 1")
+        if len(heads) > 1:
+            rows = rows.join(records.filter((F.col("record") == 1) & (F.col("text") == head["text"])).select("file"), "file", "left_semi")
+        rows = rows.select(F.from_csv("text", F.lit(schema), {"escape": '"'}).alias("_r"), "record")
+        rows = rows.select("_r.*", F.col("record").alias("csv_row")) if line_numbers else rows.select("_r.*")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .metrics import cumulative, input_checks, score_counts
@@ -68,6 +70,24 @@ def precedence(explicit: float | None, metrics: dict | None, config: float | Non
     return None if config is None else float(config)
 
 
+def gate_threshold(spark: SparkSession, config: float | None = None, threshold: float | None = None, metrics_path: str | None = None, model_path: str | None = None) -> float | None:
+    """The precedence() of an explicit threshold, a metrics report in a file, and a configured one.
+
+    The report is that of metrics_path, else the one in the folder evaluation beside the model.  A report that isn't there is
+    passed over; one without a threshold value is an error.
+    """
+    if threshold is None and (metrics_path or model_path):
+        path = metrics_path or model_path.rstrip("/").rpartition("/")[0] + "/evaluation/metrics.json"
+        try:
+            text = spark.read.text(path, wholetext=True).first()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        else:
+            return precedence(None, json.loads(text["value"] if text else "{}"), config)
+    return precedence(threshold, None, config)
+
+
 def prediction(score: Column, threshold: Column) -> Column:
     return (score >= threshold).cast("int")
 

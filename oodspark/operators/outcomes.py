@@ -55,8 +55,8 @@ def require_maps(maps: DataFrame, value: str = "patch_score") -> None:
 
 
 def normalisation_record(top: DataFrame, limits: DataFrame, top_k: int, alpha: float = 0.45, cmap: str = "jet") -> DataFrame:
-    """One row beside a heatmap manifest: vmin, vmax, alpha, cmap, top_k and how many cases were chosen."""
-    return limits.select("vmin", "vmax").crossJoin(top.agg(F.count("*").alias("selected_count"))).withColumns({"alpha": F.lit(alpha), "cmap": F.lit(cmap), "top_k": F.lit(top_k)})  # one row each
+    """One row beside a heatmap manifest: vmin, vmax, alpha, cmap, top_k, how many cases were chosen, and the colour bar's file."""
+    return limits.select("vmin", "vmax").crossJoin(top.agg(F.count("*").alias("selected_count"))).withColumns({"alpha": F.lit(alpha), "cmap": F.lit(cmap), "top_k": F.lit(top_k), "colorbar_file": F.lit("colorbar.png")})  # one row each
 
 
 def normalised(maps: DataFrame, limits: DataFrame, keys: Sequence[str] = (), value: str = "patch_score", eps: float = 1e-8) -> DataFrame:

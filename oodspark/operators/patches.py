@@ -44,6 +44,30 @@ def mean_grid(image: np.ndarray) -> dict[str, np.ndarray]:
     return {"layer1": cells, "layer2": cells.mean(axis=1, keepdims=True)}
 
 
+def file_scores(images: DataFrame, extractor: Callable[[np.ndarray], dict[str, np.ndarray]], layer: str, bank: np.ndarray, k: int = 1) -> DataFrame:
+    """images (filename, length, height, width, channels, pixels, error) as filename, length and score, for tables and streams alike.
+
+    The score is that of the farthest patch of one layer, by the mean of its k smallest distances to the bank, an array
+    that is sent to the tasks (see BROADCAST_BYTES).  No image needs another, so a stream keeps no state.  Images that were
+    not decoded have no score.
+    """
+    if bank.nbytes > BROADCAST_BYTES or not 0 < k <= len(bank):
+        raise BankError("the bank must be small enough to be sent and hold k rows")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for h, w, c, p in zip(b["height"], b["width"], b["channels"], b["pixels"], strict=True):
+                if p is None:
+                    out.append(None)
+                    continue
+                grid = extractor(np.asarray(p, dtype=np.float32).reshape(1, int(c), int(h), int(w)))[layer][0]
+                out.append(float(kernels.smallest_distances(grid.reshape(len(grid), -1).T.astype(np.float64), bank, k).mean(axis=1).max()))
+            yield pd.DataFrame({"filename": b["filename"], "length": b["length"], "score": pd.array(out, dtype="Float64")})
+
+    return images.select("filename", "length", "height", "width", "channels", "pixels").mapInPandas(run, "filename string, length long, score double")
+
+
 def embedded(features: DataFrame, layers: Sequence[str]) -> DataFrame:
     """Patches (image_id, patch_row, patch_col, embedding): all layers brought to the grid of the first and joined by channel."""
     if not layers:

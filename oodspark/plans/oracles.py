@@ -256,3 +256,16 @@ def corruption(kind: str) -> str:
 _SHORT = dict(zip(("artifact_watermark", "artifact_annotation", "artifact_crop", "artifact_noise", "artifact_compression"), kernels.CORRUPTIONS, strict=True))
 ORACLES |= {name: corruption(kind) for name, kind in _SHORT.items()}
 ORACLES["artifact_apply"] = " UNION ALL ".join(f"SELECT * FROM ({corruption(kind)})" for kind in kernels.CORRUPTIONS)
+ORACLES["evaluate_reconstruction"] = f"""{_FIT}, te0 AS (SELECT vec_id, i, x FROM ce WHERE role <> 'train'), pr AS (SELECT vec_id, j, sum(x * v) AS c FROM te0 JOIN b{TURNS}_{RANK - 1} USING (i) GROUP BY ALL),
+sc AS (SELECT vec_id, (s - p) / 64 AS score FROM (SELECT vec_id, sum(x * x) AS s FROM te0 GROUP BY 1) JOIN (SELECT vec_id, sum(c * c) AS p FROM pr GROUP BY 1) USING (vec_id)),
+im AS (SELECT image_id, label, ood_type, role, avg(score) AS score FROM sc JOIN pv USING (vec_id) GROUP BY ALL), te AS (SELECT * FROM im WHERE role = 'test'),
+tv AS (SELECT quantile_cont(score, 0.95) AS t FROM im WHERE role = 'val' AND label = 0), {metrics('te').replace('c AS (SELECT *', 'cc AS (SELECT *')}, a AS (SELECT {TRIPLE} FROM cc), b AS (SELECT {CELLS.format(t='t')} FROM te, tv)
+SELECT a.*, b.*, round(t, 6)::DOUBLE AS threshold, '{VALIDATION}' AS threshold_source FROM a, b, tv"""
+ORACLES["gate_files"] = f"""WITH {PIX}, fe AS MATERIALIZED (SELECT image_id, y, x, list((pixels[ch * 64 + y * 16 + x * 2 + 1] + pixels[ch * 64 + y * 16 + x * 2 + 2] + pixels[ch * 64 + y * 16 + x * 2 + 9] + pixels[ch * 64 + y * 16 + x * 2 + 10])::DOUBLE / 4 ORDER BY ch) AS v
+FROM px, (SELECT unnest(range(3)) AS ch), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x) GROUP BY ALL),
+ne AS (SELECT a.image_id, a.y, a.x, min(list_distance(a.v, b.v)) AS s FROM fe a, fe b WHERE b.image_id % 5 = 0 GROUP BY ALL), sc AS (SELECT image_id, max(s) AS s FROM ne GROUP BY 1)
+SELECT image_id || '.png' AS filename, CASE WHEN bad THEN 'ERROR' WHEN s >= 5 THEN '{VERDICTS[REJECT]}' ELSE '{VERDICTS[ACCEPT]}' END AS verdict, CASE WHEN NOT bad THEN round(s, 4)::DOUBLE END AS score, CASE WHEN NOT bad THEN 5::DOUBLE END AS threshold,
+CASE WHEN NOT bad THEN (s >= 5)::INT END AS prediction, CASE WHEN NOT bad THEN CASE WHEN s >= 5 THEN '{REJECT}' ELSE '{ACCEPT}' END END AS decision, CASE WHEN bad THEN 'could not be decoded' END AS warning, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status
+FROM (SELECT *, image_id % 50 = 0 AS bad FROM sc)"""
+ORACLES["heatmap_record"] = f"""WITH {NEAR}, {TOP} SELECT (SELECT round(min(patch_score), 6)::DOUBLE FROM ps) AS vmin, (SELECT round(CASE WHEN max(patch_score) <= min(patch_score) THEN min(patch_score) + 1 ELSE max(patch_score) END, 6)::DOUBLE FROM ps) AS vmax,
+count(*) AS selected_count, 0.45::DOUBLE AS alpha, 'jet' AS cmap, 5 AS top_k, 'colorbar.png' AS colorbar_file FROM top"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..functions import kernels
-from ..operators import autoencoder, decisions, gate, images, manifest, metrics, outcomes, patches, reports
+from ..operators import autoencoder, decisions, detectors, gate, images, manifest, metrics, outcomes, patches, reports
 from ..sources import scratch
 from . import views as V
 
@@ -137,8 +138,14 @@ def gate_decisions(spark, d):
     return rounded(decisions.decided(rows, limit).drop("length"))
 
 
+EXPORT = "filename string, verdict string, score double, threshold double, prediction int, decision string, warning string"
+
+
 def gate_batch(spark, d):
-    return rounded(gate.gated(gate_view(spark, d), F.lit(10.0)))
+    """The gate's table as it is exported and read again; its status is told by the verdict."""
+    path = scratch(spark, "export")
+    sources.export_csv(gate.gated(gate_view(spark, d), F.lit(10.0)).drop("status"), path)
+    return rounded(sources.read_export(spark, path, EXPORT).withColumn("status", F.when(F.col("verdict") == "ERROR", "error").otherwise("ok")))
 
 
 def gate_counts(spark, d):
@@ -151,6 +158,22 @@ def _stream(spark, d):
     return spark.readStream.schema("filename string, length long, score double").parquet(source)
 
 
+def gate_files(spark, d):
+    """Image files that arrive in two lots, broken ones among them, through a stream that is stopped and taken up again between them."""
+    folder, out, state, view = scratch(spark, "arriving"), scratch(spark, "gate-out"), scratch(spark, "gate-state"), pixel_view(spark, d)
+    features = patches.extracted(view.filter("image_id % 5 = 0"), patches.mean_grid, ["layer1"])
+    rows = patches.exploded(features).select("embedding").toLocalIterator()
+    bank = np.array([r["embedding"] for r in rows])  # file_scores() checks its size
+    for lot in (0, 1):
+        arrived = view.filter(f"image_id % 2 = {lot}").withColumn("image_id", F.concat(F.col("image_id").cast("string"), F.lit(".png")))
+        broken = F.col("image_id").rlike("(00|50)\\.png$") | (F.col("image_id") == "0.png")
+        sources.write_images(arrived.filter(~broken), f"{folder}/images-{lot}")
+        sources.write_files(arrived.filter(broken).select(F.col("image_id").alias("name"), F.lit("no image").cast("binary").alias("data")), f"{folder}/broken-{lot}")
+        files = patches.file_scores(streaming.file_stream(spark, folder), patches.mean_grid, "layer1", bank)
+        streaming.run_available(streaming.gate_stream(files, F.lit(5.0)), out, state)
+    return rounded(spark.read.parquet(out), 4)
+
+
 def gate_stream(spark, d):
     out = scratch(spark, "gate-out")
     streaming.run_available(streaming.gate_stream(_stream(spark, d), F.lit(10.0)), out, scratch(spark, "gate-state"))
@@ -184,6 +207,14 @@ def heatmap_normalization(spark, d):
     return rounded(outcomes.map_limits(scored_patches(spark, d), ["role"]))
 
 
+def heatmap_record(spark, d):
+    """What is written beside the heat maps, through its JSON file."""
+    path = scratch(spark, "record")
+    top = outcomes.top_outcomes(scores(spark, d), F.lit(THRESHOLD), 5)
+    sources.write_report(outcomes.normalisation_record(top, outcomes.map_limits(scored_patches(spark, d)), 5), path)
+    return rounded(spark.read.schema("vmin double, vmax double, selected_count long, alpha double, cmap string, top_k int, colorbar_file string").json(path))
+
+
 def heatmap_normalize(spark, d):
     maps = scored_patches(spark, d)
     return rounded(outcomes.normalised(maps, outcomes.map_limits(maps, ["role"]), ["role"]).select("vec_id", "image_id", "normalised"))
@@ -432,12 +463,12 @@ def ablation_coreset(spark, d):
 
 
 def evaluate_end_to_end(spark, d):
-    s = sources.stored(scored_images(spark, d), "scores")
-    thr = decisions.resolved_threshold(None, s.filter("role = 'val'"), s.filter("role = 'test' AND label = 0"))
-    t = thr.first()
-    test = s.filter("role = 'test'")
-    m = metrics.ranking_metrics(test).crossJoin(metrics.confusion(test, F.lit(t["threshold"])))  # one row each
-    return rounded(m.withColumns({"threshold": F.lit(t["threshold"]), "threshold_source": F.lit(t["threshold_source"])}))
+    return rounded(detectors.evaluated(detectors.Neighbours(bank_of(spark, d)), patch_view(spark, d).filter("role <> 'train'")))
+
+
+def evaluate_reconstruction(spark, d):
+    """The same evaluation with the other detector."""
+    return rounded(detectors.evaluated(detectors.Reconstruction(_autoencoder(spark, d)), patch_view(spark, d).filter("role <> 'train'")))
 
 
 # reports

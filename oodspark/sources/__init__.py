@@ -63,6 +63,25 @@ def released(*tables: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
+def export_csv(df: DataFrame, path: str) -> None:
+    """Write df as CSV: every value quoted, quotes doubled, nulls empty; readers see the old table or the whole new one.
+
+    The table is written beside its place and then renamed, so a job that fails leaves path as it was.
+    """
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.csv(beside, header=True, quoteAll=True, escape='"', nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.delete(place(path), True)
+    if not files.rename(place(beside), place(path)):
+        raise SourceError(f"{beside} could not be renamed to {path}")
+
+
+def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of export_csv(); an empty text comes back as null."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', emptyValue=None, mode="FAILFAST")
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """file, record (from 1 in its file) and text of the records of CSV files, which may be cut to splits anywhere.
 
@@ -155,7 +174,17 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
     Files that can't be decoded stay, with an error.  Grey images get three equal channels.
     """
-    df = spark.read.format("image").option("recursiveFileLookup", True).load(path).select("image.*")
+    return decoded(spark.read.format("image").option("recursiveFileLookup", True).load(path))
+
+
+#: What the image reader gives, for streams.
+IMAGE = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+
+
+def decoded(files: DataFrame, length: str | None = None) -> DataFrame:
+    """read_images() of a table or stream that the image reader gives, with a column of its lengths, if there is one."""
+    more = [length] if length else []
+    df = files.select("image.*", *more)
 
     def channels(batches):
         for b in batches:
@@ -170,10 +199,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                         pixels.append(None)
                 bad = [x is None for x in pixels]
                 columns = [part.column(0), part.column(1), part.column(2), pa.array([None if x else 3 for x in bad], pa.int32()), pa.array(pixels, pa.list_(pa.float32())), pa.array(["not a supported image" if x else None for x in bad], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["image_path", "height", "width", "channels", "pixels", "error"])
+                yield pa.RecordBatch.from_arrays(columns + part.columns[5:], names=["image_path", "height", "width", "channels", "pixels", "error", *more])
 
-    rows = df.select(F.col("origin").alias("image_path"), "height", "width", "nChannels", "data")
-    return rows.mapInArrow(channels, "image_path string, height int, width int, channels int, pixels array<float>, error string")
+    rows = df.select(F.col("origin").alias("image_path"), "height", "width", "nChannels", "data", *[F.col(c).cast("long").alias(c) for c in more])
+    return rows.mapInArrow(channels, "image_path string, height int, width int, channels int, pixels array<float>, error string" + "".join(f", {c} long" for c in more))
 
 
 #: Files of a run: its report, and the configurations.

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.gate import gate_counts, gated
+from ..sources import IMAGE, decoded
 
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length and content of image files as they arrive in a folder."""
-    return spark.readStream.format("binaryFile").load(folder)
+    """filename (the name of the folder name=... of write_files(), else of the file), length, height, width, channels, pixels and error of image files as they arrive below a folder."""
+    files = spark.readStream.format("image").schema(IMAGE).option("recursiveFileLookup", True).load(folder)
+    rows = decoded(files.withColumn("_n", F.col("_metadata.file_size")), "_n")
+    name = F.regexp_extract("image_path", "(?:/name=([^/]*)/[^/]*|/([^/]*))$", 1)
+    return rows.select(F.url_decode(F.when(name != "", name).otherwise(F.regexp_extract("image_path", "([^/]*)$", 1))).alias("filename"), F.col("_n").alias("length"), "height", "width", "channels", "pixels", "error")
 
 
 def gate_stream(files: DataFrame, threshold: Column) -> DataFrame:

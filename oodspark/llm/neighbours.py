@@ -10,6 +10,8 @@ vectors without cluster structure need nearly half of each curve (see README), c
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -62,14 +64,10 @@ def curve_keys(v: np.ndarray, curves: int, directions: int, seed: int = SEED) ->
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Distinct vec_id and embedding of the rows that can take part: id not null, vector neither null, zero nor of other than finite components.
-
-    Of vectors of several lengths, those of the most common length (the smallest of these) take part.
-    """
+    """Distinct vec_id and embedding of the rows that can take part: id not null, vector neither null, zero nor of other than finite components."""
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)))
-    length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("embedding") == (length["n"] if length else 0)).distinct()
+    return rows.distinct()
 
 
 def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directions: int = DIRECTIONS, blocks: int = BLOCKS, looked_at: int = LOOKED_AT) -> DataFrame:
@@ -78,8 +76,20 @@ def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directio
     Columns vec_id and embedding are read.  Ties go to the smaller vec_id; fewer than k rows if there are fewer
     candidates.  Rows that share an id count as one candidate, by the best of them, and are no candidates of each other.
     looked_at >= blocks makes the search exact.  Blocks are cut by ids, not rows, and each is to have k + 1 ids at least,
-    so small tables are searched whole and an id of many rows doesn't narrow the window.
+    so small tables are searched whole and an id of many rows doesn't narrow the window.  Vectors of different lengths
+    have no inner product: those of each length are searched among themselves, and an id's rows of all lengths are one
+    candidate.
     """
+    rows = usable(vectors)
+    lengths = sorted(r["n"] for r in rows.select(F.size("embedding").alias("n")).distinct().collect())  # a row for each length
+    found = [nearest_of_length(rows.filter(F.size("embedding") == n) if len(lengths) > 1 else rows, is_query, k, curves, directions, blocks, looked_at) for n in lengths or [0]]
+    found = reduce(DataFrame.union, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def nearest_of_length(vectors: DataFrame, is_query, k: int, curves: int, directions: int, blocks: int, looked_at: int) -> DataFrame:
+    """query_id, vec_id and score of at least the k best found on all curves, each pair once for each group that found it."""
 
     def keyed(batches):
         for b in batches:
@@ -88,7 +98,7 @@ def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directio
                 yield b.assign(keys=list(curve_keys(v, curves, directions)))
 
     kind = dict(vectors.dtypes)["embedding"]
-    rows = stored(usable(vectors).mapInPandas(keyed, f"vec_id long, embedding {kind}, keys array<long>"), "ann-keys")
+    rows = stored(vectors.mapInPandas(keyed, f"vec_id long, embedding {kind}, keys array<long>"), "ann-keys")
     on = rows.select("vec_id", "embedding", F.posexplode("keys").alias("curve", "key"))
     blocks = max(1, min(blocks, rows.select("vec_id").distinct().count() // (k + 1)))  # so few ids that all are wanted are one block
     at = [i / blocks for i in range(1, blocks)] or [1.0]
@@ -136,10 +146,7 @@ def nearest(vectors: DataFrame, is_query, k: int, curves: int = CURVES, directio
                 out.append(pd.DataFrame({"query_id": own, "vec_id": ids[found][first], "score": exact[first]}))
         return pd.concat(out, ignore_index=True)
 
-    found = asked.groupBy("c", "b", "p", "l").cogroup(there.groupBy("curve", "block", "part", "lot")).applyInPandas(ranked, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return asked.groupBy("c", "b", "p", "l").cogroup(there.groupBy("curve", "block", "part", "lot")).applyInPandas(ranked, "query_id long, vec_id long, score double")
 
 
 def op6_hilbert_neighbours(spark, sf_dir):

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..sources import stored
 
-#: Aim for distinct scores in a value range; running sums go range by range.
-RANGE_SCORES = 200_000
+#: Aim for distinct scores in a value range, and most ranges; running sums go range by range.
+RANGE_SCORES, MOST_RANGES = 200_000, 1024
 
 
 class MetricInputError(ValueError):
@@ -69,7 +69,7 @@ def cumulative(counts: DataFrame, keys: Sequence[str] = (), cuts: Sequence[float
     """
     counts = stored(counts, "score-counts") if keep else counts
     if cuts is None:
-        ranges = -(-counts.count() // RANGE_SCORES)
+        ranges = min(-(-counts.count() // RANGE_SCORES), MOST_RANGES)
         cuts = sorted(set(counts.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
     rows = counts.withColumn("_range", range_of(F.col("score"), cuts))
     down = Window.partitionBy(*keys, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import csv
 import struct
 import tempfile
+import threading
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,21 @@ class SourceError(ValueError):
     """A source that can't be read as what it should be."""
 
 
+_handed_out = threading.local()
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Delete, when the block ends, all that scratch() handed out to this thread in it: for work whose results are written or taken by then."""
+    outer, _handed_out.paths = getattr(_handed_out, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _handed_out.paths:
+            _deleted(spark, path)
+        _handed_out.paths = outer
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share; a folder of our own only where the session names none and runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -35,32 +52,56 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise SourceError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="oodspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/oodspark-{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/oodspark-{name}-{uuid.uuid4().hex}"
+    if getattr(_handed_out, "paths", None) is not None:
+        _handed_out.paths.append(path)
+    return path
 
 
 #: Spark's own setting: the shuffle files of an execution go when it ends.
 CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _cleaning = threading.Lock(), {}
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """The setting holds while any thread is in the block, and is what it was before once the last one leaves."""
+    with _lock:
+        count, before = _cleaning.get(id(spark), (0, None))
+        if not count:
+            before = spark.conf.get(CLEANED)
+            spark.conf.set(CLEANED, "true")
+        _cleaning[id(spark)] = (count + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            count, before = _cleaning[id(spark)]
+            _cleaning[id(spark)] = (count - 1, before)
+            if count == 1:
+                spark.conf.set(CLEANED, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(CLEANED)
-    spark.conf.set(CLEANED, "true")
-    try:
+    path = scratch(spark, name)
+    with _cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANED, before)
     made = spark.read.schema(df.schema).parquet(path)
     made._stored_at = path
     return made
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def released(*tables: DataFrame) -> None:
     """Delete tables of stored() that nothing reads any more."""
     for df in tables:
-        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+        _deleted(df.sparkSession, df._stored_at)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -72,7 +113,7 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.csv(beside, header=True, quoteAll=True, escape='"', nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     place = spark._jvm.org.apache.hadoop.fs.Path
     files = place(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    files.delete(place(path), True)
+    _deleted(spark, path)
     if not files.rename(place(beside), place(path)):
         raise SourceError(f"{beside} could not be renamed to {path}")
 

@@ -34,10 +34,21 @@ _handed_out = threading.local()
 
 @contextmanager
 def tidy(spark: SparkSession):
-    """Delete, when the block ends, all that scratch() handed out to this thread in it: for work whose results are written or taken by then."""
+    """Delete, when the block ends, all that scratch() handed out to this thread in it: for work whose results are written or taken by then.
+
+    The block gets a function that takes a table of stored() and gives it back, to be kept for as long as the scope around
+    this one, if there is one, lasts.
+    """
     outer, _handed_out.paths = getattr(_handed_out, "paths", None), []
+
+    def keep(table: DataFrame) -> DataFrame:
+        _handed_out.paths.remove(table._stored_at)
+        if outer is not None:
+            outer.append(table._stored_at)
+        return table
+
     try:
-        yield
+        yield keep
     finally:
         for path in _handed_out.paths:
             _deleted(spark, path)

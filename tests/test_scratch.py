@@ -29,6 +29,22 @@ def test_tidy(spark):
     assert held(spark) == before and kept.count() == 100 and row["auroc"] is not None
 
 
+def test_kept(spark):
+    """A table that a block keeps lives until the scope around it ends; without one it stays."""
+    before = held(spark)
+    with sources.tidy(spark):
+        with sources.tidy(spark) as keep:
+            sources.stored(spark.range(3), "goes")
+            one = keep(sources.stored(spark.range(5), "stays"))
+        assert one.count() == 5 and len(held(spark) - before) == 1
+    assert held(spark) == before
+    with sources.tidy(spark) as keep:
+        one = keep(sources.stored(spark.range(7), "stays"))
+    assert one.count() == 7
+    sources.released(one)
+    assert held(spark) == before
+
+
 def test_concurrent_writes(spark):
     """The session's setting is what it was before, whichever of several writers ends last."""
     was = spark.conf.get(sources.CLEANED)

@@ -9,11 +9,13 @@ threshold lets the sets differ in tokens, which no linked pair fails.  What is l
 together.  Within these clusters links are verified exactly, as many as connect all that is linked.
 
 Large lists and clusters are mostly groups of copies, so all their sets are first held against a few pivots, one row for
-each set and pivot.  Only what no pivot connects is then met with the others, block by block.
+each set and pivot.  Only what no pivot connects is then met with the others, block by block, and of these only with sets of about its own size.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import keyed, mixed, text_key
-from ._shared import dropped, stored
+from ._shared import released, stored, tidy
 from .components import components
 from .substrings import Words
 
 #: Words in an n-gram, and least similarity as a ratio of whole numbers.
 GRAM, SIMILAR, OF = 3, 90, 100
-#: Bits of the count sketch, at least and at most: a slot for each row between these, so 128 MB at most.
+#: Bits of the count sketch, at least and at most: a slot for each row between these, so 64 MB at most.
 SKETCH_BITS = (19, 24)
+#: Slots of the sketch that are kept and added up together.
+CHUNK = 1 << 14
 #: Most tokens a pair may be asked to share, and the cost of a verification, for each token, against that of a list entry.
 LONGEST, VERIFY = 6, 0.1
 #: A token in more sets has its list taken as a whole.
@@ -37,6 +41,8 @@ WIDE = 24
 BLOCK, LIST_BLOCK, PIVOTS = 512, 1024, 3
 #: Rows of one component are dealt to so many keys when they learn its smallest id.
 SALTS = 32
+#: Width of a band of sizes, in steps by which the sizes of linked sets may differ.
+BAND = 4
 #: Words of 64 bits in a parity sketch: each token flips one bit.
 PARITY = 16
 BITS = [f"p{i}" for i in range(PARITY)]
@@ -77,42 +83,54 @@ def sketch_bits(rows: int) -> int:
 
 
 def described(docs: DataFrame, gram: int, slots_bits: int) -> DataFrame:
-    """id, key, n (size of the set), sig and parity sketch p0, p1 ... of each row of keyed(docs); and with null id, a count sketch of the tokens for each task."""
+    """id, key, n (size of the set), sig and parity sketch p0, p1 ... of each row of keyed(docs); and with null id, a task's count sketch of the tokens: a row (chunk, counts) for each chunk of slots that it counted anything in."""
 
     def run(batches):
-        grams, sketch = Grams(gram), np.zeros(1 << slots_bits, dtype=np.int64)
+        grams, sketch = Grams(gram), np.zeros(1 << slots_bits, dtype=np.int32)
         for b in batches:
-            n, sig, odd, slots = [], [], [np.zeros((0, PARITY), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            n, sig, odd = [], [], [np.zeros((0, PARITY), dtype=np.int64)]
             for t in b["text"]:
                 s = grams(t)
                 n.append(len(s))
                 sig.append(signature(s))
                 odd.append(parity(s)[None])
-                slots.append((s >> np.uint64(64 - slots_bits)).astype(np.int64))
-            sketch += np.bincount(np.concatenate(slots), minlength=len(sketch))
+                np.add.at(sketch, (s >> np.uint64(64 - slots_bits)).astype(np.int64), 1)
             bits = np.concatenate(odd)
-            yield pd.DataFrame({"id": b["id"], "key": b["key"], "n": n, "sig": sig, "sketch": None} | {p: bits[:, i] for i, p in enumerate(BITS)})
-        yield pd.DataFrame({"id": [None], "key": [0], "n": [0], "sig": [0]} | dict.fromkeys(BITS, 0) | {"sketch": [np.minimum(sketch, 2**31 - 1).astype("<i4").tobytes()]})
+            yield pd.DataFrame({"id": b["id"], "key": b["key"], "n": n, "sig": sig, "chunk": None, "counts": None} | {p: bits[:, i] for i, p in enumerate(BITS)})
+        chunks = sketch.reshape(-1, CHUNK)
+        seen = np.flatnonzero(chunks.any(axis=1))
+        yield pd.DataFrame({"id": None, "key": 0, "n": 0, "sig": 0, "chunk": seen, "counts": [packed(chunks[c]) for c in seen]} | dict.fromkeys(BITS, 0), index=range(len(seen)))
+
+    return docs.mapInPandas(run, "id long, key long, n int, sig long, chunk int, counts binary, " + ", ".join(f"{p} long" for p in BITS))
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes; most are small, so few bits are left of each."""
+    return zlib.compress(np.minimum(counts, 2**31 - 1).astype("<i4").tobytes(), 1)
 
-    return docs.mapInPandas(run, "id long, key long, n int, sig long, sketch binary, " + ", ".join(f"{p} long" for p in BITS))
 
+def unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), dtype="<i4")
 
-def summed(sketches: DataFrame) -> np.ndarray:
-    """Sum of the count sketches, added up in two rounds of tasks before the driver adds the last four."""
+
+def summed(sketches: DataFrame, slots_bits: int) -> np.ndarray:
+    """The count sketch of all tasks, from their rows (chunk, counts).
+
+    The rows of a chunk go to one task, which adds them up one by one and holds nothing but the sums.  The driver gets one
+    row for each chunk, 2 ** slots_bits counts in all, and lays them side by side.
+    """
 
     def add(batches):
-        total = None
+        totals = {}
         for b in batches:
-            for x in b.column(0):
-                x = np.frombuffer(x.as_buffer(), dtype="<i4").astype(np.int64)
-                total = x if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["sketch"])
+            for chunk, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                totals[chunk] = totals.get(chunk, 0) + unpacked(counts.as_py()).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([packed(t) for t in totals.values()], pa.binary())], names=["chunk", "counts"])
 
-    for tasks in (max(4, int(sketches.count() ** 0.5)), 4):
-        sketches = sketches.repartition(tasks).mapInArrow(add, "sketch binary")
-    rows = [np.frombuffer(r["sketch"], dtype="<i4").astype(np.int64) for r in sketches.collect()]  # four rows
-    return sum(rows[1:], rows[0]) if rows else np.zeros(1 << SKETCH_BITS[0], dtype=np.int64)
+    out = np.zeros((-(-(1 << slots_bits) // CHUNK), CHUNK), dtype=np.int32)
+    for r in sketches.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():  # a row for each chunk
+        out[r["chunk"]] = unpacked(r["counts"])
+    return out.reshape(-1)
 
 
 def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch, rows: int) -> DataFrame:
@@ -175,6 +193,18 @@ def held_against(rows: DataFrame, key: str, pivots: DataFrame, block: int) -> Da
     return salted.join(copies, [key, "_salt"]).drop("_salt")
 
 
+def banded(rows: DataFrame, key: str, n, similar: int, of: int) -> DataFrame:
+    """rows, with band, a value for each key and band of sizes n: two sets of one key that sizes let be linked share a band.
+
+    A band is BAND times as wide, in logarithms, as the sizes of linked sets may differ; sets that larger ones of the next
+    band may be linked with are in that one too.
+    """
+    wide = float(np.log(of / similar)) * (1 + 1e-9)
+    at = F.log(n.cast("double")) / (BAND * wide) if similar < of else n.cast("double")
+    over = F.floor(at + 1 / BAND) if similar < of else F.floor(at)
+    return rows.withColumn("band", F.explode(F.array_distinct(F.array(F.floor(at), over)))).withColumn("band", F.concat_ws("/", F.col(key), F.col("band")))
+
+
 def meetings(rows: DataFrame, key: str, block: int) -> DataFrame:
     """rows (with key, sig and main) in the cells where they meet: any two of one key do, unless both are main.
 
@@ -192,8 +222,8 @@ def meetings(rows: DataFrame, key: str, block: int) -> DataFrame:
 def listed(many: DataFrame, similar: int, of: int) -> DataFrame:
     """a and b: pairs enough to connect, list by list, all sets that sizes and parity sketches let be linked.
 
-    All sets of a list are held against its first one; those that may not be linked with it meet the others in cells of two
-    blocks.
+    All sets of a list are held against its first one; those that may not be linked with it meet the others of their band of
+    sizes in cells of two blocks.
     """
     rows = many.withColumnRenamed("df", "members")
     apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"a{p}"))) for p in BITS), F.lit(0))
@@ -202,7 +232,8 @@ def listed(many: DataFrame, similar: int, of: int) -> DataFrame:
     pivots = rows.groupBy("token").agg(F.min(F.struct("sig", "n", *BITS)).alias("one"), F.first("members").alias("members"))
     pivots = pivots.select("token", "members", F.col("one.sig").alias("a"), F.col("one.n").alias("na"), *[F.col(f"one.{p}").alias(f"a{p}") for p in BITS])
     rows = stored(held_against(rows, "token", pivots, LIST_BLOCK).select("token", "sig", "n", *BITS, "a", near.alias("main")), "jaccard-lists-pivots")
-    met = stored(meetings(rows.drop("a"), "token", LIST_BLOCK), "jaccard-lists-cells")
+    bands = banded(rows.drop("a"), "token", F.col("n"), similar, of)
+    met = stored(meetings(bands, "band", LIST_BLOCK).select("cell", "n", "sig", "main", *BITS), "jaccard-lists-cells")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -304,7 +335,7 @@ def links_of(sets: DataFrame, similar: int, of: int) -> DataFrame:
 
     A cluster of up to BLOCK sets is one cell.  The sets of a larger one are held against PIVOTS pivots, each of them a set
     that the pivots before it don't reach; what the links to pivots join with the first pivot needs no more verification
-    among itself.
+    among itself.  The others meet all sets of their band of sizes.
     """
     small = sets.filter(F.col("members") <= BLOCK).select("sig", F.lit(False).alias("main"), F.concat_ws(":", F.lit("c"), "label").alias("cell"), "grams")
     large = sets.filter(F.col("members") > BLOCK)
@@ -327,10 +358,37 @@ def links_of(sets: DataFrame, similar: int, of: int) -> DataFrame:
     main = F.coalesce(F.col("part"), F.col("sig")) == F.col("first")
     firsts = firsts.join(large.groupBy("label").agg(F.first("members").alias("members")), "label")
     told = held_against(large.join(parts, "sig", "left"), "label", firsts, BLOCK).select("label", "sig", "grams", main.alias("main"))
-    met = stored(meetings(told, "label", BLOCK).select("sig", "main", "cell", "grams"), "jaccard-cells")
+    bands = banded(told, "label", F.size("grams"), similar, of)
+    met = stored(meetings(bands, "band", BLOCK).select("sig", "main", "cell", "grams"), "jaccard-cells")
     return stored(found.union(links.select("a", "b")).union(verified(met, similar, of)), "jaccard-links")
 
 
+def clustered(rows: DataFrame, told: DataFrame, gram: int, similar: int, of: int, sketch) -> DataFrame:
+    """node (a sig) and label: the clusters of sets that are to be looked at together.  What it stores on the way is deleted."""
+    with tidy(rows.sparkSession) as keep:
+        entries = stored(prefixes(rows, gram, similar, of, sketch, told.count()), "jaccard-prefixes")
+        shared = stored(entries.groupBy("token").agg((F.min("sig") != F.max("sig")).alias("several")).filter("several").select("token"), "jaccard-tokens")
+        lists = stored(entries.join(shared, "token").groupBy("token", "sig").agg(*[F.min(c).alias(c) for c in ("n", "l", "level")]), "jaccard-lists")
+        released(entries, shared)
+        counts = lists.groupBy("token").agg(F.count("*").alias("df"))
+        odd = told.groupBy("sig").agg(*[F.first(p).alias(p) for p in BITS])
+        together = looked_at(stored(lists.join(counts, "token").join(odd, "sig"), "jaccard-counted"), similar, of)
+        return keep(components(together, "jaccard-clusters"))
+
+
+def labelled(rows: DataFrame, told: DataFrame, clusters: DataFrame, gram: int, similar: int, of: int) -> DataFrame:
+    """sig and label of the sets that have links, verified within the clusters.  What it stores on the way is deleted."""
+    with tidy(rows.sparkSession) as keep:
+        one = told.groupBy("sig").agg(F.min(F.struct("id", "key")).alias("one"))
+        named = stored(clusters.join(one, F.col("node") == F.col("sig")).select("sig", "one.*", "label"), "jaccard-named")
+        members = named.groupBy("label").agg(F.count("*").alias("members"))
+        text = rows.join(named.join(members, "label").hint("merge"), ["id", "key"]).select("sig", "label", "members", "text")
+        if told.count() != told.select("id", "key").distinct().count():  # rows that repeat each other give one set
+            text = text.dropDuplicates(["sig"])
+        links = links_of(stored(sets_of(text, gram), "jaccard-grams"), similar, of)
+        return keep(components(links, "jaccard-linked")).withColumnRenamed("node", "sig")
+
+
 def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int = OF) -> DataFrame:
     """id, key (hash of the text), n_shingles, component_id and first of every row of docs (doc_id, text), similarity being at least similar / of.
 
@@ -342,31 +400,16 @@ def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int =
     """
     spark = docs.sparkSession
     rows = keyed(docs)
-    told = stored(described(rows, gram, sketch_bits(rows.count())), "jaccard-sets")
-    sketch = spark.sparkContext.broadcast(summed(told.filter("sketch IS NOT NULL").select("sketch")))  # of 2 ** SKETCH_BITS[1] slots at most
-    told = told.filter("id IS NOT NULL").drop("sketch")
-
-    entries = stored(prefixes(rows, gram, similar, of, sketch, told.count()), "jaccard-prefixes")
-    shared = stored(entries.groupBy("token").agg((F.min("sig") != F.max("sig")).alias("several")).filter("several").select("token"), "jaccard-tokens")
-    lists = stored(entries.join(shared, "token").groupBy("token", "sig").agg(*[F.min(c).alias(c) for c in ("n", "l", "level")]), "jaccard-lists")
-    dropped(entries, shared)
-    counts = lists.groupBy("token").agg(F.count("*").alias("df"))
-    odd = told.groupBy("sig").agg(*[F.first(p).alias(p) for p in BITS])
-    together = looked_at(stored(lists.join(counts, "token").join(odd, "sig"), "jaccard-counted"), similar, of)
-    clusters = components(together, "jaccard-clusters")
-
-    one = told.groupBy("sig").agg(F.min(F.struct("id", "key")).alias("one"))
-    named = stored(clusters.join(one, F.col("node") == F.col("sig")).select("sig", "one.*", "label"), "jaccard-named")
-    members = named.groupBy("label").agg(F.count("*").alias("members"))
-    text = rows.join(named.join(members, "label").hint("merge"), ["id", "key"]).select("sig", "label", "members", "text")
-    if told.count() != told.select("id", "key").distinct().count():  # rows that repeat each other give one set
-        text = text.dropDuplicates(["sig"])
-    links = links_of(stored(sets_of(text, gram), "jaccard-grams"), similar, of)
-    labels = components(links, "jaccard-links").withColumnRenamed("node", "sig")
-
-    own = F.when(F.col("n") > 0, F.col("sig"))
-    full = told.select("id", "key", "n", own.alias("node")).join(labels.withColumnRenamed("sig", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    full = stored(full, "jaccard-labelled")
+    with tidy(spark) as keep:
+        bits = sketch_bits(rows.count())
+        made = stored(described(rows, gram, bits), "jaccard-sets")
+        sketch = spark.sparkContext.broadcast(summed(made.filter("id IS NULL").select("chunk", "counts"), bits))  # of 2 ** SKETCH_BITS[1] slots at most
+        told = made.filter("id IS NOT NULL").drop("chunk", "counts")
+        clusters = clustered(rows, told, gram, similar, of, sketch)
+        labels = labelled(rows, told, clusters, gram, similar, of)
+        own = F.when(F.col("n") > 0, F.col("sig"))
+        full = told.select("id", "key", "n", own.alias("node")).join(labels.withColumnRenamed("sig", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        full = keep(stored(full, "jaccard-labelled"))
     null = F.col("id") == -(2**63)
     shown = F.when(~null, F.col("id"))
     least = full.filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("rows"), F.min(shown).alias("least"), F.min(F.struct(null.alias("null"), "id", "key")).alias("head"))

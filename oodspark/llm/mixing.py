@@ -87,7 +87,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     A row that the budget cuts keeps its first words, joined by one space.  Rows without words take no part in the
     budget; they are kept once.
     """
-    row = F.xxhash64("doc_id", "text", "source").alias("_row")
+    # two hashes and the length: what tells rows apart
+    row = F.struct(F.xxhash64("doc_id", "text", "source").alias("a"), F.xxhash64(F.lit("b"), "source", "text", "doc_id").alias("b"), F.length("text").alias("n")).alias("_row")
     sized = stored(sizes(docs.select("doc_id", "source", "text", row), "_row"), "mix")
     rows = mixed(sized, **how).groupBy("_row").agg(F.first("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_times"))
     # rows equal in id, text and source share their words evenly, the remainder going to the first of them

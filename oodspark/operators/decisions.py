@@ -93,10 +93,13 @@ def prediction(score: Column, threshold: Column) -> Column:
 
 
 def decided(scored: DataFrame, threshold: Column) -> DataFrame:
-    """scored with threshold, prediction, decision, verdict and warning.  Without a threshold only the score is told."""
+    """scored with threshold, prediction, decision, verdict and warning.  Without a threshold only the score is told.
+
+    A null score with a threshold has no prediction, decision or verdict: it is neither accepted nor rejected.
+    """
     t, s = threshold.cast("double"), F.col("score")
-    decision = F.when(t.isNull(), SCORE_ONLY).when(s >= t, REJECT).otherwise(ACCEPT)
-    verdict = F.when(t.isNull(), VERDICTS[SCORE_ONLY]).when(s >= t, VERDICTS[REJECT]).otherwise(VERDICTS[ACCEPT])
+    decision = F.when(t.isNull(), SCORE_ONLY).when(s >= t, REJECT).when(s < t, ACCEPT)
+    verdict = F.when(t.isNull(), VERDICTS[SCORE_ONLY]).when(s >= t, VERDICTS[REJECT]).when(s < t, VERDICTS[ACCEPT])
     return scored.withColumns({"threshold": t, "prediction": prediction(s, t), "decision": decision, "verdict": verdict, "warning": F.when(t.isNull(), WARNING)})
 
 

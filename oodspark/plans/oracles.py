@@ -99,9 +99,9 @@ p AS (SELECT 'fpr_at_95_tpr' AS policy, max(score) AS t FROM c WHERE tp / n_pos
 SELECT policy, round(t, 6)::DOUBLE AS threshold, round(count(*) FILTER (label = 0 AND score >= t) / count(*) FILTER (label = 0), 6)::DOUBLE AS id_false_reject_rate, round(count(*) FILTER (label = 1 AND score >= t) / count(*) FILTER (label = 1), 6)::DOUBLE AS ood_detection_rate FROM te, p GROUP BY policy, t""",
     "score_histogram": f"WITH {SV} SELECT ood_type, floor(score / 5)::BIGINT AS bin, count(*) AS n_rows FROM sv GROUP BY ALL",
     "score_rows": f"WITH {SV} SELECT image_path, label, ood_type, round(score, 6)::DOUBLE AS score, (score >= 30)::INT AS prediction, 30::DOUBLE AS threshold FROM sv",
-    "gate_decisions": f"""WITH {GV}, d AS (SELECT filename, score, CASE WHEN filename LIKE '%.gif' THEN NULL ELSE 10.0::DOUBLE END AS threshold FROM gv WHERE score IS NOT NULL)
-SELECT filename, round(score, 6)::DOUBLE AS score, threshold, (score >= threshold)::INT AS prediction, CASE WHEN threshold IS NULL THEN '{SCORE_ONLY}' WHEN score >= threshold THEN '{REJECT}' ELSE '{ACCEPT}' END AS decision,
-CASE WHEN threshold IS NULL THEN '{VERDICTS[SCORE_ONLY]}' WHEN score >= threshold THEN '{VERDICTS[REJECT]}' ELSE '{VERDICTS[ACCEPT]}' END AS verdict, CASE WHEN threshold IS NULL THEN '{WARNING}' END AS warning FROM d""",
+    "gate_decisions": f"""WITH {GV}, d AS (SELECT filename, score, CASE WHEN filename LIKE '%.gif' THEN NULL ELSE 10.0::DOUBLE END AS threshold FROM gv)
+SELECT filename, round(score, 6)::DOUBLE AS score, threshold, (score >= threshold)::INT AS prediction, CASE WHEN threshold IS NULL THEN '{SCORE_ONLY}' WHEN score >= threshold THEN '{REJECT}' WHEN score < threshold THEN '{ACCEPT}' END AS decision,
+CASE WHEN threshold IS NULL THEN '{VERDICTS[SCORE_ONLY]}' WHEN score >= threshold THEN '{VERDICTS[REJECT]}' WHEN score < threshold THEN '{VERDICTS[ACCEPT]}' END AS verdict, CASE WHEN threshold IS NULL THEN '{WARNING}' END AS warning FROM d""",
     "gate_batch": f"WITH {GATED} SELECT * REPLACE (round(score, 6)::DOUBLE AS score) FROM ga",
     "gate_counts": f"WITH {GATED} SELECT count(*) AS total, count(*) FILTER (status = 'ok' AND prediction = 0) AS accepted, count(*) FILTER (status = 'error' OR decision = '{REJECT}') AS rejected_or_error FROM ga",
     "topk_outcomes": f"WITH {TOP} SELECT outcome, rank, sample_index, round(score, 6)::DOUBLE AS score FROM top",
@@ -137,12 +137,12 @@ UNION ALL SELECT image_id, NULL, 'not a supported image', NULL, 0, NULL FROM px
 FROM px, (SELECT unnest(range(3)) AS ch), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x)""",
     "patch_embed": f"""WITH e AS (SELECT vec_id AS image_id, embedding AS v FROM embeddings) SELECT image_id, y::INT AS patch_row, x::INT AS patch_col, c::INT AS dim, round(v[c * 16 + y * 4 + x + 1]::DOUBLE, 5)::DOUBLE + 0 AS value FROM e, (SELECT unnest(range(4)) AS c), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x)
 UNION ALL SELECT image_id, z.y::INT, z.x::INT, 4, round(sum(v[z.i * 8 + z.j + 1]::DOUBLE * z.w), 5)::DOUBLE + 0 FROM e, {weighted(8, 4, 'z')} GROUP BY image_id, z.y, z.x""",
-    "patch_explode": "SELECT vec_id AS image_id, y::INT AS patch_row, x::INT AS patch_col, c::INT AS dim, round(embedding[c * 16 + y * 4 + x + 1]::DOUBLE, 6)::DOUBLE + 0 AS value FROM embeddings, (SELECT unnest(range(4)) AS c), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x)",
+    "patch_explode": "SELECT 'layer2' AS layer, vec_id AS image_id, (i // 8)::INT AS patch_row, (i % 8)::INT AS patch_col, 0 AS dim, round(embedding[i + 1]::DOUBLE, 6)::DOUBLE + 0 AS value FROM embeddings, (SELECT unnest(range(64)) AS i) UNION ALL SELECT 'layer3', vec_id, y::INT AS patch_row, x::INT AS patch_col, c::INT AS dim, round(embedding[c * 16 + y * 4 + x + 1]::DOUBLE, 6)::DOUBLE + 0 AS value FROM embeddings, (SELECT unnest(range(4)) AS c), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x)",
     "bank_coreset": f"WITH {PV} SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) AS r, count(*) OVER () AS n FROM pv) WHERE r <= ceil(n * 0.2)",
     "bank_fit": f"WITH {BANK} SELECT bank_id FROM bank",
     "bank_roundtrip": f"WITH {BANK} SELECT bank_id, (d - 1)::INT AS dim, round(embedding[d], 6)::DOUBLE + 0 AS value, 0.5::DOUBLE AS coreset_ratio FROM bank, (SELECT unnest(range(1, 65)) AS d)",
     "bank_summary": f"WITH {BANK} SELECT (SELECT count(DISTINCT image_id) FROM pv WHERE role = 'train' AND label = 0) AS train_id_images, count(*) AS memory_bank_patches, max(len(embedding))::INT AS feature_dim, 0.5::DOUBLE AS coreset_ratio, 100000::BIGINT AS max_patches, 1 AS k FROM bank",
-    "knn_pairwise": f"WITH {BANK} SELECT p.vec_id, b.bank_id, round(list_distance(p.embedding, b.embedding), 6)::DOUBLE AS distance FROM pv p, bank b WHERE p.role = 'test'",
+    "knn_pairwise": f"WITH {BANK} SELECT p.vec_id, b.bank_id, round(list_distance(p.embedding, b.embedding), 6)::DOUBLE AS distance FROM pv p, bank b WHERE p.role <> 'train'",
     "knn_score_k1": f"WITH {NEAR} SELECT vec_id, round(patch_score, 6)::DOUBLE AS patch_score FROM ps",
     "knn_score_k3": f"WITH {NEAR} SELECT vec_id, round(avg(dist), 6)::DOUBLE AS patch_score FROM (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS r FROM pairs) WHERE r <= 3 GROUP BY vec_id",
     "image_scores": f"WITH {NEAR} SELECT image_id, label, role, round(score, 6)::DOUBLE AS score FROM im",

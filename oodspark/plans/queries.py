@@ -133,7 +133,7 @@ def gate_view(spark, d):
 
 
 def gate_decisions(spark, d):
-    rows = gate_view(spark, d).filter("score IS NOT NULL")
+    rows = gate_view(spark, d)
     limit = F.when(F.col("filename").like("%.gif"), F.lit(None).cast("double")).otherwise(F.lit(10.0))
     return rounded(decisions.decided(rows, limit).drop("length"))
 
@@ -368,8 +368,9 @@ def patch_embed(spark, d):
 
 
 def patch_explode(spark, d):
-    p = patches.exploded(V.view(spark, d, V.FEATURES).filter("layer = 'layer3'"))
-    return p.select("image_id", "patch_row", "patch_col", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 6))
+    maps = V.view(spark, d, V.FEATURES)
+    layers = [patches.exploded(maps.filter(F.col("layer") == name)).withColumn("layer", F.lit(name)) for name in ("layer2", "layer3")]
+    return layers[0].union(layers[1]).select("layer", "image_id", "patch_row", "patch_col", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
 def bank_coreset(spark, d):
@@ -392,7 +393,7 @@ def bank_summary(spark, d):
 
 
 def knn_pairwise(spark, d):
-    test = patch_view(spark, d).filter("role = 'test'").select("vec_id", "embedding")
+    test = patch_view(spark, d).filter("role <> 'train'").select("vec_id", "embedding")
     return rounded(patches.knn_pairwise(test, bank_of(spark, d)))
 
 

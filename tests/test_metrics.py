@@ -79,6 +79,8 @@ def test_precedence():
 def test_decisions(spark):
     row = decisions.decided(table(spark, [0], [0.5]), F.lit(0.5)).first()
     assert (row["decision"], row["prediction"], row["warning"]) == (decisions.REJECT, 1, None)
+    row = decisions.decided(spark.createDataFrame([(0, None)], SCHEMA), F.lit(0.5)).first()
+    assert row["prediction"] is None and row["decision"] is None and row["verdict"] is None and row["warning"] is None
     row = decisions.decided(table(spark, [0], [0.75]), F.lit(None).cast("double")).first()
     assert (row["decision"], row["prediction"]) == (decisions.SCORE_ONLY, None) and row["warning"]
 

@@ -43,6 +43,8 @@ BLOCK, LIST_BLOCK, PIVOTS = 512, 1024, 3
 SALTS = 32
 #: Width of a band of sizes, in steps by which the sizes of linked sets may differ.
 BAND = 4
+#: Bits of the hash that names a set.
+NAME = 64
 #: Words of 64 bits in a parity sketch: each token flips one bit.
 PARITY = 16
 BITS = [f"p{i}" for i in range(PARITY)]
@@ -66,10 +68,16 @@ class Grams:
         return np.unique(mixed(x * TWO + np.uint64(width)))
 
 
-def signature(s: np.ndarray) -> int:
-    """Hash of a set that tells it from other sets of its size."""
-    x = mixed(s * TWO)
-    return int((x.sum(dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64))
+def signature(s: np.ndarray, bits: int) -> int:
+    """Hash of a set, of so many bits."""
+    x = mixed(s * TWO).sum(dtype=np.uint64) ^ np.uint64(len(s))
+    return int((x >> np.uint64(64 - bits)).view(np.int64))
+
+
+def other(s: np.ndarray) -> int:
+    """A second hash of a set, drawn apart from the first."""
+    x = mixed(mixed(s ^ TWO) * ONE).sum(dtype=np.uint64)
+    return int((x + np.uint64(len(s)) * TWO).view(np.int64))
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -83,25 +91,28 @@ def sketch_bits(rows: int) -> int:
 
 
 def described(docs: DataFrame, gram: int, slots_bits: int) -> DataFrame:
-    """id, key, n (size of the set), sig and parity sketch p0, p1 ... of each row of keyed(docs); and with null id, a task's count sketch of the tokens: a row (chunk, counts) for each chunk of slots that it counted anything in."""
+    """id, key, n (size of the set), sig, other and parity sketch p0, p1 ... of each row of keyed(docs); and with null id, a task's count sketch of the tokens: a row (chunk, counts) for each chunk of slots that it counted anything in."""
+
+    name = NAME
 
     def run(batches):
         grams, sketch = Grams(gram), np.zeros(1 << slots_bits, dtype=np.int32)
         for b in batches:
-            n, sig, odd = [], [], [np.zeros((0, PARITY), dtype=np.int64)]
+            n, sig, second, odd = [], [], [], [np.zeros((0, PARITY), dtype=np.int64)]
             for t in b["text"]:
                 s = grams(t)
                 n.append(len(s))
-                sig.append(signature(s))
+                sig.append(signature(s, name))
+                second.append(other(s))
                 odd.append(parity(s)[None])
                 np.add.at(sketch, (s >> np.uint64(64 - slots_bits)).astype(np.int64), 1)
             bits = np.concatenate(odd)
-            yield pd.DataFrame({"id": b["id"], "key": b["key"], "n": n, "sig": sig, "chunk": None, "counts": None} | {p: bits[:, i] for i, p in enumerate(BITS)})
+            yield pd.DataFrame({"id": b["id"], "key": b["key"], "n": n, "sig": sig, "other": second, "chunk": None, "counts": None} | {p: bits[:, i] for i, p in enumerate(BITS)})
         chunks = sketch.reshape(-1, CHUNK)
         seen = np.flatnonzero(chunks.any(axis=1))
-        yield pd.DataFrame({"id": None, "key": 0, "n": 0, "sig": 0, "chunk": seen, "counts": [packed(chunks[c]) for c in seen]} | dict.fromkeys(BITS, 0), index=range(len(seen)))
+        yield pd.DataFrame({"id": None, "key": 0, "n": 0, "sig": 0, "other": 0, "chunk": seen, "counts": [packed(chunks[c]) for c in seen]} | dict.fromkeys(BITS, 0), index=range(len(seen)))
 
-    return docs.mapInPandas(run, "id long, key long, n int, sig long, chunk int, counts binary, " + ", ".join(f"{p} long" for p in BITS))
+    return docs.mapInPandas(run, "id long, key long, n int, sig long, other long, chunk int, counts binary, " + ", ".join(f"{p} long" for p in BITS))
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -133,13 +144,20 @@ def summed(sketches: DataFrame, slots_bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch, rows: int) -> DataFrame:
+def ambiguous(told: DataFrame) -> frozenset[int]:
+    """Values of sig that unlike sets of told have in common: of m different sets about m * m / 2 ** 65, three among 10 ** 10."""
+    unlike = F.greatest(*[(F.min(c) != F.max(c)).cast("int") for c in ("other", "n")])
+    return frozenset(r["sig"] for r in told.groupBy("sig").agg(unlike.alias("unlike")).filter("unlike = 1").select("sig").collect())
+
+
+def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch, rows: int, unsure: frozenset[int]) -> DataFrame:
     """token, sig, n, l (tokens the set asks for) and level (the least l whose prefix has the token) of each prefix token.
 
     Asking for l tokens costs the entries of the lists read, and a verification for each of the sets that share l tokens
     by chance: with lists of L entries over all, about rows * (L / rows) ** l / l!.  A batch gives the rows of equal sets
-    once.
+    once.  Sets whose sig is one of unsure go by their second hash.
     """
+    name = NAME
 
     def run(batches):
         grams, counts = Grams(gram), sketch.value
@@ -149,7 +167,9 @@ def prefixes(docs: DataFrame, gram: int, similar: int, of: int, sketch, rows: in
             for t in b["text"]:
                 s = grams(t)
                 n = len(s)
-                sig = signature(s)
+                sig = signature(s, name)
+                if sig in unsure:
+                    sig = other(s)
                 if not n or (sig, n) in seen:
                     continue
                 seen.add((sig, n))
@@ -363,10 +383,10 @@ def links_of(sets: DataFrame, similar: int, of: int) -> DataFrame:
     return stored(found.union(links.select("a", "b")).union(verified(met, similar, of)), "jaccard-links")
 
 
-def clustered(rows: DataFrame, told: DataFrame, gram: int, similar: int, of: int, sketch) -> DataFrame:
+def clustered(rows: DataFrame, told: DataFrame, gram: int, similar: int, of: int, sketch, unsure: frozenset[int]) -> DataFrame:
     """node (a sig) and label: the clusters of sets that are to be looked at together.  What it stores on the way is deleted."""
     with tidy(rows.sparkSession) as keep:
-        entries = stored(prefixes(rows, gram, similar, of, sketch, told.count()), "jaccard-prefixes")
+        entries = stored(prefixes(rows, gram, similar, of, sketch, told.count(), unsure), "jaccard-prefixes")
         shared = stored(entries.groupBy("token").agg((F.min("sig") != F.max("sig")).alias("several")).filter("several").select("token"), "jaccard-tokens")
         lists = stored(entries.join(shared, "token").groupBy("token", "sig").agg(*[F.min(c).alias(c) for c in ("n", "l", "level")]), "jaccard-lists")
         released(entries, shared)
@@ -405,7 +425,10 @@ def linked(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, of: int =
         made = stored(described(rows, gram, bits), "jaccard-sets")
         sketch = spark.sparkContext.broadcast(summed(made.filter("id IS NULL").select("chunk", "counts"), bits))  # of 2 ** SKETCH_BITS[1] slots at most
         told = made.filter("id IS NOT NULL").drop("chunk", "counts")
-        clusters = clustered(rows, told, gram, similar, of, sketch)
+        unsure = ambiguous(told)
+        if unsure:
+            told = told.withColumn("sig", F.when(F.col("sig").isin(*unsure), F.col("other")).otherwise(F.col("sig")))
+        clusters = clustered(rows, told, gram, similar, of, sketch, unsure)
         labels = labelled(rows, told, clusters, gram, similar, of)
         own = F.when(F.col("n") > 0, F.col("sig"))
         full = told.select("id", "key", "n", own.alias("node")).join(labels.withColumnRenamed("sig", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -75,3 +75,20 @@ def test_sizes_apart(spark, wide, block, monkeypatch):
     assert got == near_duplicates(rows, 3, 90)
     left = [p.name for p in set(folder.iterdir()) - before]
     assert len(left) == 1 and left[0].startswith("oodspark-jaccard-labelled")
+
+
+@pytest.mark.parametrize("bits", [1, 5])
+def test_names_in_common(spark, bits, monkeypatch):
+    """Unlike sets of one hash go by their second one."""
+    monkeypatch.setattr(jaccard, "NAME", bits)
+    rows = [*varied(80, 3), (80, ""), (81, None), (82, "w0 w1 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = jaccard.described(keyed(df), 3, 19).filter("id IS NOT NULL")
+    assert 0 < len(jaccard.ambiguous(told)) <= 1 << bits
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked(df).collect()}
+    assert got == near_duplicates(rows, 3, 90)
+
+
+def test_names_of_their_own(spark):
+    docs = keyed(spark.createDataFrame([*varied(80, 3), *[(100 + i, t) for i, t in varied(80, 3)]], "doc_id long, text string"))
+    assert jaccard.ambiguous(jaccard.described(docs, 3, 19).filter("id IS NOT NULL")) == frozenset()

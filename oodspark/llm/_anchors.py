@@ -88,19 +88,21 @@ def doubled(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(items: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """anchor, first window, last window, seed and context hash of each context of a sequence; empty if no window fits."""
+    """anchor, first window, last window, seed and two hashes of each context of a sequence; empty if no window fits."""
     n = len(items)
     if n < window:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none
-    grams = Hasher(items, BASE).grams(k)
+        return none, none, none, none, none, none
+    hasher = Hasher(items, BASE)
+    grams = hasher.grams(k)
     at = smallest(mixed(grams), window - k + 1)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    whole = Hasher(items).slices(first, last + window)
     # the place of the anchor is part of the context: its windows are told apart by their distance to it
-    whole = mixed(whole ^ mixed((at[first] - first).astype(np.uint64)))
-    return at[first], first, last, grams[at[first]].view(np.int64), whole.view(np.int64)
+    lead = mixed((at[first] - first).astype(np.uint64))
+    # two bases, so that contexts are told apart by 128 bits; both count the items
+    whole, check = (mixed(h.slices(first, last + window) ^ lead).view(np.int64) for h in (Hasher(items), hasher))
+    return at[first], first, last, grams[at[first]].view(np.int64), whole, check
 
 
 def text_key(text: Column) -> Column:
@@ -112,19 +114,23 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-ROW = "id long, key long, seed long, ctx long, at int, first int, last int, n int, gone boolean"
+ROW = "id long, key long, seed long, ctx long, chk long, at int, first int, last int, n int, gone boolean"
+#: Bits of ctx; chk has 64 always.
+NAME = 64
 #: Rows of an Arrow batch that a task gives.
 GIVEN = 1 << 17
 
 
 def anchor_rows(docs: DataFrame, items, window: int, k: int, keep_first: bool) -> DataFrame:
-    """A row for each context of each text of keyed(docs); items(text) gives a text's sequence.
+    """A row for each context of each text of keyed(docs); items(text) gives a text's sequence.  ctx and chk tell contexts apart.
 
     Contexts that a batch of rows holds more than once are combined before any shuffle: one of them, with their number
     n, stands for all, and the others come out as gone, that is repeated as a whole.  The one that stands is the first in
     order of id, key and place; with keep_first, rows that are equal in id and text count as one.
     """
 
+    drop = 64 - NAME
+
     def run(batches):
         source = items()
         for b in batches:
@@ -142,21 +148,27 @@ def anchor_rows(docs: DataFrame, items, window: int, k: int, keep_first: bool) -
             if not parts:
                 continue
             row = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-            at, first, last, seed, ctx = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
+            at, first, last, seed, ctx, chk = (np.concatenate([p[i] for p in parts]) for i in range(1, 7))
             del parts
+            ctx = ctx >> drop
             order = np.argsort(mixed(seed.view(np.uint64) * ODD ^ ctx.view(np.uint64)), kind="stable")
-            row, at, first, last, seed, ctx = (x[order] for x in (row, at, first, last, seed, ctx))
+            row, at, first, last, seed, ctx, chk = (x[order] for x in (row, at, first, last, seed, ctx, chk))
             new = np.ones(len(seed), dtype=bool)
-            new[1:] = (seed[1:] != seed[:-1]) | (ctx[1:] != ctx[:-1])
+            new[1:] = (seed[1:] != seed[:-1]) | (ctx[1:] != ctx[:-1]) | (chk[1:] != chk[:-1])
             n = np.ones(len(seed), dtype=np.int32)
             n[new] = np.diff(np.append(np.flatnonzero(new), len(seed)))
-            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], keys[row], seed, ctx, at.astype(np.int32), first.astype(np.int32), last.astype(np.int32), n, ~new)], names=["id", "key", "seed", "ctx", "at", "first", "last", "n", "gone"])
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], keys[row], seed, ctx, chk, at.astype(np.int32), first.astype(np.int32), last.astype(np.int32), n, ~new)], names=["id", "key", "seed", "ctx", "chk", "at", "first", "last", "n", "gone"])
             for start in range(0, len(seed), GIVEN):
                 yield out.slice(start, GIVEN)
 
     return docs.select("id", "key", "text").mapInArrow(run, ROW)
 
 
+def unlike() -> Column:
+    """Whether rows of anchor_rows() hold several contexts."""
+    return (F.min("ctx") != F.max("ctx")) | (F.min("chk") != F.max("chk"))
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (of keyed()) with spans, an array of the (first, last) windows found in each text, empty if none."""
     per = spans.groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))

@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._anchors import anchor_rows, covered, keyed, with_spans
+from ._anchors import anchor_rows, covered, keyed, unlike, with_spans
 from ._shared import WORD, dropped, stored
 
 WINDOW, SEED = 35, 12
 REMEMBERED = 250_000
 #: The contexts of one seed are dealt to so many keys when they meet their pivot.
 SALTS = 16
-PIECE = "g long, ctx long, again boolean, id long, key long, at int, low int, high int, before string, after string"
+PIECE = "g long, ctx long, chk long, again boolean, id long, key long, at int, low int, high int, before string, after string"
 
 
 class Words:
@@ -47,9 +47,9 @@ class Words:
 
 
 def surroundings(docs: DataFrame, ctx: DataFrame, window: int) -> DataFrame:
-    """ctx (id, key, first, last, at, seed, ctx, again) as pieces of extended(): with the words before the anchor, the nearest
+    """ctx (id, key, first, last, at, seed, ctx, chk, again) as pieces of extended(): with the words before the anchor, the nearest
     first, and from it on; low and high are the least and most words before the anchor that a window has."""
-    per = ctx.groupBy("id", "key").agg(F.collect_list(F.struct("seed", "ctx", "again", "first", "last", "at")).alias("ctxs"))
+    per = ctx.groupBy("id", "key").agg(F.collect_list(F.struct("seed", "ctx", "chk", "again", "first", "last", "at")).alias("ctxs"))
 
     def cut(batches):
         for b in batches:
@@ -59,7 +59,7 @@ def surroundings(docs: DataFrame, ctx: DataFrame, window: int) -> DataFrame:
                 for c in ctxs:
                     at, first, last = c["at"], c["first"], c["last"]
                     before, after = b" ".join(words[first:at][::-1]), b" ".join(words[at : last + window])
-                    out.append((c["seed"], c["ctx"], c["again"], i, key, at, at - last, at - first, before.decode("utf-8"), after.decode("utf-8")))
+                    out.append((c["seed"], c["ctx"], c["chk"], c["again"], i, key, at, at - last, at - first, before.decode("utf-8"), after.decode("utf-8")))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in PIECE.split(", ")])
 
     return docs.join(per, ["id", "key"]).select("id", "key", "text", "ctxs").mapInPandas(cut, PIECE)
@@ -75,16 +75,16 @@ def extended(pieces: DataFrame, turn: int) -> DataFrame:
     """Each piece of a group that is not its pivot, with the place of the pivot, and how many words before and from the
     anchor on the two have in common (l and s)."""
     pieces = pieces.withColumn("salt", F.pmod("ctx", F.lit(SALTS)))
-    cells = pieces.groupBy("g", "salt").agg(F.min("ctx").alias("pivot"), F.max("ctx").alias("most"))
-    pivots = cells.groupBy("g").agg(F.min("pivot").alias("ctx"), F.max("most").alias("most")).filter("ctx < most").drop("most")
-    place = [F.col(c).alias(f"pivot_{c}") for c in ("id", "key", "at", "before", "after")]
+    cells = pieces.groupBy("g", "salt").agg(F.min("ctx").alias("pivot"), F.count("*").alias("n"))
+    pivots = cells.groupBy("g").agg(F.min("pivot").alias("ctx"), F.sum("n").alias("n")).filter("n > 1").drop("n")  # two, if both have the least ctx
+    place = [F.col(c).alias(f"pivot_{c}") for c in ("id", "key", "at", "chk", "before", "after")]
     pivots = pieces.join(pivots, ["g", "ctx"]).select("g", F.col("ctx").alias("pivot"), *place)
     # a row for each cell, not each salt, so that small groups send their pivot no further than needed
     pivots = cells.select("g", "salt").join(pivots, "g")
-    met = pieces.join(pivots, ["g", "salt"]).filter("ctx <> pivot")
+    met = pieces.join(pivots, ["g", "salt"]).filter("ctx <> pivot OR chk <> pivot_chk")
     words = lambda c: F.array_remove(F.split(c, " "), "")
     met = met.withColumn("l", common(words("before"), words("pivot_before"))).withColumn("s", common(words("after"), words("pivot_after")))
-    return stored(met.drop("salt", "pivot", "pivot_before", "pivot_after"), f"substr-met-{turn}")
+    return stored(met.drop("salt", "pivot", "pivot_chk", "pivot_before", "pivot_after"), f"substr-met-{turn}")
 
 
 def parted(met: DataFrame, window: int) -> DataFrame:
@@ -95,8 +95,8 @@ def parted(met: DataFrame, window: int) -> DataFrame:
     word = lambda c, n: F.get(F.split(c, " "), F.col(n))
     left = F.struct(F.xxhash64("g", F.lit("left"), "l", word("before", "l")).alias("g"), F.greatest("low", F.col("l") + 1).alias("low"), "high")
     right = F.struct(F.xxhash64("g", F.lit("right"), "s", word("after", "s")).alias("g"), "low", F.least("high", "l", F.lit(window - 1) - F.col("s")).alias("high"))
-    part = met.select("ctx", "again", "id", "key", "at", "before", "after", F.explode(F.array(left, right)).alias("part"))
-    return part.select("part.*", "ctx", "again", "id", "key", "at", "before", "after").filter("low <= high")
+    part = met.select("ctx", "chk", "again", "id", "key", "at", "before", "after", F.explode(F.array(left, right)).alias("part"))
+    return part.select("part.*", "ctx", "chk", "again", "id", "key", "at", "before", "after").filter("low <= high")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, k: int = SEED) -> DataFrame:
@@ -107,13 +107,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = SEED) -> DataFrame:
     rows = stored(anchor_rows(docs, Words, window, k, keep_first=False), "substr-anchors")
     span = ["id", "key", "first", "last"]
     live = rows.filter("NOT gone")
-    seeds = live.groupBy("seed").agg(F.sum("n").alias("all"), (F.min("ctx") != F.max("ctx")).alias("differ")).filter(F.col("all") > 1).select("seed", "differ")
+    seeds = live.groupBy("seed").agg(F.sum("n").alias("all"), unlike().alias("differ")).filter(F.col("all") > 1).select("seed", "differ")
     seeds = stored(seeds, "substr-seeds")
     shared = stored(live.join(seeds, "seed"), "substr-shared")
     dropped(seeds)
-    ctx = shared.filter("differ").groupBy("seed", "ctx").agg(F.sum("n").alias("all"), F.min(F.struct(*span, "at")).alias("one"))
-    ctx = stored(ctx.select("seed", "ctx", (F.col("all") > 1).alias("again"), "one.*"), "substr-contexts")
-    same = shared.filter("differ").join(ctx.filter("again").select("seed", "ctx"), ["seed", "ctx"], "left_semi").select(*span)
+    ctx = shared.filter("differ").groupBy("seed", "ctx", "chk").agg(F.sum("n").alias("all"), F.min(F.struct(*span, "at")).alias("one"))
+    ctx = stored(ctx.select("seed", "ctx", "chk", (F.col("all") > 1).alias("again"), "one.*"), "substr-contexts")
+    same = shared.filter("differ").join(ctx.filter("again").select("seed", "ctx", "chk"), ["seed", "ctx", "chk"], "left_semi").select(*span)
     whole = stored(rows.filter("gone OR n > 1").select(*span).unionByName(shared.filter("NOT differ").select(*span)).unionByName(same), "substr-whole")
     dropped(rows, shared)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._anchors import anchor_rows, covered, keyed, mixed, text_key, with_spans
+from ._anchors import anchor_rows, covered, keyed, mixed, text_key, unlike, with_spans
 from ._shared import dropped, stored
 
 WINDOW, SEED = 100, 24
@@ -220,12 +220,12 @@ def earlier(docs: DataFrame, window: int = WINDOW, k: int = SEED) -> DataFrame:
     span, place = ["id", "key", "first", "last"], ["id", "key", "at"]
     rows = stored(anchor_rows(docs, Bytes, window, k, keep_first=True), "suffix-anchors")
     live = rows.filter("NOT gone")
-    seeds = stored(live.groupBy("seed").agg(F.count("*").alias("all"), (F.min("ctx") != F.max("ctx")).alias("differ")).filter("all > 1").select("seed", "differ"), "suffix-seeds")
-    shared = stored(live.join(seeds, "seed").select("seed", "ctx", "differ", *place, "first", "last"), "suffix-shared")
+    seeds = stored(live.groupBy("seed").agg(F.count("*").alias("all"), unlike().alias("differ")).filter("all > 1").select("seed", "differ"), "suffix-seeds")
+    shared = stored(live.join(seeds, "seed").select("seed", "ctx", "chk", "differ", *place, "first", "last"), "suffix-shared")
     gone = stored(rows.filter("gone").select(*span), "suffix-gone")
     dropped(rows, seeds)
-    ctx = stored(shared.groupBy("seed", "ctx", "differ").agg(F.min(F.struct(*place, "first", "last")).alias("one")), "suffix-contexts")
-    later = shared.join(ctx.select("seed", "ctx", "one"), ["seed", "ctx"]).filter(F.struct(*place) != F.struct("one.id", "one.key", "one.at")).select(*span)
+    ctx = stored(shared.groupBy("seed", "ctx", "chk", "differ").agg(F.min(F.struct(*place, "first", "last")).alias("one")), "suffix-contexts")
+    later = shared.join(ctx.select("seed", "ctx", "chk", "one"), ["seed", "ctx", "chk"]).filter(F.struct(*place) != F.struct("one.id", "one.key", "one.at")).select(*span)
     spans = [stored(gone.unionByName(later), "suffix-whole")]
     dropped(shared, gone)
 

@@ -211,8 +211,9 @@ def test_suffix_array():
         assert suffixes.suffix_array(np.array(s, dtype=np.int32)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_suffix_dedup(docs, empty, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "name"), [(False, 64), (True, 64), (False, 1)])
+def test_suffix_dedup(docs, empty, hot, name, monkeypatch):
+    monkeypatch.setattr(_anchors, "NAME", name)
     if hot:
         monkeypatch.setattr(suffixes, "STRINGS", 2)
     seen, want = set(), {}
@@ -248,9 +249,10 @@ def test_substring_dedup(docs, empty):
     assert substrings.without_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup_of_seeds_with_many_surroundings(spark, seed):
-    """Matches that leave each other at every place, on both sides, and repeat within a text."""
+@pytest.mark.parametrize(("seed", "name"), [(1, 64), (2, 64), (2, 1)])
+def test_substring_dedup_of_seeds_with_many_surroundings(spark, seed, name, monkeypatch):
+    """Matches that leave each other at every place, on both sides, and repeat within a text; also if a hash of contexts fails."""
+    monkeypatch.setattr(_anchors, "NAME", name)
     rng = random.Random(seed)
     base = [str(rng.randrange(4)) for _ in range(60)]
     rows = []

@@ -1,5 +1,7 @@
 """What only shows on more rows than the test tables have."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -7,6 +9,8 @@ import pyarrow.parquet as pq
 import pytest
 from test_oracles import rows
 
+from oodspark.functions import kernels
+from oodspark.operators import images, patches
 from oodspark.plans import registry
 
 
@@ -45,3 +49,30 @@ def test_as_its_sql(spark, many, name):
 @pytest.mark.parametrize("name", ["evaluate_end_to_end", "evaluate_reconstruction"])
 def test_evaluated(spark, many, name):
     same(spark, many, name)
+
+
+def test_pairs(spark):
+    """All pairs, from a bank that is sent and from one that isn't; equal vectors are 0 apart, and no join makes the pairs of a small bank."""
+    rng = np.random.default_rng(4)
+    bank, asked = rng.normal(size=(700, 5)), rng.normal(size=(40, 5))
+    asked[:3], asked[3] = bank[:3], bank[4] + 1e-9
+    frame = lambda name, v: spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], f"{name} long, embedding array<double>")
+    want = np.linalg.norm(asked[:, None] - bank[None], axis=2)
+    sent = patches.knn_pairwise(frame("vec_id", asked), frame("bank_id", bank))
+    for df in (sent, patches.knn_pairwise(frame("vec_id", asked), frame("bank_id", bank), broadcast_bytes=0)):
+        got = df.toPandas()
+        assert list(got.columns) == ["vec_id", "bank_id", "distance"] and len(got) == want.size
+        assert np.allclose(got["distance"], want[got["vec_id"], got["bank_id"]], rtol=1e-9, atol=0)
+    assert "Join" not in sent._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_in_slices():
+    """What is held beside points and bank doesn't grow with the number of points."""
+    rng = np.random.default_rng(5)
+    points, bank = rng.normal(size=(6000, 4)), rng.normal(size=(5000, 4))
+    tracemalloc.start()
+    got = kernels.smallest_distances(points, bank, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64e6
+    assert np.allclose(got[::500], np.sort(np.linalg.norm(points[::500, None] - bank[None], axis=2), axis=1)[:, :3])

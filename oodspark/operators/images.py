@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from ..functions import kernels
 
 #: Channel means and deviations of the usual pretrained networks.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+#: Images that a task takes out of a batch together.
+TOGETHER = 64
 SCHEMA = "image_id long, height int, width int, channels int, pixels array<float>"
 
 
@@ -65,11 +68,16 @@ def corrupted(images: DataFrame, kinds=tuple(kernels.CORRUPTIONS), seed: int = 4
 
     def run(batches):
         for b in batches:
-            got = []
-            for i, h, w, p, k in zip(b["image_id"], b["height"], b["width"], b["pixels"], b["kind"], strict=True):
-                image = np.asarray(p, dtype=np.float64).reshape(3, h, w).transpose(1, 2, 0).astype(np.uint8)
-                got.append(kernels.corrupted(image, k, [seed, int(i), int(i) >> 32, place[k]]).transpose(2, 0, 1).ravel().astype(np.float32))
-            yield b.assign(pixels=got)
-
+            for start in range(0, b.num_rows, TOGETHER):
+                part = b.slice(start, TOGETHER)
+                about, got = part.select(["image_id", "height", "width", "kind"]).to_pylist(), []
+                for r, p in zip(about, part.column("pixels"), strict=True):
+                    image = p.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(3, r["height"], r["width"]).transpose(1, 2, 0).astype(np.uint8)
+                    i = r["image_id"]
+                    got.append(kernels.corrupted(image, r["kind"], [seed, i, i >> 32, place[r["kind"]]]).transpose(2, 0, 1).ravel().astype(np.float32))
+                columns = [pa.array(got, pa.list_(pa.float32())) if name == "pixels" else part.column(name) for name in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["image_id", "height", "width", "channels", "pixels", "kind"]
     rows = images.select("image_id", "height", "width", "channels", "pixels", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
-    return rows.mapInPandas(run, SCHEMA + ", kind string")
+    return rows.mapInArrow(run, SCHEMA + ", kind string")

@@ -76,3 +76,27 @@ def test_distances_in_slices():
     tracemalloc.stop()
     assert most < 64e6
     assert np.allclose(got[::500], np.sort(np.linalg.norm(points[::500, None] - bank[None], axis=2), axis=1)[:, :3])
+
+
+def test_corrupted_in_slices(spark):
+    """Whatever the batch, a few images are held at a time; each is what the kernel makes of it."""
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = images.corrupted(Rows(), ["border_crop"])
+    rng = np.random.default_rng(6)
+    pixels = rng.integers(0, 256, (1000, 3 * 6 * 6)).astype(np.float32)
+    ids = np.arange(1000) + (1 << 33)
+    batch = pa.RecordBatch.from_pydict({"image_id": ids, "height": [6] * 1000, "width": [6] * 1000, "channels": [3] * 1000, "pixels": pa.array(list(pixels), pa.list_(pa.float32())), "kind": ["border_crop"] * 1000})
+    out = list(run(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= images.TOGETHER
+    got = pa.Table.from_batches(out)
+    assert got["image_id"].to_pylist() == list(ids)
+    for i in (0, 63, 64, 999):
+        want = kernels.corrupted(pixels[i].reshape(3, 6, 6).transpose(1, 2, 0).astype(np.uint8), "border_crop", [42, int(ids[i]), int(ids[i]) >> 32, 2])
+        assert got["pixels"][i].as_py() == list(want.transpose(2, 0, 1).ravel())

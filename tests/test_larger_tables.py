@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from test_oracles import rows
 
+from oodspark import sources
 from oodspark.functions import kernels
 from oodspark.operators import images, patches
 from oodspark.plans import registry
@@ -100,3 +101,19 @@ def test_corrupted_in_slices(spark):
     for i in (0, 63, 64, 999):
         want = kernels.corrupted(pixels[i].reshape(3, 6, 6).transpose(1, 2, 0).astype(np.uint8), "border_crop", [42, int(ids[i]), int(ids[i]) >> 32, 2])
         assert got["pixels"][i].as_py() == list(want.transpose(2, 0, 1).ravel())
+
+
+def test_many_files(spark, tmp_path):
+    """Files are written with a line feed, nothing beside them, and few tasks list their folders, however many there are."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    names = [f"n{i}" for i in range(100)] + ["a/b%", 'c"d']
+    sources.write_files(spark.createDataFrame([(n, n.encode()) for n in names], "name string, data binary"), f"file://{tmp_path}/files")
+    assert [p.read_text() for p in sorted((tmp_path / "files").glob("*/*")) if p.name.startswith("part-")] == [n + "\n" for n in sorted(names, key=lambda n: {"a/b%": "a%2Fb%25", 'c"d': "c%22d"}.get(n, n))]
+    assert len(list((tmp_path / "files").rglob("*"))) == 2 * len(names)
+    with pytest.raises(sources.SourceError):
+        sources.write_files(spark.createDataFrame([("x", b"")], "name string, data binary"), f"file://{tmp_path}/files")
+    with sources.listed(spark):
+        assert int(spark.conf.get(key)) == 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == before
+    assert sources.read_images(spark, f"{tmp_path}/files").count() == len(names)

@@ -18,9 +18,14 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 VALUE, QUOTES = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", "^[\"']|[\"']$"
 #: What would break a header or field line.
 LINE_BREAKS = r"[\r\n]+"
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
+#: What is hidden, without its "<"; as an alternation for SQL, and with one "<" and what can follow, which Java finds faster.
+UNSEEN = (r"!--.*?-->", r"script\b.*?</script\s*>", r"style\b.*?</style\s*>", r"head\b.*?</head\s*>")
+HIDDEN = "(?is)" + "|".join("<" + x for x in UNSEEN)
+HIDDEN_ONCE = "(?is)<(?=[!sh])(?:" + "|".join(UNSEEN) + ")"
 BREAKS = r"(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr|/article|/section|/ul|/nav)\b[^>]*>"
 TAG = r"<[^>]*>"
+#: Runs of blanks that aren't a space already: of two or more, or a tab or return.
+BLANKS = r"[ \t\r](?:[ \t\r]+|(?<! ))"
 
 
 def digest(x: Column) -> Column:
@@ -35,17 +40,23 @@ def record_id(kind: str, *parts: Column) -> Column:
 
 
 def resolved(x: Column) -> Column:
-    for entity, char in ENTITIES:
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return x
+    """x with its entities resolved, in one pass: none ends in what another begins with, and what comes of one makes no other."""
+
+    def start(piece: Column, i: Column) -> Column:
+        known = F.when(i == 0, piece)  # before the first &
+        for entity, char in ENTITIES:
+            known = known.when(F.startswith(piece, F.lit(entity[1:])), F.concat(F.lit(char), F.substr(piece, F.lit(len(entity)))))
+        return known.otherwise(F.concat(F.lit("&"), piece))
+
+    return F.array_join(F.transform(F.split(x, "&", -1), start), "")
 
 
 def readable(html: Column) -> Column:
-    """Text between the tags; scripts, styles, comments and the head are hidden, block ends break lines, blanks are collapsed."""
-    x = F.regexp_replace(html, HIDDEN, " ")
+    """Text between the tags; scripts, styles, comments and the head are hidden, block ends break lines, blanks are collapsed and empty lines left out."""
+    x = F.regexp_replace(html, HIDDEN_ONCE, " ")
     x = F.regexp_replace(F.regexp_replace(x, BREAKS, "\n"), TAG, " ")
-    x = F.regexp_replace(resolved(x), r"[ \t\r]+", " ")
-    return F.regexp_replace(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    x = F.regexp_replace(resolved(x), BLANKS, " ")
+    return F.array_join(F.filter(F.transform(F.split(x, "\n", -1), lambda line: F.trim(line)), lambda line: line != ""), "\n")
 
 
 #: Date of captures that have none.

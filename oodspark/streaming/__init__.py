@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.gate import gate_counts, gated
-from ..sources import IMAGE, decoded, listed
+from ..sources import IMAGE, decoded, listed, small_files
+
+#: Most files of a batch of a stream, which bounds what the driver plans at once.
+BATCH_FILES = 100_000
 
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """filename (the name of the folder name=... of write_files(), else of the file), length, height, width, channels, pixels and error of image files as they arrive below a folder."""
-    files = spark.readStream.format("image").schema(IMAGE).option("recursiveFileLookup", True).load(folder)
+    """filename (what write_files() wrote as name=..., else the name of the file), length, height, width, channels, pixels and error of image files as they arrive below a folder."""
+    files = spark.readStream.format("image").schema(IMAGE).options(recursiveFileLookup=True, maxFilesPerTrigger=BATCH_FILES).load(folder)
     rows = decoded(files.withColumn("_n", F.col("_metadata.file_size")), "_n")
-    name = F.regexp_extract("image_path", "(?:/name=([^/]*)/[^/]*|/([^/]*))$", 1)
-    return rows.select(F.url_decode(F.when(name != "", name).otherwise(F.regexp_extract("image_path", "([^/]*)$", 1))).alias("filename"), F.col("_n").alias("length"), "height", "width", "channels", "pixels", "error")
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    name = F.regexp_extract("image_path", "/name=([^/]*)(?:/[^/]*)?$", 1)  # escaped by the writer, and then by the reader
+    filename = F.when(name != "", plain(plain(name))).otherwise(plain(F.regexp_extract("image_path", "([^/]*)$", 1)))
+    return rows.select(filename.alias("filename"), F.col("_n").alias("length"), "height", "width", "channels", "pixels", "error")
 
 
 def gate_stream(files: DataFrame, threshold: Column) -> DataFrame:
@@ -30,7 +35,7 @@ def gate_stream_counts(files: DataFrame, threshold: Column) -> DataFrame:
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Work through all that is there, to a Parquet table (append) or, for counts, to the table's latest state (complete)."""
     if mode == "append":
-        with listed(stream.sparkSession):
+        with listed(stream.sparkSession), small_files(stream.sparkSession):
             stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
         return
 

@@ -9,12 +9,13 @@ from ..operators.gate import gate_counts, gated
 from ..sources import IMAGE, decoded, listed, small_files
 
 #: Most files of a batch of a stream, which bounds what the driver plans at once.
-BATCH_FILES = 100_000
+BATCH_FILES = 25_000
 
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
     """filename (what write_files() wrote as name=..., else the name of the file), length, height, width, channels, pixels and error of image files as they arrive below a folder."""
-    files = spark.readStream.format("image").schema(IMAGE).options(recursiveFileLookup=True, maxFilesPerTrigger=BATCH_FILES).load(folder)
+    with listed(spark):
+        files = spark.readStream.format("image").schema(IMAGE).options(recursiveFileLookup=True, maxFilesPerTrigger=BATCH_FILES).load(folder)
     rows = decoded(files.withColumn("_n", F.col("_metadata.file_size")), "_n")
     plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
     name = F.regexp_extract("image_path", "/name=([^/]*)(?:/[^/]*)?$", 1)  # escaped by the writer, and then by the reader
